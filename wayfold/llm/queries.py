@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import packing, tokenbin
+from wayfold.llm import jaccard, lm, packing, tokenbin
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +20,23 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(pieces, capacity=2048)
 
 
+def _remainder(column: str, divisor: int) -> Column:
+    """crc32 of a column as text, modulo a divisor."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
+
+
+def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents under a model of those that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.coalesce(_remainder("doc_id", 5) != 1, F.lit(True)).alias("learn"))
+    held_out = F.coalesce(_remainder("doc_id", 5) == 1, F.lit(False))
+    return lm.score(docs).withColumn("held_out", held_out)
+
+
+def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of all documents by 4-word shingles at a similarity of 0.85."""
+    return jaccard.similar_components(table(spark, folder, "documents"), percent=85, size=4)
+
+
 def op10_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     """All documents' ids, written as shards in doc_id order and read back through their index."""
     docs = table(spark, folder, "documents")
@@ -30,6 +47,8 @@ def op10_token_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_lm_scoring": op8_lm_scoring,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_token_ids": op10_token_ids,
 }
 

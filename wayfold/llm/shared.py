@@ -63,3 +63,11 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 def publish(fs: pafs.FileSystem, temporary: str, final: str) -> None:
     """Move a finished file to its name. A retried or speculative task repeats the same bytes under the same name."""
     fs.move(temporary, final)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs: it does so once the JVM has collected their plans."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
