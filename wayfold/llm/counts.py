@@ -25,7 +25,7 @@ from wayfold.llm.shared import filesystem, fresh_folder, release, small_batches
 
 #: Bytes of text in a part, and text whose n-grams a bucket holds.
 PART_BYTES = 8 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: For each kind of n-gram: sorted distinct hashes (uint32 or uint64) and what this part adds to each one's count.
 Grams = dict[int, tuple[np.ndarray, np.ndarray]]
 
