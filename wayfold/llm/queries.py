@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import decontaminate, jaccard, lm, packing, tokenbin
+from wayfold.llm import decontaminate, jaccard, lm, packing, tokenbin, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages as WARC records, read back from the archives."""
+    pages = table(spark, folder, "pages")
+    files, archives = warc.write_archives(pages, least=0)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    records = warc.read_archives(files, archives, payloads=False)
+    return records.select(
+        warc.page_id("record_id", kind).alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", warc.page_id("refers_to", kind).alias("refers_to")
+    )
+
+
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents, packed into sequences of at most 2048 tokens."""
     pieces = packing.token_pieces(table(spark, folder, "documents"), "word_bpe_49k.json", keeps_space=False, capacity=2048)
@@ -53,6 +64,7 @@ def op10_token_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc": op3_warc,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_decontamination": op7_decontamination,
     "op8_lm_scoring": op8_lm_scoring,
@@ -64,7 +76,18 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _TOKENS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
 
+#: Base-32 of a SHA-1 in hexadecimal: 5 hexadecimal digits are 4 of base 32.
+_BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST(
+  (CAST(('0x' || h[1 + 5 * (i // 4):5 + 5 * (i // 4)]) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT)]), '')"""
+
 ORACLES: dict[str, str] = {
+    "op3_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (h)""",
     "op7_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
