@@ -7,13 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import decontaminate, jaccard, lm, packing, tokenbin, warc
+from wayfold.llm import decontaminate, jaccard, lm, media, packing, tokenbin, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_media(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts as images in archives, read back by the data source."""
+    docs = table(spark, folder, "documents")
+    _, archives = media.write_media(docs, "doc_id", "text")
+    found = media.describe(media.read_media(spark, archives))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return found.select(
+        media.member_key("member", kind).alias("doc_id"),
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("content").cast("long").alias("media_bytes"),
+        F.sha2("content", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     """All pages as WARC records, read back from the archives."""
     pages = table(spark, folder, "pages")
@@ -64,6 +82,7 @@ def op10_token_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media": op1_media,
     "op3_warc": op3_warc,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_decontamination": op7_decontamination,
