@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import decontaminate, jaccard, lm, media, packing, tokenbin, warc
+from wayfold.llm import chat, decontaminate, jaccard, lm, media, packing, tokenbin, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +32,25 @@ def op1_media(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one whose texts are control strings, formatted and read back."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-7).cast(turns.schema["conv_id"].dataType).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
+    records = turns.union(own).select("conv_id", F.to_variant_object(F.struct("turn", "role", "text")).alias("record"))
+    formatted = chat.format_chats(chat.canonical_turns(records, "conv_id", "record"), "conv_id")
+    back = chat.parse_chats(formatted).withColumn("loss", chat.loss_text())
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(whole, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     """All pages as WARC records, read back from the archives."""
     pages = table(spark, folder, "pages")
@@ -83,6 +102,7 @@ def op10_token_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
+    "op2_chat": op2_chat,
     "op3_warc": op3_warc,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_decontamination": op7_decontamination,
@@ -99,7 +119,19 @@ _TOKENS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
 _BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST(
   (CAST(('0x' || h[1 + 5 * (i // 4):5 + 5 * (i // 4)]) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT)]), '')"""
 
+def _escaped(text: str) -> str:
+    return rf"regexp_replace(replace({text}, '\', '\\'), '([<\[])(\||/?s>|/?INST\]|</?SYS>>)', '\1\\\2', 'g')"
+
+
 ORACLES: dict[str, str] = {
+    "op2_chat": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(i)),
+g AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
+      coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+      sum(length('<|turn|><|text|><|end|>') + length({_escaped('role')}) + length({_escaped('text')})) AS chars FROM c GROUP BY conv_id)
+SELECT conv_id, CAST(n AS BIGINT) AS n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+       sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g""",
     "op3_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
 f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
