@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, decontaminate, jaccard, lm, media, packing, tokenbin, warc
+from wayfold.llm import chat, decontaminate, jaccard, langid, lm, media, packing, tokenbin, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _remainder(column: str, divisor: int) -> Column:
+    """crc32 of a column as text, modulo a divisor."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
+
+
 def op1_media(spark: SparkSession, folder: str) -> DataFrame:
     """All texts as images in archives, read back by the data source."""
     docs = table(spark, folder, "documents")
@@ -68,6 +73,14 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(pieces, capacity=2048)
 
 
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of all documents, learned from those that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, F.coalesce(_remainder("doc_id", 3) != 1, F.lit(True)))
+    held_out = F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Windows of ten words that documents share with benchmark items."""
     found = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), size=10)
@@ -75,11 +88,6 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def _remainder(column: str, divisor: int) -> Column:
-    """crc32 of a column as text, modulo a divisor."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
-
-
 def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """All documents under a model of those that are not held out."""
     docs = table(spark, folder, "documents").select("doc_id", "text", F.coalesce(_remainder("doc_id", 5) != 1, F.lit(True)).alias("learn"))
@@ -105,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": op2_chat,
     "op3_warc": op3_warc,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_language_id": op6_language_id,
     "op7_decontamination": op7_decontamination,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_ngram_jaccard": op9_ngram_jaccard,
