@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, decontaminate, jaccard, langid, lm, media, packing, tokenbin, warc
+from wayfold.llm import chat, decontaminate, jaccard, langid, lm, media, packing, tokenbin, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,6 +67,19 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def toxicity_model(spark: SparkSession, folder: str) -> toxicity.ToxicityModel:
+    """Learned from the labelled documents that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text").where(F.coalesce(_remainder("doc_id", 5) != 0, F.lit(False)))
+    return toxicity.fit(docs, table(spark, folder, "labels").where(F.coalesce(_remainder("doc_id", 5) != 0, F.lit(False))))
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of all documents."""
+    rated = toxicity.score(table(spark, folder, "documents").select("doc_id", "text"), toxicity_model(spark, folder))
+    held_out = F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False))
+    return rated.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents, packed into sequences of at most 2048 tokens."""
     pieces = packing.token_pieces(table(spark, folder, "documents"), "word_bpe_49k.json", keeps_space=False, capacity=2048)
@@ -112,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_chat": op2_chat,
     "op3_warc": op3_warc,
+    "op4_toxicity": op4_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
     "op7_decontamination": op7_decontamination,
