@@ -86,12 +86,17 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(pieces, capacity=2048)
 
 
+def language_model(spark: SparkSession, folder: str) -> langid.KernelModel:
+    """Learned from the documents that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return langid.fit(docs, F.coalesce(_remainder("doc_id", 3) != 1, F.lit(True)))
+
+
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of all documents, learned from those that are not held out."""
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
-    model = langid.fit(docs, F.coalesce(_remainder("doc_id", 3) != 1, F.lit(True)))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False))
-    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, language_model(spark, folder)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
