@@ -1,4 +1,4 @@
-"""Connected components by alternating large and small stars; every round is written to the shared folder."""
+"""Connected components by spreading the least node; every round is written to the shared folder."""
 
 from __future__ import annotations
 
@@ -7,34 +7,38 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.shared import materialise, release
 
+#: Steps along edges in a round, and rounds after which labels also jump to their labels' labels.
+STEPS, PLAIN_ROUNDS = 3, 2
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+
+def _state(labels: DataFrame) -> tuple:
+    row = labels.agg(F.count("*").alias("n"), F.sum(F.xxhash64("node", "component").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], row["h"]
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: (a, b). Returns (node, component) for every node that has an edge to another; component is its least node.
 
-    Hubs are not gathered: a node's least neighbour is a partial aggregation, and the join that hands it to the
-    neighbours can be split. The number of rounds grows with the logarithm of the longest path.
+    A step hands each node's label to its neighbours and keeps the least, by partial aggregation; hubs are not gathered,
+    and a hub's part of the join can be split. Where components are long, labels jump, and the number of rounds grows
+    with the logarithm of the longest path.
     """
     spark = edges.sparkSession
-    e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, _ = materialise(e, "edges")
-    before = _state(e)
-    while before[0]:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(least.where("u != m").select("u", F.col("m").alias("v"))).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e, _ = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    one = edges.where("a != b").select("a", "b")
+    both, _ = materialise(one.union(one.select("b", "a")).toDF("u", "v").distinct(), "edges")
+    labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component"))
+    before, rounds = None, 0
+    while True:
+        for _ in range(STEPS):
+            handed = both.join(labels.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), "component")
+            labels = handed.union(labels).groupBy("node").agg(F.min("component").alias("component"))
+        if rounds >= PLAIN_ROUNDS:
+            further = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
+            labels = labels.join(further, "component").select("node", F.least("component", "further").alias("component"))
+        labels, _ = materialise(labels, "labels")
         release(spark)
-        after = _state(e)
+        rounds += 1
+        after = _state(labels)
         if after == before:
-            break
+            return labels
         before = after
-    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

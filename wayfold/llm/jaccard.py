@@ -32,8 +32,8 @@ from wayfold.llm.counts import Grams, corpus_counts, parts
 from wayfold.llm.shared import materialise, release
 
 ORDERS = 3
-#: Members of each group that the first and the second round of stars compare all others with.
-STAR_SEEDS = ((1, 2, 3, 4), (5, 6, 7, 8, 9, 10, 11, 12))
+#: Expected nodes in a block of a family; two blocks are compared by one task. Rows of several small blocks share a task.
+BLOCK_NODES, TASK_ROWS = 400, 3000
 _STEP = np.uint64(0xE7037ED1A0B428DB)
 #: Bytes of a stored shingle hash.
 _STORED = 6
@@ -85,11 +85,53 @@ def _unpack(blob: bytes) -> np.ndarray:
     return raw.view("<u8").ravel()
 
 
-def _common(left: np.ndarray, right: np.ndarray) -> int:
-    """The size of the intersection of two arrays of distinct values."""
-    both = np.concatenate([left, right])
-    both.sort(kind="stable")
-    return int((both[1:] == both[:-1]).sum())
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of the sets at `left` with those at `right`, by products of presence matrices."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    used = count[which] > 1
+    owner, column = owner[used], shared[which[used]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        part = slice(*np.searchsorted(column, [low, low + width]))
+        present = np.zeros((len(sets), width), dtype=np.float32)
+        present[owner[part], column[part] - low] = 1
+        out += present[left] @ present[right].T
+    return out
+
+
+def _block_links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest, each row linked with the first of its tree, of the similar pairs between two blocks (or in one)."""
+    n = table["n_shingles"].to_numpy().astype(np.int64)
+    block, low, high = table["block"].to_numpy(), table["low"][0].as_py(), table["high"][0].as_py()
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    meet = 100 * np.minimum.outer(n[left], n[right]) >= percent * np.maximum.outer(n[left], n[right])
+    meet &= np.less.outer(left, right) if low == high else True
+    for k in range(ORDERS):
+        if not meet.any():
+            return []
+        lists = table[f"prefix_{k + 1}"].combine_chunks()
+        values, upto = lists.values.to_numpy(), lists.offsets.to_numpy()
+        meet &= _overlaps([values[b:e] for b, e in zip(upto[:-1], upto[1:], strict=True)], left, right) > 0
+    if not meet.any():
+        return []
+    common = _overlaps([_unpack(x) for x in table["shared"].to_pylist()], left, right).astype(np.int64)
+    similar = meet & (100 * common >= percent * (np.add.outer(n[left], n[right]) - common))
+    root = list(range(len(n)))
+
+    def first(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in np.argwhere(similar).tolist():
+        x, y = first(int(left[a])), first(int(right[b]))
+        root[max(x, y)] = min(x, y)
+    return [(first(x), x) for x in range(len(n)) if first(x) != x]
 
 
 def document_sets(docs: DataFrame, percent: int, size: int, key: str, text: str) -> DataFrame:
@@ -134,45 +176,38 @@ def document_sets(docs: DataFrame, percent: int, size: int, key: str, text: str)
     return materialise(found, "sets")[0]
 
 
-def _fits(n: str, m: str, percent: int) -> str:
-    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose prefixes meet under all orders and whose sets are similar enough."""
-    carried = ["n_shingles", *(f"prefix_{k + 1}" for k in range(1, ORDERS)), "shared"]
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = batch.to_pydict()
-            keep = []
-            for row in range(batch.num_rows):
-                if any(set(columns[f"a_{c}"][row]).isdisjoint(columns[f"b_{c}"][row]) for c in carried[1:ORDERS]):
-                    continue
-                n, m = columns["a_n_shingles"][row], columns["b_n_shingles"][row]
-                common = _common(_unpack(columns["a_shared"][row]), _unpack(columns["b_shared"][row]))
-                if 100 * common >= percent * (n + m - common):
-                    keep.append(row)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    left, right = (nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in carried)) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").mapInArrow(check, "a binary, b binary")
-
-
-def _stars(members: DataFrame, seeds: tuple[int, ...], percent: int) -> DataFrame:
-    """Pairs of each group's members (token, node, n, part, weight) with a few of its members: those of the largest part
-    that come first under each seed. Members of one part are not paired."""
-    first = [F.min(F.struct((-F.col("weight")).alias("w"), F.xxhash64("node", F.lit(s)).alias("h"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("part").alias("part"))).alias(f"s{s}") for s in seeds]
-    heads = members.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), *first).where("low != high")
-    heads = heads.select("token", F.array(*(f"s{s}" for s in seeds)).alias("heads"))
-    chosen = f"filter(array_distinct(heads), h -> h.node != node and (part is null or h.part != part) and {_fits('n', 'h.n', percent)})"
-    paired = members.join(heads, "token").select("node", F.explode(F.expr(f"transform({chosen}, h -> h.node)")).alias("head"))
-    return paired.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-
-
-def _labelled(nodes: DataFrame, parts: DataFrame, column: str) -> DataFrame:
-    labels = parts.select(F.col("node"), F.col("component").alias(column))
-    return nodes.join(labels, "node", "left").withColumn(column, F.coalesce(column, "node"))
+def _families(nodes: DataFrame) -> DataFrame:
+    """(node, family): components of nodes that share a token of their first prefixes, by each token's least node."""
+    postings = nodes.select("node", F.explode("prefix_1").alias("token"))
+    heads = postings.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("token", "head")
+    edges = postings.join(heads, "token").where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    return components(edges.distinct()).withColumnRenamed("component", "family")
+
+
+def _links(nodes: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+    """(a, b, whole): links that connect what similar nodes connect; `whole` if a is its component's least node."""
+    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"))
+    placed, _ = materialise(families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "families")
+    rows = placed.agg(F.sum(F.col("blocks").cast("long"))).first()[0] or 0
+    tasks = max(1, -(-rows // TASK_ROWS))
+    copies = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    copies = copies.select("node", "family", "blocks", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    sent = copies.join(nodes, "node").withColumn("g", F.pmod(F.xxhash64("family", "low", "high"), F.lit(tasks)).cast("int"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("family", "ascending"), ("low", "ascending"), ("high", "ascending"), ("node", "ascending")])
+        names = list(zip(*(table[c].to_pylist() for c in ("family", "low", "high")), strict=True))
+        edges = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]] + [len(names)]
+        a, b, whole = [], [], []
+        for begin, end in zip(edges[:-1], edges[1:], strict=True):
+            own = table.slice(begin, end - begin)
+            for x, y in _block_links(own, percent):
+                a.append(own["node"][x].as_py())
+                b.append(own["node"][y].as_py())
+                whole.append(own["blocks"][0].as_py() == 1)
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "whole": pa.array(whole, pa.bool_())})
+
+    return materialise(sent.groupBy("g").applyInArrow(compare, "a binary, b binary, whole boolean"), "links")[0]
 
 
 def similar_components(docs: DataFrame, percent: int = 80, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,44 +218,19 @@ def similar_components(docs: DataFrame, percent: int = 80, size: int = 5, key: s
     """
     spark = docs.sparkSession
     documents = document_sets(docs, percent, size, key, text)
-    candidates = documents.where("shared is not null").groupBy("node")
     kept = ["n_shingles", *(f"prefix_{k + 1}" for k in range(ORDERS)), "shared"]
-    nodes, _ = materialise(candidates.agg(F.first(F.struct(*kept)).alias("x")).select("node", "x.*"), "nodes")
+    candidates = documents.where("shared is not null").groupBy("node").agg(F.first(F.struct(*kept)).alias("x"))
+    nodes, _ = materialise(candidates.select("node", "x.*"), "nodes")
     release(spark)
-    postings = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("prefix_1").alias("token"))
 
-    alone = F.lit(None).cast("binary")
-    pairs, _ = materialise(_stars(postings.withColumns({"part": alone, "weight": F.lit(0).cast("long")}), STAR_SEEDS[0], percent), "pairs")
-    links, _ = materialise(_verified(pairs, nodes, percent), "links")
+    links = _links(nodes, _families(nodes), percent)
     release(spark)
-
-    def parted(links: DataFrame) -> DataFrame:
-        found = _labelled(nodes.select("node"), components(links), "part")
-        weights = found.groupBy("part").agg(F.count("*").alias("weight"))
-        return materialise(found.join(weights, "part"), "parts")[0]
-
-    # second round: what is apart, against the largest part of each group
-    part = parted(links)
-    more, _ = materialise(_stars(postings.join(part, "node"), STAR_SEEDS[1], percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links, _ = materialise(links.union(_verified(more, nodes, percent)), "links")
-    part = parted(links)
-
-    # the rest: each node outside the main part of its family of candidates, against all members in other parts
-    family = _labelled(nodes.select("node"), components(pairs.union(more)), "family").join(part, "node")
-    main = family.groupBy("family").agg(F.max(F.struct("weight", "part")).alias("main"), F.min("part").alias("low"), F.max("part").alias("high")).where("low != high")
-    sketches = nodes.select("node", F.col("n_shingles").alias("n"), *(f"prefix_{k + 1}" for k in range(ORDERS)))
-    open_members, _ = materialise(family.join(main.select("family", F.col("main.part").alias("main")), "family").join(sketches, "node"), "members")
-    x, y = open_members.where("part != main").alias("x"), open_members.alias("y")
-    meets = [F.arrays_overlap(f"x.prefix_{k + 1}", f"y.prefix_{k + 1}") for k in range(ORDERS)]
-    once = F.expr("x.part != y.part and (y.part = y.main or x.node < y.node)")
-    rest = x.join(y, (F.col("x.family") == F.col("y.family")) & once & F.expr(_fits("x.n", "y.n", percent)) & meets[0] & meets[1] & meets[2])
-    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    rest = rest.join(pairs.union(more), ["a", "b"], "left_anti")
-    last, _ = materialise(_verified(rest, nodes, percent), "links")
-    release(spark)
-
-    part = _labelled(documents.where("node is not null").select("key", "node"), components(links.union(last)), "part")
-    least = part.groupBy("part").agg(F.min("key").alias("component_id"))
-    of_node = part.select("node", "part").distinct().join(least, "part").select("node", "component_id")
-    result = documents.select("key", "node", "n_shingles").join(of_node, "node", "left")
-    return result.select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
+    labels = links.where("whole").select(F.col("b").alias("node"), F.col("a").alias("part"))
+    split = links.where("not whole")
+    if not split.isEmpty():  # families of several blocks
+        labels = labels.union(components(split).select("node", "component"))
+
+    placed = documents.select("key", "node", "n_shingles").join(labels, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    least = placed.where("node is not null").groupBy("part").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1")
+    result = placed.join(least.select("part", "least"), "part", "left")
+    return result.select(F.col("key").alias(key), "n_shingles", F.coalesce("least", "key").alias("component_id"))
