@@ -200,8 +200,10 @@ def partial_correlation(x, y, z) -> Column:
 def lagged_correlation(df: DataFrame, x: str, y: str, order: list[str], partition: list[str], max_lag: int) -> DataFrame:
     """Correlation of x with y moved by 0..max_lag rows: partition, lag, r."""
     w = _whole(partition).orderBy(*order)
-    lags = df.select(*partition, F.col(x).alias("_x"), F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.lead(y, k).over(w).alias("_y")) for k in range(max_lag + 1)))).alias("_l"))
-    return lags.select(*partition, "_x", F.col("_l.lag").alias("lag"), F.col("_l._y").alias("_y")).where("_y is not null").groupBy(*partition, "lag").agg(correlation("_x", "_y").alias("r"))
+    leads = df.select(*partition, F.col(x).alias("_x"), *(F.lead(y, k).over(w).alias(f"_y{k}") for k in range(max_lag + 1)))
+    listed = F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"_y{k}").alias("_y")) for k in range(max_lag + 1)))
+    lags = leads.select(*partition, "_x", F.explode(listed).alias("_l")).select(*partition, "_x", "_l.*").where("_y is not null")
+    return lags.groupBy(*partition, "lag").agg(correlation("_x", "_y").alias("r"))
 
 
 def bins(x, low, high, n: int) -> Column:

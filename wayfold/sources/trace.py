@@ -36,9 +36,10 @@ def trace_points(spark: SparkSession, folder: str, track: Column | None = None)
     )
 
 
-#: The same points for DuckDB, as a common table expression named points.
-POINTS_SQL = """points AS (
-  SELECT event_id AS id, user_id % 4 AS track_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS data_time,
+def points_sql(track: str = "user_id % 4") -> str:
+    """The same points for DuckDB, as a common table expression named points."""
+    return f"""points AS (
+  SELECT event_id AS id, {track} AS track_id, CAST(floor(epoch(ts)) AS BIGINT) AS data_time,
     22.0E0 + (user_id * 37 % 200) / 100.0E0 + (event_id * 13 % 50) / 5000.0E0 AS lat,
     113.0E0 + (user_id * 53 % 300) / 100.0E0 + (event_id * 29 % 50) / 5000.0E0 AS lon,
     value AS speed, CAST(json_extract_string(props, '$.k') AS DOUBLE) + 5 AS accuracy,
