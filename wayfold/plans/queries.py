@@ -226,7 +226,7 @@ _SPEED = {
     "lim": "SELECT quantile_cont(avg_speed_kmh, 0.9) AS hi, quantile_cont(avg_speed_kmh, 0.25) AS lo FROM seg WHERE distance_m > 0",
 }
 #: Areas of these traces are all alike; limits nearer to the middle let some stand out.
-_ZONES = {**_SPEED, "lim": "SELECT quantile_cont(avg_speed_kmh, 0.7) AS hi, quantile_cont(avg_speed_kmh, 0.6) AS lo FROM seg WHERE distance_m > 0"}
+_ZONES = {**_SPEED, "lim": "SELECT quantile_cont(avg_speed_kmh, 0.5) AS hi, quantile_cont(avg_speed_kmh, 0.6) AS lo FROM seg WHERE distance_m > 0"}
 
 
 @query(sql("seg", "SELECT area_type, area_key, bucket_type, bucket_key, total_distance, segment_count, round(v, 4) AS avg_speed, round(h, 5) AS speed_entropy, CAST(v > hi AS INT) AS is_high_speed, CAST(v < lo AS INT) AS is_slow_life FROM spd, lim", more=_SPEED))
@@ -236,12 +236,12 @@ def speed_space(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(sql("seg", "SELECT area_key, round(v, 4) AS avg_speed FROM spd, lim WHERE v > hi AND bucket_type = 'all' AND area_type = 'CITY' ORDER BY v DESC, area_key LIMIT 10", more=_ZONES))
 def high_speed_zones(spark: SparkSession, folder: str) -> DataFrame:
-    return serving.serve(spatial.speed_space(segments(spark, folder), fast=0.7, slow=0.6), serving.VIEWS["high_speed_zones"], area_type="CITY").select("area_key", r("avg_speed", 4))
+    return serving.serve(spatial.speed_space(segments(spark, folder), fast=0.5, slow=0.6), serving.VIEWS["high_speed_zones"], area_type="CITY").select("area_key", r("avg_speed", 4))
 
 
 @query(sql("seg", "SELECT area_key, round(v, 4) AS avg_speed FROM spd, lim WHERE v < lo AND bucket_type = 'month' ORDER BY v, area_type, area_key, bucket_key LIMIT 10", more=_ZONES))
 def slow_life_zones(spark: SparkSession, folder: str) -> DataFrame:
-    return serving.serve(spatial.speed_space(segments(spark, folder), fast=0.7, slow=0.6), serving.VIEWS["slow_life_zones"], bucket_type="month").select("area_key", r("avg_speed", 4))
+    return serving.serve(spatial.speed_space(segments(spark, folder), fast=0.5, slow=0.6), serving.VIEWS["slow_life_zones"], bucket_type="month").select("area_key", r("avg_speed", 4))
 
 
 _D = {
