@@ -18,26 +18,31 @@ from wayfold.llm.shared import materialise
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """All columns in one, so that no column of documents can clash with an operator's, and what operators read."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
+
+
 def keep_known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Drop documents without a language: null texts and texts without a letter."""
-    marked = langid.predict(docs, language_model(spark, folder))
-    return marked.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    marked = langid.predict(_whole(docs).drop("doc_id"), language_model(spark, folder))
+    return marked.where(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Drop documents whose score is 0.5 or more."""
-    return toxicity.score(docs, toxicity_model(spark, folder)).where("score < 0.5").select(*docs.columns)
+    return toxicity.score(_whole(docs).drop("doc_id"), toxicity_model(spark, folder)).where("score < 0.5").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Keep one document of each component of near duplicates, that with the least doc_id; five words, 0.8."""
     found = jaccard.similar_components(docs, percent=80, size=5).select("doc_id", "component_id")
     kept = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    same = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    rows = _whole(docs).withColumn("digest", F.xxhash64("text")).drop("text")
+    same = rows.join(kept, rows["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
     # repeated rows share their doc_id and text: one stays
-    repeats = Window.partitionBy("doc_id", "_text").orderBy("doc_id")
-    first = same.withColumn("_text", F.xxhash64("text")).withColumn("_rank", F.row_number().over(repeats))
-    return first.where("_rank = 1").select(*docs.columns)
+    repeats = Window.partitionBy("doc_id", "digest").orderBy("doc_id")
+    return same.withColumn("rank", F.row_number().over(repeats)).where("rank = 1").select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

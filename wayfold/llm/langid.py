@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wayfold.llm.bytescan import mix
 from wayfold.llm.shared import small_batches
@@ -135,12 +136,16 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text")
 
 
 def predict(docs: DataFrame, model: KernelModel, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score: the best language, and its share of the languages' values after a softmax."""
+    """docs with lang_pred and score: the best language, and its share of the languages' values after a softmax.
+
+    Columns of docs with these names are replaced.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
+    docs = docs.drop(*(c for c in ("lang_pred", "score") if c != text))
     place = docs.columns.index(text)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, lang_pred string, score double"
+    schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from wayfold.llm.decontaminate import LOWER, UPPER
 from wayfold.llm.shared import small_batches
@@ -247,12 +248,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and matched (clauses by pattern, damped)."""
+    """docs with score (0 to 1) and matched (clauses by pattern, damped); columns of docs with these names are replaced."""
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
+    docs = docs.drop(*(c for c in ("score", "matched") if c != text))
     place = docs.columns.index(text)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, score double, matched array<double>"
+    schema = StructType([*docs.schema.fields]).add("score", "double").add("matched", ArrayType(DoubleType()))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
