@@ -47,7 +47,9 @@ SEEDS = {
 #: Labelled texts that are learned from (the expected size of a hash sample) and learned insults at most.
 LEARN_DOCS, LEARNED_WORDS = 20_000, 500
 #: A learned insult: different neighbours, share of toxic texts among its texts, neighbours per text.
-CONTEXTS, RELIABLE, SPREAD = 20, 0.8, 0.3
+CONTEXTS, RELIABLE, SPREAD = 5, 0.8, 0.3
+#: Power of a learned word's reliability in its weight: a doubtful word alone decides nothing.
+SHARPNESS = 4
 #: Words after a negation that it denies.
 REACH = 3
 PATTERNS = ("insult", "aimed insult", "threat", "aimed harm", "denied", "reported")
@@ -230,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     for word, hits, misses in _learned_insults(sample):
         kind = lexicon.get(word, (INSULT, 0.0))[0]
         if kind in (INSULT, HARM):
-            lexicon[word] = (kind, (hits + 1) / (hits + misses + 1.5))
+            lexicon[word] = (kind, ((hits + 1) / (hits + misses + 1.5)) ** SHARPNESS)
     small_batches(docs.sparkSession)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
