@@ -87,6 +87,15 @@ def test_decontamination_against_a_loop(spark, docs):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_decontamination_of_repeated_rows(spark):
+    ten = " ".join(f"t{k}" for k in range(10))
+    rows = [(1, f"a {ten} b"), (1, f"a {ten} b"), (1, f"a {ten} b"), (2, ten), (3, "x one two three y"), (3, "x one two three y"), (4, "t0 t1 t2")]
+    items = spark.createDataFrame([(7, ten), (8, "one two three")], "item_id long, text string")
+    found = decontaminate.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], list(r["items"])) for r in found.collect()]
+    assert sorted(got) == [(1, 12, 10, ["7"])] * 3 + [(2, 10, 10, ["7"])] + [(3, 5, 3, ["8"])] * 2 + [(4, 3, 0, [])]
+
+
 def test_lm_against_a_loop(spark, docs):
     rows = [(k, t, k is None or k % 2 == 0) for k, t in all_rows(docs)]
 

@@ -77,7 +77,8 @@ def phrase_matches(index: DataFrame, terms: DataFrame, distinct_windows: DataFra
     on = ["k1", "k2", "window", "start"]
     first = moved(1)
     met = first.where("n >= 2").join(moved(2).select(*on), on, "left_semi").union(first.where("n = 1").select(*on, "n"))
-    starts, _ = materialise(met.select(*on, "n"), "starts")
+    # copies of a document share k1 and k2: each start once, as the lists of one copy
+    starts, _ = materialise(met.select(*on, "n").distinct(), "starts")
     # the other lists, only of documents that are left
     rest = starts.where(F.col("n") > SEEDS).join(lists.where(F.col("rank") > SEEDS).select("window", "term", "offset"), "window")
     asked = rest.select(*on, "n", "term", (F.col("start") + F.col("offset")).alias("pos"))
