@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -163,6 +164,20 @@ def test_token_shards_give_back_all_ids(spark, docs):
     assert sorted(perfecthash.lookup(perfecthash.build(keys), len(keys), keys).tolist()) == list(range(len(keys)))
 
 
+@pytest.mark.parametrize("vocabulary, keeps_space", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_special_tokens_within_texts(vocabulary, keeps_space):
+    from tokenizers import Tokenizer
+
+    from wayfold.llm.encode import StretchEncoder, vocabulary_path
+
+    texts = [BASE, "a <|endoftext|> b", "", None, "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> <|EndOfText|>", "It's <|endoftext|><|ENDOFTEXT|>x\n\n<|endoftext|>", "<|endoftext", "a <|startoftext|>b  c", BASE]
+    plain = Tokenizer.from_file(vocabulary_path(vocabulary))
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for column in (pa.array(texts), pa.array(["cut off", *texts])[1:], pa.chunked_array([texts[:4], texts[4:]])):
+        ids, starts = StretchEncoder(vocabulary_path(vocabulary), keeps_space).encode(column)
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == want
+
+
 def test_media_round_trip_and_damage(spark, docs, tmp_path):
     _, folder = media.write_media(docs, "doc_id", "text")
     back = media.describe(media.read_media(spark, folder, rangeBytes="1000")).select(media.member_key("member", "long").alias("k"), "payload", "n_bytes").collect()

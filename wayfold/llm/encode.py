@@ -2,6 +2,8 @@
 
 Byte-level and word-level vocabularies never merge across the place where white space begins, so a text's ids are
 those of its stretches in order. A worker keeps the ids of stretches it has met, up to a bound, in numpy arrays.
+A row that holds a special token's text, such as <|endoftext|>, goes whole to the library, which gives that text its
+one id: all ids are those of Tokenizer.encode(text, add_special_tokens=False).
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from wayfold.llm.bytescan import LOWER_ASCII, byte_set, column_bytes, hash_spans, row_blocks, words
@@ -41,7 +44,11 @@ class StretchEncoder:
     def __init__(self, path: str, keeps_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        #: Stretches come folded and without the rows that hold special tokens, so none may arise in them.
         self.tokenizer.encode_special_tokens = True
+        #: For the rows that hold one; special tokens are matched in a text as it stands, case and all.
+        self.whole = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         if hasattr(self.tokenizer.model, "_resize_cache"):  # each stretch comes once: its own cache only costs time
             self.tokenizer.model._resize_cache(0)
         self.keeps_space = keeps_space
@@ -161,6 +168,20 @@ class StretchEncoder:
 
     def encode(self, column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and where each row's ids begin (rows + 1). Null counts as empty; empty texts have no ids."""
+        marked = np.zeros(len(column), dtype=bool)
+        for token in self.special:
+            marked |= pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._encode_unmarked(column)
+        rows = np.flatnonzero(marked)
+        ids, starts = self._encode_unmarked(pc.if_else(pa.array(marked), "", column))
+        found = [np.array(self.whole.encode(column[k].as_py(), add_special_tokens=False).ids, dtype=np.int32) for k in rows.tolist()]
+        length = np.zeros(len(column), dtype=np.int64)
+        length[rows] = [len(x) for x in found]
+        # unmarked rows' ids stay in order; a marked row has none there yet
+        return np.insert(ids, np.repeat(starts[rows], length[rows]), np.concatenate(found)), starts + np.concatenate([[0], np.cumsum(length)])
+
+    def _encode_unmarked(self, column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = column_bytes(column)
         ids, starts, total = [], [np.zeros(1, dtype=np.int64)], 0
         for first, last in row_blocks(offsets, _BLOCK):
