@@ -36,3 +36,9 @@ def test_query(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
+
+
+def test_density_levels_of_all_levels(spark):
+    rows = QUERIES["density_levels_all"](spark, FOLDER).collect()
+    assert {r["grid_id"].split("_")[0] for r in rows} == {"L8", "L10", "L12", "L15"}
+    assert len({r["grid_id"] for r in rows}) == len(rows) == QUERIES["grid_cells"](spark, FOLDER).count()

@@ -219,6 +219,12 @@ def density_levels(spark: SparkSession, folder: str) -> DataFrame:
     return spatial.density_levels(cells(spark, folder), 12).select("grid_id", r("score"), "density_level")
 
 
+@query(ORACLES["density_levels"].replace(" FROM cell WHERE level = 12", " FROM cell"))
+def density_levels_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The cells of all levels, rated together; density_levels rates level 12 alone."""
+    return spatial.density_levels(cells(spark, folder)).select("grid_id", r("score"), "density_level")
+
+
 _SPEED = {
     "wide": fan("(SELECT * FROM seg WHERE distance_m > 0)", "province city county", "all year month", "start_time"),
     "bins": "SELECT area_type, area_key, bucket_type, bucket_key, floor(avg_speed_kmh / 10) AS b, sum(distance_m) AS d, sum(avg_speed_kmh * distance_m) AS vd, count(*) AS n FROM wide GROUP BY ALL",
