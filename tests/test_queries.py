@@ -42,3 +42,8 @@ def test_density_levels_of_all_levels(spark):
     rows = QUERIES["density_levels_all"](spark, FOLDER).collect()
     assert {r["grid_id"].split("_")[0] for r in rows} == {"L8", "L10", "L12", "L15"}
     assert len({r["grid_id"] for r in rows}) == len(rows) == QUERIES["grid_cells"](spark, FOLDER).count()
+
+
+def test_time_axis_markers_of_all_kinds(spark):
+    kinds = {r["marker_type"] for r in QUERIES["time_axis_markers_all"](spark, FOLDER).select("marker_type").distinct().collect()}
+    assert kinds == {"segment_start", "segment_end", "stay", "speed_event", "altitude_event"}

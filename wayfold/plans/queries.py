@@ -466,6 +466,31 @@ def time_axis_markers(spark: SparkSession, folder: str) -> DataFrame:
     return presentation.time_axis_markers(s, behavior.admin_stays(p), none_fast, none_steep).select("marker_time", "marker_type", "label", "source_id")
 
 
+@query(ORACLES["time_axis_markers"].replace("\nSELECT start_time AS marker_time", """,
+fast AS (SELECT * FROM (SELECT min(sid) AS segment_id, max(speed) AS top, min(data_time) AS t0, max(data_time) AS t1, first(data_time ORDER BY speed DESC, data_time, id) AS peak_time FROM (
+    SELECT *, sum(CASE WHEN pt IS NULL OR (low > pt AND low - pt > 10) THEN 1 ELSE 0 END) OVER (PARTITION BY track_id, run ORDER BY data_time, id) AS ev FROM (
+      SELECT *, lag(data_time) OVER (PARTITION BY track_id, run ORDER BY data_time, id) AS pt FROM (
+        SELECT *, last_value(CASE WHEN speed < 33.33 THEN data_time END IGNORE NULLS) OVER w AS low, first_value(id) OVER w AS sid, max(data_time) OVER (PARTITION BY track_id, run) - min(data_time) OVER (PARTITION BY track_id, run) AS s
+        FROM runs WHERE mode = 'CAR' WINDOW w AS (PARTITION BY track_id, run ORDER BY data_time, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+      WHERE s >= 10 AND speed >= 33.33))
+  GROUP BY track_id, run, ev) WHERE t1 - t0 >= 60),
+steep AS (SELECT track_id, k, t0, a1 - a0 AS change FROM (
+  SELECT track_id, k, first(pt ORDER BY data_time, id) AS t0, max(data_time) AS t1, first(pa ORDER BY data_time, id) AS a0, last(altitude ORDER BY data_time, id) AS a1 FROM (
+    SELECT *, sum(CASE WHEN pk = k THEN 0 ELSE 1 END) OVER (PARTITION BY track_id ORDER BY data_time, id) AS run FROM (
+      SELECT *, lag(k) OVER (PARTITION BY track_id ORDER BY data_time, id) AS pk FROM (
+        SELECT *, CASE WHEN altitude - pa > 10 THEN 'CLIMB' WHEN altitude - pa < -10 THEN 'DESCENT' ELSE 'FLAT' END AS k FROM (
+          SELECT *, lag(altitude) OVER w AS pa, lag(data_time) OVER w AS pt FROM clean WHERE altitude > -500 AND altitude < 9000 WINDOW w AS (PARTITION BY track_id ORDER BY data_time, id)))))
+  WHERE k <> 'FLAT' GROUP BY track_id, run, k) WHERE abs(a1 - a0) >= 100 AND t1 - t0 >= 300)
+SELECT start_time AS marker_time""") + """ UNION ALL
+  SELECT peak_time, 'speed_event', 'Speed ' || CAST(round(top * 3.6) AS BIGINT) || ' km/h', segment_id FROM (SELECT * FROM fast ORDER BY peak_time, segment_id LIMIT 200) UNION ALL
+  SELECT t0, 'altitude_event', k || ' ' || CAST(round(change) AS BIGINT) || 'm', track_id FROM (SELECT * FROM steep ORDER BY t0, track_id LIMIT 200)""")
+def time_axis_markers_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Markers of all kinds, speed and altitude events too; time_axis_markers has none of these. The viewer's limits are part of this operator."""
+    p = user_points(spark, folder)
+    found = presentation.time_axis_markers(behavior.transport_segments(p), behavior.admin_stays(p), behavior.speed_events(p), spatial.altitude_events(p))
+    return found.select("marker_time", "marker_type", "label", "source_id")
+
+
 @query(sql("seg stay", f"""SELECT s.stay_id, CAST(hour({ts("s.start_time")}) AS INT) AS hour, CAST(dayofweek({ts("s.start_time")}) AS INT) AS weekday, CAST(day({ts("s.start_time")}) <> day({ts("s.end_time")}) AS INT) AS is_overnight, round(s.duration_s / 3600, 5) AS hours,
   (SELECT mode FROM seg g WHERE g.track_id = s.track_id AND g.end_time <= s.start_time ORDER BY g.end_time DESC, g.mode DESC LIMIT 1) AS arrival, (SELECT mode FROM seg g WHERE g.track_id = s.track_id AND g.start_time >= s.end_time ORDER BY g.start_time, g.mode LIMIT 1) AS departure FROM stay s""", "user_id"))
 def stay_annotation(spark: SparkSession, folder: str) -> DataFrame:
