@@ -6,10 +6,10 @@ one document first and otherwise rarer ones before commoner ones, by three diffe
 documents share stands in the prefixes, and a passage that many documents share does not. A candidate pair must meet in
 the prefixes of all orders, and fit in size, before its sets are compared.
 
-Documents with equal sets are one node. Nodes that meet in a prefix are linked through a few chosen members of each
-group instead of all pairs (stars). What the verified stars leave apart within a family of candidates is then compared
-node by node: each node outside its family's main component against the members that may be similar. So no link between
-different components is lost, and a group of copies costs about as much as it has members.
+Documents with equal sets are one node. Nodes that share tokens of their first prefixes, directly or through others, are
+a family. A family is dealt to blocks of about BLOCK_NODES nodes, every two blocks are compared by one task, and the
+prefixes of all orders mask the pairs before sets are compared. So no link between different components is lost, but a
+family of F nodes costs F * F pairs, and its nodes are copied F / BLOCK_NODES times. A large family does not scale.
 
 Words: A-Z lower-cased, split at ASCII white space. A document with fewer words than a shingle has one shingle, all of
 them; without words (or null) its set is empty and linked with nothing. Null keys are kept. Repeated rows are one node.
