@@ -97,31 +97,57 @@ def test_decontamination_of_repeated_rows(spark):
     assert sorted(got) == [(1, 12, 10, ["7"])] * 3 + [(2, 10, 10, ["7"])] + [(3, 5, 3, ["8"])] * 2 + [(4, 3, 0, [])]
 
 
-def test_lm_against_a_loop(spark, docs):
+@pytest.mark.parametrize("order, mu", [(3, lm.MU), (2, (5.0,)), (1, ()), (4, (3.0, 2.0, 1.0))])
+def test_lm_against_a_loop(spark, docs, order, mu):
     rows = [(k, t, k is None or k % 2 == 0) for k, t in all_rows(docs)]
 
     def tokens(t):
         return [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), "</s>"]
 
-    uni, bi, begun = Counter(), Counter(), Counter()
+    grams, contexts = Counter(), Counter()
     for _, t, learn in rows:
-        if learn:
-            w = tokens(t)
-            uni.update(w)
-            bi.update(zip(["<s>", *w], w, strict=False))
-            begun.update(["<s>", *w[:-1]])
-    n, v = sum(uni.values()), len(uni)
+        w = ["<s>", *tokens(t)]
+        for n in range(1, order + 1) if learn else ():
+            for k in range(max(1, n - 1), len(w)):
+                grams[tuple(w[k - n + 1 : k + 1])] += 1
+                contexts[tuple(w[k - n + 1 : k])] += 1
+    n, v = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+
+    def chance(history, word):
+        if not history:
+            return (grams[(word,)] + 0.5) / (n + 0.5 * (v + 1))
+        m = mu[len(history) - 1]
+        return (grams[(*history, word)] + m * chance(history[1:], word)) / (contexts[history] + m)
+
+    known = [g[0] for g in grams if len(g) == 1]
+    for history in [(), *list(contexts)[:20]]:
+        assert abs(sum(chance(history, x) for x in known) + chance(history, "a word never seen") - 1) < 1e-9
     want = []
     for k, t, _ in rows:
-        w = tokens(t)
-        base = [math.log10((uni[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w]
-        full = [math.log10((bi[a, x] + lm.MU * 10**b) / (begun[a] + lm.MU)) for a, x, b in zip(["<s>", *w], w, base, strict=False)]
-        want.append((k, len(w), sum(uni[x] > 0 for x in w), n, round(sum(base), 6), round(sum(full), 6)))
+        w = ["<s>", *tokens(t)]
+        base = sum(math.log10(chance((), x)) for x in w[1:])
+        full = sum(math.log10(chance(tuple(w[max(0, i - order + 1) : i]), w[i])) for i in range(1, len(w)))
+        want.append((k, len(w) - 1, sum(grams[(x,)] > 0 for x in w[1:]), n, round(base, 6), round(full, 6)))
     df = docs.select("doc_id", "text", F.expr("doc_id is null or doc_id % 2 = 0").alias("learn"))
-    got = [(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in lm.score(df).collect()]
+    got = [(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in lm.score(df, order=order, mu=mu).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_lm_automaton_has_states_arcs_and_failure_arcs():
+    part = pa.table({"text": pa.chunked_array([["a b c", "a b d"]]), "learn": pa.chunked_array([[True, True]])})
+    grams = lm.Ngrams.of(part, 3)
+    count = [added for _, added in grams.counted(part["learn"]).values()]
+    machine, _ = lm.build(grams, count, 8, 5, (4.0, 2.0))
+    assert len(machine.fail_to) == 2 + 4 + 4  # root, begin; a b c d; (begin a) (a b) (b c) (b d)
+    assert machine.fail_to[0] == 0 and (machine.fail_to[1:] < np.arange(1, 10)).all()
+    assert len(machine.arc) == 5 + 6 + 5  # words and the end; 2-grams; 3-grams
+    state, weights = np.array([1]), 0.0
+    for word in grams.at[0][:4]:
+        state, weight = machine.step(state, np.array([word]))
+        weights += weight[0]
+    assert abs(weights - machine.traverse(grams.at[0], grams.starts, 2)[0]) < 1e-12
+
+
 def test_packing(spark, docs):
     out = packing.pack(packing.token_pieces(docs, "word_bpe_49k.json", keeps_space=False, capacity=128), capacity=128).collect()
     by = defaultdict(list)

@@ -1,11 +1,16 @@
 """Corpus counts of hashed n-grams, brought back to the texts that hold them.
 
 Texts are read in parts of about PART_BYTES. A part sends each distinct n-gram once, as a sorted array for each range
-of hash values (bucket); a bucket's task adds up what all parts sent and returns to each part the totals of what it
-had sent. So an n-gram that every text holds is one entry a part, never a hot row, and a part's totals fit in memory
-however large the corpus is. Totals are written to the shared folder by part, for the pass over the same rows that
-uses them. Both passes must see the same rows in the same partitions, as scans of files do; a part's name holds a
-checksum of its n-grams, so that a pass over other rows fails instead of using wrong totals.
+of hash values (bucket), each hash as its distance from the one before; a bucket's task adds up what all parts sent and
+returns to each part the totals of what it had sent. So an n-gram that every text holds is one entry a part, never a
+hot row, and a part's totals fit in memory however large the corpus is. Totals are written to the shared folder, a
+folder for each partition of the input, for the pass over the same rows that uses them. Both passes must see the same
+rows in the same partitions, as scans of files do; a part's name holds a checksum of its n-grams, so that a pass over
+other rows fails instead of using wrong totals.
+
+Bytes sent are in proportion to the n-grams. Arrays are one for each part and bucket that have any n-gram in common:
+beyond some hundred gigabytes they hold few n-grams each, and in the limit one, as in a plain count by n-gram. The
+number of tasks grows with the input, so what one task reads does not.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ from wayfold.llm.shared import filesystem, fresh_folder, release, small_batches
 #: Bytes of text in a part, and text whose n-grams a bucket holds.
 PART_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
+#: Bytes of text whose totals one task writes, and folders over which the sums of buckets are spread.
+BACK_BYTES, SUM_FOLDERS = 32 << 20, 64
 #: For each kind of n-gram: sorted distinct hashes (uint32 or uint64) and what this part adds to each one's count.
 Grams = dict[int, tuple[np.ndarray, np.ndarray]]
 
@@ -44,13 +51,17 @@ def parts(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def part_name(number: int, grams: Grams) -> str:
+def _partition() -> int:
     context = TaskContext.get()
     assert context is not None
+    return context.partitionId()
+
+
+def part_name(number: int, grams: Grams) -> str:
     seal = 0
     for kind in sorted(grams):
         seal = zlib.crc32(grams[kind][0].data, seal)
-    return f"{context.partitionId():07d}-{number:05d}-{seal:08x}"
+    return f"{_partition():07d}-{number:05d}-{seal:08x}"
 
 
 def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -60,39 +71,64 @@ def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, np.array(limits, dtype=keys.dtype)), len(keys))
 
 
+def _distances(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first one, and the distances between them in the fewest whole bytes."""
+    steps = np.diff(keys.astype("<u8"))
+    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
+    packed = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width])
+    return bytes([width]) + int(keys[0]).to_bytes(8, "little") + packed.tobytes()
+
+
+def _from_distances(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    packed = np.frombuffer(blob, dtype=np.uint8, offset=9).reshape(-1, width)
+    steps = np.zeros((len(packed) + 1, 8), dtype=np.uint8)
+    steps[0] = np.frombuffer(blob, dtype=np.uint8, count=8, offset=1)
+    steps[1:, :width] = packed
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
 class Totals:
-    """Corpus counts of all n-grams, as files by part; sums: kind -> (distinct counted n-grams, all counts)."""
+    """Corpus counts of all n-grams, as files by partition; sums: kind -> (distinct counted n-grams, all counts)."""
 
     def __init__(self, folder: str, buckets: int, sums: dict[int, tuple[int, int]]):
         self.folder, self.buckets, self.sums = folder, buckets, sums
+        self._read: tuple[int, dict[tuple[str, int, int], bytes]] | None = None
+
+    def _of_partition(self) -> dict[tuple[str, int, int], bytes]:
+        """In a task: what was written for its partition, read once. About a byte for each distinct n-gram of a part."""
+        if self._read is None or self._read[0] != _partition():
+            fs, path = filesystem(f"{self.folder}/source={_partition()}")
+            blobs: dict[tuple[str, int, int], bytes] = {}
+            for found in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
+                if found.is_file and not found.base_name.startswith(("_", ".")):
+                    table = pq.read_table(found.path, columns=["part", "kind", "bucket", "totals"], filesystem=fs, partitioning=None)
+                    names = zip(*(table[c].to_pylist() for c in ("part", "kind", "bucket")), strict=True)
+                    blobs |= dict(zip(names, table["totals"].to_pylist(), strict=True))
+            self._read = (_partition(), blobs)
+        return self._read[1]
 
     def of_part(self, number: int, grams: Grams) -> dict[int, np.ndarray]:
         """In a task: the totals of a part's n-grams, aligned with their sorted hashes."""
-        name = part_name(number, grams)
-        fs, path = filesystem(f"{self.folder}/part={name}")
-        found = [x.path for x in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if x.is_file and not x.base_name.startswith(("_", "."))]
-        if not found and any(len(keys) for keys, _ in grams.values()):
-            raise RuntimeError(f"no counts for part {name}: the two passes read different rows; write the input as a table first")
-        blobs: dict[tuple[int, int], bytes] = {}
-        for file in found:
-            table = pq.read_table(file, filesystem=fs, partitioning=None)
-            blobs |= {(k, b): x for k, b, x in zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), table["totals"].to_pylist(), strict=True)}
+        name, blobs = part_name(number, grams), self._of_partition()
         out = {}
         for kind, (keys, _) in grams.items():
             edges = _edges(keys, self.buckets)
             totals = np.zeros(len(keys), dtype=np.int64)
             for b in np.flatnonzero(np.diff(edges)).tolist():
-                n, blob = int(edges[b + 1] - edges[b]), blobs[kind, b]
+                n, blob = int(edges[b + 1] - edges[b]), blobs.pop((name, kind, b), None)
+                if blob is None:
+                    raise RuntimeError(f"no counts for part {name}: the two passes read different rows; write the input as a table first")
                 totals[edges[b] : edges[b + 1]] = np.frombuffer(blob, dtype=f"<u{len(blob) // n}")
             out[kind] = totals
         return out
 
 
-def corpus_counts(docs: DataFrame, grams_of: Callable[[pa.Table], Grams], name: str, text: str = "text") -> Totals:
-    """Count all n-grams that grams_of finds in parts of docs."""
+def corpus_counts(docs: DataFrame, grams_of: Callable[[pa.Table], Grams], name: str, kinds: int = 1, text: str = "text") -> Totals:
+    """Count all n-grams that grams_of finds in parts of docs, of so many kinds."""
     spark = docs.sparkSession
     small_batches(spark)
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,47 +143,50 @@ def corpus_counts(docs: DataFrame, grams_of: Callable[[pa.Table], Grams], name:
                     [
                         pa.array([kind] * len(used), pa.int32()),
                         pa.array(used, pa.int32()),
+                        pa.array([_partition()] * len(used), pa.int32()),
                         pa.array([name] * len(used), pa.string()),
-                        pa.array([keys[c].tobytes() for c in cut], pa.binary()),
+                        pa.array([_distances(keys[c]) for c in cut], pa.binary()),
                         pa.array([_least(added[c]) for c in cut], pa.binary()),
-                        pa.array([keys.dtype.itemsize] * len(used), pa.int32()),
                     ],
-                    names=["kind", "bucket", "part", "keys", "added", "width"],
+                    names=["kind", "bucket", "source", "part", "keys", "added"],
                 )
 
     def add_up(table: pa.Table) -> pa.Table:
-        width = table["width"][0].as_py()
-        keys = [np.frombuffer(x, dtype=f"<u{width}") for x in table["keys"].to_pylist()]
+        kind, bucket, rows = table["kind"][0].as_py(), table["bucket"][0].as_py(), len(table)
+        keys = [_from_distances(x) for x in table["keys"].to_pylist()]
         added = [np.frombuffer(x, dtype=f"<u{len(x) // len(k)}") for x, k in zip(table["added"].to_pylist(), keys, strict=True)]
+        upto = np.cumsum([len(k) for k in keys])
         distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
         totals = np.bincount(which, weights=np.concatenate(added), minlength=len(distinct)).astype(np.int64)
-        upto = np.cumsum([len(k) for k in keys])
-        own = [_least(totals[which[end - len(k) : end]]) for end, k in zip(upto.tolist(), keys, strict=True)]
-        rows = len(keys)
+        own = [_least(totals[which[begin:end]]) for begin, end in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
         return pa.table(
             {
-                "part": pa.array([*table["part"].to_pylist(), "all"]),
-                "kind": pa.array([table["kind"][0].as_py()] * (rows + 1), pa.int32()),
-                "bucket": pa.array([table["bucket"][0].as_py()] * (rows + 1), pa.int32()),
+                "source": pa.array([*table["source"].to_pylist(), -1 - bucket % SUM_FOLDERS], pa.int32()),
+                "part": pa.array([*table["part"].to_pylist(), ""]),
+                "kind": pa.array([kind] * (rows + 1), pa.int32()),
+                "bucket": pa.array([bucket] * (rows + 1), pa.int32()),
                 "totals": pa.array([*own, b""], pa.binary()),
                 "n_counted": pa.array([0] * rows + [int((totals > 0).sum())], pa.int64()),
                 "n_all": pa.array([0] * rows + [int(totals.sum())], pa.int64()),
             }
         )
 
-    sent = docs.mapInArrow(send, "kind int, bucket int, part string, keys binary, added binary, width int")
-    totals = sent.groupBy("kind", "bucket").applyInArrow(add_up, "part string, kind int, bucket int, totals binary, n_counted long, n_all long")
+    sent = docs.mapInArrow(send, "kind int, bucket int, source int, part string, keys binary, added binary").repartition(kinds * buckets, "kind", "bucket")
+    schema = "part string, kind int, bucket int, totals binary, n_counted long, n_all long"
+    totals = sent.groupBy("kind", "bucket").applyInArrow(add_up, f"source int, {schema}")
     folder = fresh_folder(spark, f"{name}-counts")
-    totals.repartition("part").write.partitionBy("part").parquet(folder)
+    totals.repartition(max(1, -(-size // BACK_BYTES)), "source").write.partitionBy("source").parquet(folder)
     release(spark)
-    schema = "kind int, bucket int, totals binary, n_counted long, n_all long, part string"
-    sums = spark.read.schema(schema).parquet(folder).where("part = 'all'").groupBy("kind").agg(F.sum("n_counted").alias("n"), F.sum("n_all").alias("c")).collect()
-    return Totals(folder, buckets, {r["kind"]: (r["n"], r["c"]) for r in sums})
+    fs, path = filesystem(folder)
+    own = [k for k in range(min(buckets, SUM_FOLDERS)) if fs.get_file_info(f"{path}/source={-1 - k}").type == pafs.FileType.Directory]
+    if not own:
+        return Totals(folder, buckets, {})
+    found = spark.read.schema(schema).parquet(*(f"{folder}/source={-1 - k}" for k in own)).groupBy("kind").agg(F.sum("n_counted").alias("n"), F.sum("n_all").alias("c")).collect()
+    return Totals(folder, buckets, {r["kind"]: (r["n"], r["c"]) for r in found})
 
 
 def _least(values: np.ndarray) -> bytes:
     """Unsigned counts in the fewest bytes an item."""
     top = int(values.max()) if len(values) else 0
     return values.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8").tobytes()
-
-
