@@ -33,9 +33,10 @@ from wayfold.llm.counts import Grams, corpus_counts, parts
 _END = np.uint64(0x1F3D5B79A2C4E680)
 _BEGIN = np.uint64(0x7C6A5B4D3E2F1908)
 _STEP = np.uint64(0xA0761D6478BD642F)
-#: Words in an n-gram, and the weight of the shorter context by the length of the n-gram (2, 3, ...).
+#: Words in an n-gram, and the weight of the shorter context by the length of the n-gram (2, 3, ...), chosen by held-out
+#: log-probability a token at sf0.1: -3.78 with order 2 and 256, -3.53 with these, -3.45 with order 4 and (256, 8, 1).
 ORDER = 3
-MU = (64.0, 8.0)
+MU = (256.0, 8.0)
 #: Tokens of a text that one lane of the traversal reads.
 STRETCH = 256
 #: The states of no context and of a text's begin.
