@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from wayfold.llm.shared import filesystem, fresh_folder, release, small_batches
 
 #: Bytes of text in a part, and text whose n-grams a bucket holds.
-PART_BYTES = 8 << 20
-BUCKET_BYTES = 8 << 20
+PART_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20
 #: Bytes of text whose totals one task writes, and folders over which the sums of buckets are spread.
 BACK_BYTES, SUM_FOLDERS = 32 << 20, 64
 #: For each kind of n-gram: sorted distinct hashes (uint32 or uint64) and what this part adds to each one's count.
@@ -71,21 +72,28 @@ def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, np.array(limits, dtype=keys.dtype)), len(keys))
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Unsigned integers as planes of bytes, the lowest bytes of all first, without the planes that are all 0; compressed."""
+    width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.compress(planes.tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob[1:]), dtype=np.uint8).reshape(blob[0], -1)
+    values = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    values[:, : blob[0]] = planes.T
+    return values.view("<u8").ravel()
+
+
 def _distances(keys: np.ndarray) -> bytes:
-    """Sorted keys as the first one, and the distances between them in the fewest whole bytes."""
-    steps = np.diff(keys.astype("<u8"))
-    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
-    packed = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width])
-    return bytes([width]) + int(keys[0]).to_bytes(8, "little") + packed.tobytes()
+    """Sorted keys as the first one and the distances between them."""
+    return int(keys[0]).to_bytes(8, "little") + _packed(np.diff(keys.astype(np.uint64)))
 
 
 def _from_distances(blob: bytes) -> np.ndarray:
-    width = blob[0]
-    packed = np.frombuffer(blob, dtype=np.uint8, offset=9).reshape(-1, width)
-    steps = np.zeros((len(packed) + 1, 8), dtype=np.uint8)
-    steps[0] = np.frombuffer(blob, dtype=np.uint8, count=8, offset=1)
-    steps[1:, :width] = packed
-    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+    first = np.frombuffer(blob, dtype="<u8", count=1)
+    return np.cumsum(np.concatenate([first, _unpacked(blob[8:])]), dtype=np.uint64)
 
 
 class Totals:
@@ -96,7 +104,7 @@ class Totals:
         self._read: tuple[int, dict[tuple[str, int, int], bytes]] | None = None
 
     def _of_partition(self) -> dict[tuple[str, int, int], bytes]:
-        """In a task: what was written for its partition, read once. About a byte for each distinct n-gram of a part."""
+        """In a task: what was written for its partition, read once: less than a byte for each distinct n-gram of a part."""
         if self._read is None or self._read[0] != _partition():
             fs, path = filesystem(f"{self.folder}/source={_partition()}")
             blobs: dict[tuple[str, int, int], bytes] = {}
@@ -116,10 +124,10 @@ class Totals:
             edges = _edges(keys, self.buckets)
             totals = np.zeros(len(keys), dtype=np.int64)
             for b in np.flatnonzero(np.diff(edges)).tolist():
-                n, blob = int(edges[b + 1] - edges[b]), blobs.pop((name, kind, b), None)
+                blob = blobs.pop((name, kind, b), None)
                 if blob is None:
                     raise RuntimeError(f"no counts for part {name}: the two passes read different rows; write the input as a table first")
-                totals[edges[b] : edges[b + 1]] = np.frombuffer(blob, dtype=f"<u{len(blob) // n}")
+                totals[edges[b] : edges[b + 1]] = _unpacked(blob)
             out[kind] = totals
         return out
 
@@ -146,7 +154,7 @@ def corpus_counts(docs: DataFrame, grams_of: Callable[[pa.Table], Grams], name:
                         pa.array([_partition()] * len(used), pa.int32()),
                         pa.array([name] * len(used), pa.string()),
                         pa.array([_distances(keys[c]) for c in cut], pa.binary()),
-                        pa.array([_least(added[c]) for c in cut], pa.binary()),
+                        pa.array([_packed(added[c]) for c in cut], pa.binary()),
                     ],
                     names=["kind", "bucket", "source", "part", "keys", "added"],
                 )
@@ -154,12 +162,12 @@ def corpus_counts(docs: DataFrame, grams_of: Callable[[pa.Table], Grams], name:
     def add_up(table: pa.Table) -> pa.Table:
         kind, bucket, rows = table["kind"][0].as_py(), table["bucket"][0].as_py(), len(table)
         keys = [_from_distances(x) for x in table["keys"].to_pylist()]
-        added = [np.frombuffer(x, dtype=f"<u{len(x) // len(k)}") for x, k in zip(table["added"].to_pylist(), keys, strict=True)]
+        added = np.concatenate([_unpacked(x) for x in table["added"].to_pylist()])
         upto = np.cumsum([len(k) for k in keys])
         distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
         del keys
-        totals = np.bincount(which, weights=np.concatenate(added), minlength=len(distinct)).astype(np.int64)
-        own = [_least(totals[which[begin:end]]) for begin, end in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
+        totals = np.bincount(which, weights=added, minlength=len(distinct)).astype(np.int64)
+        own = [_packed(totals[which[begin:end]]) for begin, end in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
         return pa.table(
             {
                 "source": pa.array([*table["source"].to_pylist(), -1 - bucket % SUM_FOLDERS], pa.int32()),
@@ -185,8 +193,3 @@ def corpus_counts(docs: DataFrame, grams_of: Callable[[pa.Table], Grams], name:
     found = spark.read.schema(schema).parquet(*(f"{folder}/source={-1 - k}" for k in own)).groupBy("kind").agg(F.sum("n_counted").alias("n"), F.sum("n_all").alias("c")).collect()
     return Totals(folder, buckets, {r["kind"]: (r["n"], r["c"]) for r in found})
 
-
-def _least(values: np.ndarray) -> bytes:
-    """Unsigned counts in the fewest bytes an item."""
-    top = int(values.max()) if len(values) else 0
-    return values.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8").tobytes()

@@ -70,10 +70,10 @@ class Ngrams:
                 rolled = mix(rolled * _STEP + mix(earlier + np.uint64(n)))
             there = np.flatnonzero(place >= n - 2)
             keys, first, which = np.unique(rolled[there], return_index=True, return_inverse=True)
-            at = np.full(len(tokens), -1, dtype=np.int64)
+            at = np.full(len(tokens), -1, dtype=np.int32)
             at[there] = which
             found.keys.append(keys)
-            found.first.append(there[first])
+            found.first.append(there[first].astype(np.int32))
             found.at.append(at)
         return found
 
@@ -88,7 +88,7 @@ class Automaton:
 
     def __init__(self, words: int, other: float, failure: tuple[np.ndarray, np.ndarray], arcs: tuple[np.ndarray, ...], begins: bool):
         source, word, to, weight = arcs
-        key = source * words + word
+        key = source.astype(np.int64) * words + word
         order = np.argsort(key)
         self.words, self.other, self.begins = words, other, begins
         self.fail_to, self.fail_weight = failure
