@@ -280,3 +280,40 @@ def test_empty_tables(spark, none):
 
 def test_media_digest_is_stable():
     assert hashlib.sha256(media.to_png(b"abc")).hexdigest() == hashlib.sha256(media.to_png(b"abc")).hexdigest()
+
+
+@pytest.mark.parametrize("block, crowd", [(1, 2), (1, 64), (20, 2)])
+def test_near_duplicates_of_large_families(spark, tmp_path, monkeypatch, block, crowd):
+    """A group of near copies, chains of texts that drift apart, and a passage that different texts share."""
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", block)
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    rng = np.random.default_rng(7)
+    base = [f"b{k}" for k in range(60)]
+    texts = []
+    for k in range(90):  # near copies of one text, by 0 to 4 words
+        own = list(base)
+        for at in rng.integers(0, 60, k % 5):
+            own[at] = f"e{rng.integers(0, 12)}"
+        texts.append(" ".join(own))
+    for c in range(3):  # chains: neighbours are similar, ends are not
+        for k in range(20):
+            texts.append(" ".join(f"c{c}x{j}" for j in range(2 * k, 2 * k + 60)))
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts += [f"{passage} " + " ".join(f"q{rng.integers(0, 30)}" for _ in range(12)) for _ in range(40)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(path)
+    sets = [shingles(t, 4) for t in texts]
+    root = list(range(len(sets)))
+
+    def first(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for b in range(len(sets)):
+        for a in range(b):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = first(a), first(b)
+                root[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_components(spark.read.parquet(path), 85, 4).collect()}
+    assert got == {k: first(k) for k in range(len(texts))}

@@ -7,9 +7,12 @@ documents share stands in the prefixes, and a passage that many documents share
 the prefixes of all orders, and fit in size, before its sets are compared.
 
 Documents with equal sets are one node. Nodes that share tokens of their first prefixes, directly or through others, are
-a family. A family is dealt to blocks of about BLOCK_NODES nodes, every two blocks are compared by one task, and the
-prefixes of all orders mask the pairs before sets are compared. So no link between different components is lost, but a
-family of F nodes costs F * F pairs, and its nodes are copied F / BLOCK_NODES times. A large family does not scale.
+a family. A family of up to BLOCK_NODES nodes is one task's work: the prefixes of all orders mask its pairs, and what is
+left is compared. In a larger family, every token's nodes meet one of them first (its head), and each node is compared
+with the head that it shares most tokens with: one pair a node and round, however many near copies a group has. Then only
+pairs in different components that still share a token are candidates; tokens that more than CROWD nodes share are cut
+by the tokens of the second and third prefix. These pairs must share tokens of the other prefixes too, before sets are
+sent for. So no link between different components is lost.
 
 Words: A-Z lower-cased, split at ASCII white space. A document with fewer words than a shingle has one shingle, all of
 them; without words (or null) its set is empty and linked with nothing. Null keys are kept. Repeated rows are one node.
@@ -32,8 +35,10 @@ from wayfold.llm.counts import Grams, corpus_counts, parts
 from wayfold.llm.shared import materialise, release
 
 ORDERS = 3
-#: Expected nodes in a block of a family; two blocks are compared by one task. Rows of several small blocks share a task.
+#: Nodes of a family that one task compares, and rows of several families that share a task.
 BLOCK_NODES, TASK_ROWS = 400, 3000
+#: Rounds in which nodes of larger families are compared with heads; nodes of a token whose pairs are listed uncut.
+ROUNDS, CROWD = 3, 64
 _STEP = np.uint64(0xE7037ED1A0B428DB)
 #: Bytes of a stored shingle hash.
 _STORED = 6
@@ -85,9 +90,9 @@ def _unpack(blob: bytes) -> np.ndarray:
     return raw.view("<u8").ravel()
 
 
-def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of the sets at `left` with those at `right`, by products of presence matrices."""
-    out = np.zeros((len(left), len(right)), dtype=np.float32)
+def _overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets with all, by products of presence matrices."""
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = np.cumsum(count > 1) - 1
@@ -99,27 +104,24 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width
         part = slice(*np.searchsorted(column, [low, low + width]))
         present = np.zeros((len(sets), width), dtype=np.float32)
         present[owner[part], column[part] - low] = 1
-        out += present[left] @ present[right].T
+        out += present @ present.T
     return out
 
 
-def _block_links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest, each row linked with the first of its tree, of the similar pairs between two blocks (or in one)."""
+def _family_links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest, each row linked with the first of its tree, of the similar pairs in a family."""
     n = table["n_shingles"].to_numpy().astype(np.int64)
-    block, low, high = table["block"].to_numpy(), table["low"][0].as_py(), table["high"][0].as_py()
-    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-    meet = 100 * np.minimum.outer(n[left], n[right]) >= percent * np.maximum.outer(n[left], n[right])
-    meet &= np.less.outer(left, right) if low == high else True
+    meet = np.triu(100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n), 1)
     for k in range(ORDERS):
         if not meet.any():
             return []
         lists = table[f"prefix_{k + 1}"].combine_chunks()
         values, upto = lists.values.to_numpy(), lists.offsets.to_numpy()
-        meet &= _overlaps([values[b:e] for b, e in zip(upto[:-1], upto[1:], strict=True)], left, right) > 0
+        meet &= _overlaps([values[b:e] for b, e in zip(upto[:-1], upto[1:], strict=True)]) > 0
     if not meet.any():
         return []
-    common = _overlaps([_unpack(x) for x in table["shared"].to_pylist()], left, right).astype(np.int64)
-    similar = meet & (100 * common >= percent * (np.add.outer(n[left], n[right]) - common))
+    common = _overlaps([_unpack(x) for x in table["shared"].to_pylist()]).astype(np.int64)
+    similar = meet & (100 * common >= percent * (np.add.outer(n, n) - common))
     root = list(range(len(n)))
 
     def first(x: int) -> int:
@@ -129,7 +131,7 @@ def _block_links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
         return x
 
     for a, b in np.argwhere(similar).tolist():
-        x, y = first(int(left[a])), first(int(right[b]))
+        x, y = first(a), first(b)
         root[max(x, y)] = min(x, y)
     return [(first(x), x) for x in range(len(n)) if first(x) != x]
 
@@ -184,30 +186,89 @@ def _families(nodes: DataFrame) -> DataFrame:
     return components(edges.distinct()).withColumnRenamed("component", "family")
 
 
-def _links(nodes: DataFrame, families: DataFrame, percent: int) -> DataFrame:
-    """(a, b, whole): links that connect what similar nodes connect; `whole` if a is its component's least node."""
-    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"))
-    placed, _ = materialise(families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "families")
-    rows = placed.agg(F.sum(F.col("blocks").cast("long"))).first()[0] or 0
-    tasks = max(1, -(-rows // TASK_ROWS))
-    copies = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    copies = copies.select("node", "family", "blocks", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    sent = copies.join(nodes, "node").withColumn("g", F.pmod(F.xxhash64("family", "low", "high"), F.lit(tasks)).cast("int"))
+def _small_links(nodes: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of families that one task compares; a is the least node of b's component."""
+    tasks = max(1, -(-placed.count() // TASK_ROWS))
+    sent = placed.select("node", "family").join(nodes, "node").withColumn("g", F.pmod(F.xxhash64("family"), F.lit(tasks)).cast("int"))
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("family", "ascending"), ("low", "ascending"), ("high", "ascending"), ("node", "ascending")])
-        names = list(zip(*(table[c].to_pylist() for c in ("family", "low", "high")), strict=True))
+        table = table.sort_by([("family", "ascending"), ("node", "ascending")])
+        names = table["family"].to_pylist()
         edges = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]] + [len(names)]
-        a, b, whole = [], [], []
+        a, b = [], []
         for begin, end in zip(edges[:-1], edges[1:], strict=True):
             own = table.slice(begin, end - begin)
-            for x, y in _block_links(own, percent):
+            for x, y in _family_links(own, percent):
                 a.append(own["node"][x].as_py())
                 b.append(own["node"][y].as_py())
-                whole.append(own["blocks"][0].as_py() == 1)
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "whole": pa.array(whole, pa.bool_())})
-
-    return materialise(sent.groupBy("g").applyInArrow(compare, "a binary, b binary, whole boolean"), "links")[0]
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return materialise(sent.repartition(tasks, "g").groupBy("g").applyInArrow(compare, "a binary, b binary"), "links")[0]
+
+
+def _both(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs (a, b) with these columns of both nodes, as a_... and b_..."""
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
+    return pairs
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, stored."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for n, m, x, y in zip(*(batch[c].to_pylist() for c in ("a_n_shingles", "b_n_shingles", "a_shared", "b_shared")), strict=True):
+                common = len(np.intersect1d(_unpack(x), _unpack(y), assume_unique=True))
+                held.append(100 * common >= percent * (n + m - common))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(held, pa.bool_()))
+
+    return materialise(_both(pairs, nodes, ["n_shingles", "shared"]).mapInArrow(compare, "a binary, b binary"), "links")[0]
+
+
+def _large_links(nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect what similar nodes of large families connect."""
+    spark = nodes.sparkSession
+    fit = 100 * F.least("a.n_shingles", "b.n_shingles") >= percent * F.greatest("a.n_shingles", "b.n_shingles")
+    # the share of a node's shingles that no other document has: a head has few
+    own = 1 - F.octet_length("shared") / (_STORED * F.col("n_shingles"))
+    lists, _ = materialise(nodes.select("node", F.col("node").alias("part"), "n_shingles", own.alias("own"), F.explode("prefix_1").alias("token")), "postings")
+    links: DataFrame | None = None
+    for turn in range(ROUNDS):
+        choice = F.struct(F.col("own") if turn == 0 else F.lit(0.0), F.xxhash64("node", F.lit(turn)), "node", "part")
+        heads = lists.groupBy("token").agg(F.min(choice).alias("head"), F.count("*").alias("n")).where("n > 1")
+        heads, _ = materialise(heads.select("token", F.col("head.node").alias("head"), F.col("head.part").alias("head_part")), "heads")
+        met = lists.join(heads, "token").where("part != head_part").groupBy("node", "head").agg(F.count("*").alias("n"))
+        tried = met.groupBy("node").agg(F.max(F.struct("n", "head")).alias("best")).select(F.col("best.head").alias("a"), F.col("node").alias("b"))
+        found = _similar(materialise(tried, "tried")[0], nodes, percent)
+        links = found if links is None else links.union(found)
+        parts = components(links).withColumnRenamed("component", "part")
+        marked, _ = materialise(lists.drop("part").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "postings")
+        # tokens of one component alone are done with
+        mixed = marked.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("token")
+        lists, _ = materialise(marked.join(materialise(mixed, "mixed")[0], "token", "left_semi"), "postings")
+        release(spark)
+        if lists.isEmpty():
+            return links
+    # the pairs that are left, by token; a crowd is cut by the tokens of the next order
+    pairs: DataFrame | None = None
+    for k in range(1, ORDERS + 1):
+        sizes, _ = materialise(lists.groupBy("token").agg(F.count("*").alias("n")), "sizes")
+        few = lists.join(sizes.where(F.col("n") <= CROWD) if k < ORDERS else sizes, "token", "left_semi")
+        own_pairs = few.alias("a").join(few.alias("b"), "token").where((F.col("a.node") < F.col("b.node")) & (F.col("a.part") != F.col("b.part")) & fit)
+        listed = materialise(own_pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")[0]
+        pairs = listed if pairs is None else pairs.union(listed)
+        if k == ORDERS or (crowds := sizes.where(F.col("n") > CROWD)).isEmpty():
+            break
+        crowd = lists.join(crowds, "token", "left_semi").join(nodes.select("node", F.explode(f"prefix_{k + 1}").alias("next")), "node")
+        lists, _ = materialise(crowd.withColumn("token", F.xxhash64("token", "next")).drop("next"), "postings")
+    assert links is not None and pairs is not None
+    lists_of = [f"prefix_{k + 1}" for k in range(1, ORDERS)]
+    met = _both(pairs.distinct(), nodes, lists_of)
+    for c in lists_of:
+        met = met.where(F.arrays_overlap(f"a_{c}", f"b_{c}"))
+    return links.union(_similar(materialise(met.select("a", "b"), "candidates")[0], nodes, percent))
 
 
 def similar_components(docs: DataFrame, percent: int = 80, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,14 +284,19 @@ def similar_components(docs: DataFrame, percent: int = 80, size: int = 5, key: s
     nodes, _ = materialise(candidates.select("node", "x.*"), "nodes")
     release(spark)
 
-    links = _links(nodes, _families(nodes), percent)
+    families = _families(nodes)
+    sizes = families.groupBy("family").agg(F.count("*").alias("n"))
+    families, _ = materialise(families.join(sizes, "family"), "families")
+    labels = _small_links(nodes, families.where(F.col("n") <= BLOCK_NODES), percent).select(F.col("b").alias("node"), F.col("a").alias("part"))
+    large = families.where(F.col("n") > BLOCK_NODES).select("node")
+    if not large.isEmpty():
+        members, _ = materialise(nodes.join(large, "node", "left_semi"), "nodes")
+        labels = labels.union(components(_large_links(members, percent)).select("node", F.col("component").alias("part")))
     release(spark)
-    labels = links.where("whole").select(F.col("b").alias("node"), F.col("a").alias("part"))
-    split = links.where("not whole")
-    if not split.isEmpty():  # families of several blocks
-        labels = labels.union(components(split).select("node", "component"))
 
-    placed = documents.select("key", "node", "n_shingles").join(labels, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    placed = documents.select("key", "node", "n_shingles").join(materialise(labels, "labels")[0], "node", "left").withColumn("part", F.coalesce("part", "node"))
     least = placed.where("node is not null").groupBy("part").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1")
+    # stored, so that both sides of the join are plain shuffles and a part with many documents can be split
+    least, _ = materialise(least, "least")
     result = placed.join(least.select("part", "least"), "part", "left")
     return result.select(F.col("key").alias(key), "n_shingles", F.coalesce("least", "key").alias("component_id"))
