@@ -282,11 +282,11 @@ def test_media_digest_is_stable():
     assert hashlib.sha256(media.to_png(b"abc")).hexdigest() == hashlib.sha256(media.to_png(b"abc")).hexdigest()
 
 
-@pytest.mark.parametrize("block, crowd", [(1, 2), (1, 64), (20, 2)])
-def test_near_duplicates_of_large_families(spark, tmp_path, monkeypatch, block, crowd):
+@pytest.mark.parametrize("block, large", [(7, 3), (7, 4000)])
+def test_near_duplicates_of_large_families(spark, tmp_path, monkeypatch, block, large):
     """A group of near copies, chains of texts that drift apart, and a passage that different texts share."""
     monkeypatch.setattr(jaccard, "BLOCK_NODES", block)
-    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    monkeypatch.setattr(jaccard, "LARGE_NODES", large)
     rng = np.random.default_rng(7)
     base = [f"b{k}" for k in range(60)]
     texts = []

@@ -7,12 +7,13 @@ documents share stands in the prefixes, and a passage that many documents share
 the prefixes of all orders, and fit in size, before its sets are compared.
 
 Documents with equal sets are one node. Nodes that share tokens of their first prefixes, directly or through others, are
-a family. A family of up to BLOCK_NODES nodes is one task's work: the prefixes of all orders mask its pairs, and what is
-left is compared. In a larger family, every token's nodes meet one of them first (its head), and each node is compared
-with the head that it shares most tokens with: one pair a node and round, however many near copies a group has. Then only
-pairs in different components that still share a token are candidates; tokens that more than CROWD nodes share are cut
-by the tokens of the second and third prefix. These pairs must share tokens of the other prefixes too, before sets are
-sent for. So no link between different components is lost.
+a family. A family is dealt to blocks of about BLOCK_NODES nodes and two blocks are compared by one task, where the
+prefixes of all orders mask the pairs before sets are compared. In a family of more than LARGE_NODES nodes every token's
+nodes first meet one of them (its head), each node the head with which it shares most tokens: one comparison a node and
+round, however many near copies a group has. Only tokens that then still lie in several components make up families
+again, and a block of one component is not compared with another block of it. So no link between different components
+is lost; a group of near copies costs what its stragglers times its nodes cost, but F nodes of one family that are all
+unlike each other are copied F / BLOCK_NODES times and compared in pairs.
 
 Words: A-Z lower-cased, split at ASCII white space. A document with fewer words than a shingle has one shingle, all of
 them; without words (or null) its set is empty and linked with nothing. Null keys are kept. Repeated rows are one node.
@@ -35,10 +36,10 @@ from wayfold.llm.counts import Grams, corpus_counts, parts
 from wayfold.llm.shared import materialise, release
 
 ORDERS = 3
-#: Nodes of a family that one task compares, and rows of several families that share a task.
+#: Expected nodes in a block, and rows of several small blocks that share a task.
 BLOCK_NODES, TASK_ROWS = 400, 3000
-#: Rounds in which nodes of larger families are compared with heads; nodes of a token whose pairs are listed uncut.
-ROUNDS, CROWD = 3, 64
+#: Nodes of a family beyond which they are compared with heads first, and rounds of that.
+LARGE_NODES, ROUNDS = 4000, 2
 _STEP = np.uint64(0xE7037ED1A0B428DB)
 #: Bytes of a stored shingle hash.
 _STORED = 6
@@ -90,9 +91,9 @@ def _unpack(blob: bytes) -> np.ndarray:
     return raw.view("<u8").ravel()
 
 
-def _overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of all sets with all, by products of presence matrices."""
-    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of the sets at `left` with those at `right`, by products of presence matrices."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = np.cumsum(count > 1) - 1
@@ -104,24 +105,27 @@ def _overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
         part = slice(*np.searchsorted(column, [low, low + width]))
         present = np.zeros((len(sets), width), dtype=np.float32)
         present[owner[part], column[part] - low] = 1
-        out += present @ present.T
+        out += present[left] @ present[right].T
     return out
 
 
-def _family_links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest, each row linked with the first of its tree, of the similar pairs in a family."""
+def _block_links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest, each row linked with the first of its tree, of the similar pairs between two blocks (or in one)."""
     n = table["n_shingles"].to_numpy().astype(np.int64)
-    meet = np.triu(100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n), 1)
+    second = table["second"].to_numpy(zero_copy_only=False)
+    left, right = np.flatnonzero(~second), np.flatnonzero(second if second.any() else ~second)
+    meet = 100 * np.minimum.outer(n[left], n[right]) >= percent * np.maximum.outer(n[left], n[right])
+    meet &= True if second.any() else np.less.outer(left, right)
     for k in range(ORDERS):
         if not meet.any():
             return []
         lists = table[f"prefix_{k + 1}"].combine_chunks()
         values, upto = lists.values.to_numpy(), lists.offsets.to_numpy()
-        meet &= _overlaps([values[b:e] for b, e in zip(upto[:-1], upto[1:], strict=True)]) > 0
+        meet &= _overlaps([values[b:e] for b, e in zip(upto[:-1], upto[1:], strict=True)], left, right) > 0
     if not meet.any():
         return []
-    common = _overlaps([_unpack(x) for x in table["shared"].to_pylist()]).astype(np.int64)
-    similar = meet & (100 * common >= percent * (np.add.outer(n, n) - common))
+    common = _overlaps([_unpack(x) for x in table["shared"].to_pylist()], left, right).astype(np.int64)
+    similar = meet & (100 * common >= percent * (np.add.outer(n[left], n[right]) - common))
     root = list(range(len(n)))
 
     def first(x: int) -> int:
@@ -131,7 +135,7 @@ def _family_links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
         return x
 
     for a, b in np.argwhere(similar).tolist():
-        x, y = first(a), first(b)
+        x, y = first(int(left[a])), first(int(right[b]))
         root[max(x, y)] = min(x, y)
     return [(first(x), x) for x in range(len(n)) if first(x) != x]
 
@@ -178,32 +182,50 @@ def document_sets(docs: DataFrame, percent: int, size: int, key: str, text: str)
     return materialise(found, "sets")[0]
 
 
-def _families(nodes: DataFrame) -> DataFrame:
-    """(node, family): components of nodes that share a token of their first prefixes, by each token's least node."""
-    postings = nodes.select("node", F.explode("prefix_1").alias("token"))
+def _families(postings: DataFrame) -> DataFrame:
+    """(node, family): components of nodes that share a token, by each token's least node; postings: (node, token)."""
     heads = postings.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("token", "head")
     edges = postings.join(heads, "token").where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     return components(edges.distinct()).withColumnRenamed("component", "family")
 
 
-def _small_links(nodes: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links of families that one task compares; a is the least node of b's component."""
-    tasks = max(1, -(-placed.count() // TASK_ROWS))
-    sent = placed.select("node", "family").join(nodes, "node").withColumn("g", F.pmod(F.xxhash64("family"), F.lit(tasks)).cast("int"))
+def _links(nodes: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """(a, b, whole): links that connect what similar nodes of different parts of a family (placed: node, family, part)
+    connect; `whole` if the family is one block and a its component's least node."""
+    none = F.lit(bytearray(b""))
+    sizes = placed.groupBy("family", "part").agg(F.count("*").alias("n"))
+    # a part that fills blocks has its own, others share them
+    owned = placed.join(sizes, ["family", "part"]).withColumn("owner", F.when(F.col("n") > BLOCK_NODES, F.col("part")).otherwise(none)).drop("n")
+    owned, _ = materialise(owned, "owned")
+    blocks, _ = materialise(owned.groupBy("family", "owner").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"), F.count("*").alias("rows")), "blocks")
+    dealt = F.pmod(F.xxhash64(F.when(F.col("owner") == none, F.col("part")).otherwise(F.col("node"))), F.col("blocks")).cast("int")
+    own_block, _ = materialise(owned.join(blocks.drop("rows"), ["family", "owner"]).select("node", "family", "owner", dealt.alias("number")), "dealt")
+    numbered = blocks.select("family", "owner", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("number")).drop("blocks")
+    one = blocks.groupBy("family").agg((F.sum("blocks") == 1).alias("whole"))
+    a, b = numbered.alias("a"), numbered.alias("b")
+    ordered = F.struct("a.owner", "a.number") <= F.struct("b.owner", "b.number")
+    apart = (F.col("a.owner") != F.col("b.owner")) | (F.col("a.owner") == none)
+    pairs = a.join(b, "family").where(ordered & apart).select("family", F.struct("a.owner", "a.number").alias("x"), F.struct("b.owner", "b.number").alias("y")).join(one, "family")
+    pairs, _ = materialise(pairs.withColumn("pair", F.xxhash64("family", "x", "y")), "pairs")
+    sides = pairs.select("family", "x.*", "pair", "whole", F.lit(False).alias("second")).union(pairs.where("x != y").select("family", "y.*", "pair", "whole", F.lit(True).alias("second")))
+    copies, _ = materialise(own_block.join(sides, ["family", "owner", "number"]).select("node", "family", "pair", "whole", "second"), "copies")
+    tasks = max(1, -(-copies.count() // TASK_ROWS))
+    sent = copies.join(nodes, "node").withColumn("g", F.pmod(F.xxhash64("family", "pair"), F.lit(tasks)).cast("int"))
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("family", "ascending"), ("node", "ascending")])
-        names = table["family"].to_pylist()
+        table = table.sort_by([("family", "ascending"), ("pair", "ascending"), ("second", "ascending"), ("node", "ascending")])
+        names = list(zip(table["family"].to_pylist(), table["pair"].to_pylist(), strict=True))
         edges = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]] + [len(names)]
-        a, b = [], []
+        a, b, whole = [], [], []
         for begin, end in zip(edges[:-1], edges[1:], strict=True):
             own = table.slice(begin, end - begin)
-            for x, y in _family_links(own, percent):
+            for x, y in _block_links(own, percent):
                 a.append(own["node"][x].as_py())
                 b.append(own["node"][y].as_py())
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+                whole.append(own["whole"][0].as_py())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "whole": pa.array(whole, pa.bool_())})
 
-    return materialise(sent.repartition(tasks, "g").groupBy("g").applyInArrow(compare, "a binary, b binary"), "links")[0]
+    return materialise(sent.groupBy("g").applyInArrow(compare, "a binary, b binary, whole boolean"), "links")[0]
 
 
 def _both(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
@@ -227,13 +249,12 @@ def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return materialise(_both(pairs, nodes, ["n_shingles", "shared"]).mapInArrow(compare, "a binary, b binary"), "links")[0]
 
 
-def _large_links(nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that connect what similar nodes of large families connect."""
+def _head_links(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of nodes of large families with heads, and (node, family, part) of what may have further links."""
     spark = nodes.sparkSession
-    fit = 100 * F.least("a.n_shingles", "b.n_shingles") >= percent * F.greatest("a.n_shingles", "b.n_shingles")
-    # the share of a node's shingles that no other document has: a head has few
+    # the share of a node's shingles that no other document has: a good head has few
     own = 1 - F.octet_length("shared") / (_STORED * F.col("n_shingles"))
-    lists, _ = materialise(nodes.select("node", F.col("node").alias("part"), "n_shingles", own.alias("own"), F.explode("prefix_1").alias("token")), "postings")
+    lists, _ = materialise(nodes.select("node", F.col("node").alias("part"), own.alias("own"), F.explode("prefix_1").alias("token")), "postings")
     links: DataFrame | None = None
     for turn in range(ROUNDS):
         choice = F.struct(F.col("own") if turn == 0 else F.lit(0.0), F.xxhash64("node", F.lit(turn)), "node", "part")
@@ -249,26 +270,9 @@ def _large_links(nodes: DataFrame, percent: int) -> DataFrame:
         mixed = marked.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("token")
         lists, _ = materialise(marked.join(materialise(mixed, "mixed")[0], "token", "left_semi"), "postings")
         release(spark)
-        if lists.isEmpty():
-            return links
-    # the pairs that are left, by token; a crowd is cut by the tokens of the next order
-    pairs: DataFrame | None = None
-    for k in range(1, ORDERS + 1):
-        sizes, _ = materialise(lists.groupBy("token").agg(F.count("*").alias("n")), "sizes")
-        few = lists.join(sizes.where(F.col("n") <= CROWD) if k < ORDERS else sizes, "token", "left_semi")
-        own_pairs = few.alias("a").join(few.alias("b"), "token").where((F.col("a.node") < F.col("b.node")) & (F.col("a.part") != F.col("b.part")) & fit)
-        listed = materialise(own_pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")[0]
-        pairs = listed if pairs is None else pairs.union(listed)
-        if k == ORDERS or (crowds := sizes.where(F.col("n") > CROWD)).isEmpty():
-            break
-        crowd = lists.join(crowds, "token", "left_semi").join(nodes.select("node", F.explode(f"prefix_{k + 1}").alias("next")), "node")
-        lists, _ = materialise(crowd.withColumn("token", F.xxhash64("token", "next")).drop("next"), "postings")
-    assert links is not None and pairs is not None
-    lists_of = [f"prefix_{k + 1}" for k in range(1, ORDERS)]
-    met = _both(pairs.distinct(), nodes, lists_of)
-    for c in lists_of:
-        met = met.where(F.arrays_overlap(f"a_{c}", f"b_{c}"))
-    return links.union(_similar(materialise(met.select("a", "b"), "candidates")[0], nodes, percent))
+    assert links is not None
+    left = _families(lists).join(lists.select("node", "part").distinct(), "node")
+    return links, materialise(left, "families")[0]
 
 
 def similar_components(docs: DataFrame, percent: int = 80, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -284,14 +288,19 @@ def similar_components(docs: DataFrame, percent: int = 80, size: int = 5, key: s
     nodes, _ = materialise(candidates.select("node", "x.*"), "nodes")
     release(spark)
 
-    families = _families(nodes)
+    families = _families(nodes.select("node", F.explode("prefix_1").alias("token")))
     sizes = families.groupBy("family").agg(F.count("*").alias("n"))
     families, _ = materialise(families.join(sizes, "family"), "families")
-    labels = _small_links(nodes, families.where(F.col("n") <= BLOCK_NODES), percent).select(F.col("b").alias("node"), F.col("a").alias("part"))
-    large = families.where(F.col("n") > BLOCK_NODES).select("node")
+    large, _ = materialise(nodes.join(families.where(F.col("n") > LARGE_NODES).select("node"), "node", "left_semi"), "large")
+    small = families.where(F.col("n") <= LARGE_NODES).select("node", "family", F.col("node").alias("part"))
+    links = _links(nodes, small, percent)
     if not large.isEmpty():
-        members, _ = materialise(nodes.join(large, "node", "left_semi"), "nodes")
-        labels = labels.union(components(_large_links(members, percent)).select("node", F.col("component").alias("part")))
+        by_heads, left = _head_links(large, percent)
+        links = links.union(by_heads.withColumn("whole", F.lit(False))).union(_links(nodes, left, percent).withColumn("whole", F.lit(False)))
+    labels = links.where("whole").select(F.col("b").alias("node"), F.col("a").alias("part"))
+    split = links.where("not whole")
+    if not split.isEmpty():  # families of several blocks
+        labels = labels.union(components(split).select("node", "component"))
     release(spark)
 
     placed = documents.select("key", "node", "n_shingles").join(materialise(labels, "labels")[0], "node", "left").withColumn("part", F.coalesce("part", "node"))
