@@ -62,8 +62,8 @@ def build_index(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: st
 
 def phrase_matches(index: DataFrame, terms: DataFrame, distinct_windows: DataFrame) -> DataFrame:
     """Exact matches (k1, k2, window, start, n)."""
-    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
-    needed = distinct_windows.select("window", "n", F.posexplode("terms").alias("offset", "word")).join(terms, "word").join(frequency, "term")
+    frequency, _ = materialise(index.groupBy("term").agg(F.count("*").alias("df")), "frequency")  # stored: a common term's part of the join can be split
+    needed = distinct_windows.select("window", "n", F.posexplode("terms").alias("offset", "word")).join(_sent(terms), "word").join(_sent(frequency), "term")
     whole = Window.partitionBy("window")
     order = whole.orderBy("df", "offset")
     lists = needed.withColumn("found", F.count("*").over(whole)).where("found = n").withColumn("rank", F.row_number().over(order))

@@ -37,7 +37,7 @@ from wayfold.llm.shared import materialise, release
 
 ORDERS = 3
 #: Expected nodes in a block, and rows of several small blocks that share a task.
-BLOCK_NODES, TASK_ROWS = 400, 3000
+BLOCK_NODES, TASK_ROWS = 1000, 3000
 #: Nodes of a family beyond which they are compared with heads first, and rounds of that.
 LARGE_NODES, ROUNDS = 4000, 2
 _STEP = np.uint64(0xE7037ED1A0B428DB)
@@ -81,6 +81,11 @@ def _ranks(shingles: np.ndarray, count: np.ndarray) -> Iterator[np.ndarray]:
         yield np.lexsort((mix(shingles + np.uint64(k + 1)), scale))
 
 
+def _token(shingles: np.ndarray) -> np.ndarray:
+    """Short names of shingles in prefixes; two with one name only make more candidates."""
+    return _short(shingles).view(np.int32)
+
+
 def _pack(shingles: np.ndarray) -> bytes:
     return np.sort(shingles & np.uint64((1 << 8 * _STORED) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_STORED].tobytes()
 
@@ -151,7 +156,7 @@ def document_sets(docs: DataFrame, percent: int, size: int, key: str, text: str)
         return {1: (keys, count)}
 
     totals = corpus_counts(rows, lambda part: counted(_shingles(part, size)[0]), "shingles")
-    fields = [("key", None), ("node", pa.binary()), ("n_shingles", pa.int64()), *((f"prefix_{k + 1}", pa.list_(pa.int64())) for k in range(ORDERS)), ("shared", pa.binary())]
+    fields = [("key", None), ("node", pa.binary()), ("n_shingles", pa.int64()), *((f"prefix_{k + 1}", pa.list_(pa.int32())) for k in range(ORDERS)), ("shared", pa.binary())]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, part in enumerate(parts(batches)):
@@ -172,12 +177,12 @@ def document_sets(docs: DataFrame, percent: int, size: int, key: str, text: str)
                 several = count[begin:end] > 1
                 shingles, many = shingles[several], count[begin:end][several]
                 for column, rank in zip(prefix, _ranks(shingles, many), strict=True):
-                    column.append(shingles[rank[:room]].view(np.int64))
+                    column.append(_token(shingles[rank[:room]]))
                 shared.append(_pack(shingles))
-            columns = [part["key"].combine_chunks(), pa.array(nodes, pa.binary()), pa.array(np.diff(upto)), *(pa.array(p, pa.list_(pa.int64())) for p in prefix), pa.array(shared, pa.binary())]
+            columns = [part["key"].combine_chunks(), pa.array(nodes, pa.binary()), pa.array(np.diff(upto)), *(pa.array(p, pa.list_(pa.int32())) for p in prefix), pa.array(shared, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
 
-    lists = ", ".join(f"prefix_{k + 1} array<long>" for k in range(ORDERS))
+    lists = ", ".join(f"prefix_{k + 1} array<int>" for k in range(ORDERS))
     found = rows.mapInArrow(prefixes, f"key {kind}, node binary, n_shingles long, {lists}, shared binary")
     return materialise(found, "sets")[0]
 

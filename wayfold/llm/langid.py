@@ -1,18 +1,20 @@
 """Language identification with blended-spectrum string kernels.
 
-A text's spectrum is the set of its character n-grams of 1 to LONGEST letters, hashed to DIMENSION places; what is not
-a letter separates words as one blank. The kernel of two texts is the number of n-grams both have over the geometric
-mean of their numbers. Nystroem features of a text are its kernels with a few landmark texts times the inverse root of
-the landmarks' own kernel matrix; one-versus-rest kernel ridge regression on them gives a value per language. Texts are
-scored in batches: presence rows times the landmark matrix, times the regression weights.
-
-The model is fitted on a bounded sample: LANDMARKS texts and TRAIN_TEXTS texts a language, chosen by a hash of the
-text, so that a few hundred kilobytes reach the driver however large the corpus is. Whole texts are read at prediction
-and in training.
-
-A null text, or one without a letter, is `und` with score 0. Nulls: rows with a null language are not learned from; a
-null key stays. Repeated rows get equal results; copies of a text are one training text. With no training text, every text is
-`und`. An empty table gives no rows. Other columns are ignored.
+A text's spectrum is the set of its character n-grams of 1 to LONGEST letters; what is not a letter separates words as
+one blank. The kernel of two texts is the number of n-grams both have over the geometric mean of their numbers. Nystroem
+features of a text are its kernels with a few landmark texts times the inverse root of the landmarks' own kernel matrix;
+one-versus-rest kernel ridge regression on them gives a value per language. Only the landmarks' n-grams matter to a
+kernel beside the size of the text's own spectrum, so they are the vocabulary, and no text is too long for it. Texts
+are scored in batches: kernels with all landmarks times the regression weights.
+
+The model is fitted on a bounded sample: LANDMARKS texts a language (of at most LANDMARK_CHARS characters where it has
+such) and TRAIN_TEXTS texts a language, chosen by a hash of the text, so that a few hundred kilobytes a language reach
+the driver however large the corpus is. Whole texts are read at prediction and in training.
+
+A null text, or one without a letter (str.isalpha), is `und` with score 0. Nulls: rows with a null language are not
+learned from; a null key stays. Ties: of languages with equal values the first by name. Repeated rows get equal results;
+copies of a text are one training text. With no training text, every text is `und`. An empty table gives no rows. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ from wayfold.llm.shared import small_batches
 
 UNKNOWN = "und"
 LONGEST = 4
-DIMENSION = 1 << 14
-#: A language's landmark texts and training texts (expected numbers of a hash sample), and languages at most.
-LANDMARKS, TRAIN_TEXTS, LANGUAGES = 16, 400, 200
+#: A language's landmark texts and training texts (expected numbers of a hash sample).
+LANDMARKS, TRAIN_TEXTS = 16, 400
+LANDMARK_CHARS = 4000
 RIDGE = 1e-2
 _BLOCK = 128
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -42,97 +44,117 @@ _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
 def spectrum(text: str) -> np.ndarray:
-    """The places of the text's n-grams (repeated places stay)."""
+    """The hashes of the text's distinct n-grams, sorted."""
     plain = " " + _NO_LETTERS.sub(" ", text).strip().lower() + " "
-    codes = np.frombuffer(plain.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    places, rolled = [], codes
+    codes = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    grams, rolled = [], codes
     for n in range(1, LONGEST + 1):
         if n > 1:
             rolled = rolled[:-1] * _STEP + codes[n - 1 :]
-        if len(rolled):
-            places.append((mix(rolled + np.uint64(n)) & np.uint64(DIMENSION - 1)).astype(np.int64))
-    return np.concatenate(places)
+        grams.append(mix(rolled + np.uint64(n)))
+    return np.unique(np.concatenate(grams))
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and _NO_LETTERS.fullmatch(text) is None and text != ""
+    return text is not None and any(map(str.isalpha, text))
 
 
-def presence(texts: list[str]) -> np.ndarray:
-    """A row per text with 1 where it has an n-gram, divided by the root of their number."""
-    rows = np.zeros((len(texts), DIMENSION), dtype=np.float32)
-    for row, text in zip(rows, texts, strict=True):
-        row[spectrum(text)] = 1
-    return rows / np.sqrt(rows.sum(axis=1, keepdims=True))
+class Landmarks:
+    """Landmark texts by n-gram: for each n-gram of the vocabulary, the landmarks that have it."""
+
+    def __init__(self, spectra: list[np.ndarray]):
+        self.root = np.sqrt([len(s) for s in spectra])
+        grams = np.concatenate(spectra) if spectra else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(grams, kind="stable")
+        self.vocabulary, self.first = np.unique(grams[order], return_index=True)
+        self.first = np.append(self.first, len(grams))
+        self.owner = np.repeat(np.arange(len(spectra), dtype=np.int32), [len(s) for s in spectra])[order]
+
+    def kernels(self, texts: list[str]) -> np.ndarray:
+        """A row per text: its kernel with each landmark."""
+        out = np.zeros((len(texts), len(self.root)))
+        for row, text in zip(out, texts, strict=True):
+            own = spectrum(text)
+            at = np.minimum(np.searchsorted(self.vocabulary, own), len(self.vocabulary) - 1)
+            at = at[self.vocabulary[at] == own]
+            length = self.first[at + 1] - self.first[at]
+            place = np.repeat(self.first[at] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+            row += np.bincount(self.owner[place], minlength=len(row)) / (self.root * np.sqrt(len(own)))
+        return out
 
 
 @dataclass
 class KernelModel:
     languages: list[str]
-    #: DIMENSION x landmarks, and landmarks x languages: inverse root and ridge weights multiplied out.
-    landmarks: np.ndarray
+    landmarks: Landmarks
+    #: Landmarks x languages: inverse root and ridge weights multiplied out.
     weights: np.ndarray
     bias: np.ndarray
 
     def values(self, texts: list[str]) -> np.ndarray:
         """A regression value per text and language, about 1 for its own and -1 for others."""
-        found = [presence(texts[k : k + _BLOCK]) @ self.landmarks @ self.weights + self.bias for k in range(0, len(texts), _BLOCK)]
-        return np.concatenate(found) if found else np.zeros((0, len(self.languages)), dtype=np.float32)
+        found = [self.landmarks.kernels(texts[k : k + _BLOCK]) @ self.weights + self.bias for k in range(0, len(texts), _BLOCK)]
+        return np.concatenate(found) if found else np.zeros((0, len(self.languages)))
 
 
-def _sampled(rows: DataFrame, counts: dict[str, int], each: int, salt: int) -> Column:
-    """Whether a row is in a hash sample of about `each` texts of its language."""
-    share = F.lit(0.0)
-    for language, n in counts.items():
-        share = F.when(F.col("lang") == language, min(1.0, each / n)).otherwise(share)
+def _sampled(shares: dict[str, float], salt: int) -> Column:
+    """Whether a row is in a hash sample with this share of its language's texts."""
+    share = F.element_at(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair)), F.col("lang"))
     return F.pmod(F.xxhash64("text", F.lit(salt)), F.lit(1 << 30)) < share * (1 << 30)
 
 
 def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text") -> KernelModel:
     """Fit on a bounded sample of the rows where `learn` holds."""
-    rows = docs.where(learn).select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text rlike '\\\\p{L}'")
-    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    counts = {r["lang"]: r["n"] for r in found}
-    if not counts:
-        return KernelModel([], np.zeros((DIMENSION, 0), dtype=np.float32), np.zeros((0, 0), dtype=np.float32), np.zeros(0, dtype=np.float32))
+    rows = docs.where(learn).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text rlike '\\\\p{L}'")
+    texts, short = F.xxhash64("text"), F.length("text") <= LANDMARK_CHARS
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct(texts).alias("n"), F.approx_count_distinct(F.when(short, texts)).alias("short"))
+    found = {r["lang"]: (r["n"], r["short"]) for r in sizes.collect()}  # one row a language
+    if not found:
+        return KernelModel([], Landmarks([]), np.zeros((0, 0)), np.zeros(0))
     small_batches(docs.sparkSession)
+    languages = sorted(found)
+    long_only = [x for x in languages if not found[x][1]]
+    candidates = rows.where(short | F.col("lang").isin(long_only)) if long_only else rows.where(short)
+    near = candidates.where(_sampled({x: min(1.0, LANDMARKS / (k or n)) for x, (n, k) in found.items()}, 1)).dropDuplicates(["lang", "text"])
+    train = rows.where(_sampled({x: min(1.0, TRAIN_TEXTS / n) for x, (n, _) in found.items()}, 2)).dropDuplicates(["lang", "text"])
 
     def spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [np.packbits(np.bincount(spectrum(t), minlength=DIMENSION) > 0).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["lang", "bits"])
+            grams = [spectrum(t).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], names=["lang", "grams"])
 
-    def matrix(sample: list) -> np.ndarray:
-        bits = np.stack([np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)) for r in sample]).astype(np.float32)
-        return bits / np.sqrt(bits.sum(axis=1, keepdims=True))
+    def described(sample: DataFrame) -> list[bytes]:
+        return sorted({bytes(r["grams"]) for r in sample.mapInArrow(spectra, "lang string, grams binary").collect()})
 
-    near = sorted({(r["lang"], bytes(r["bits"])) for r in rows.where(_sampled(rows, counts, LANDMARKS, 1)).mapInArrow(spectra, "lang string, bits binary").collect()})
-    near = [{"lang": a, "bits": b} for a, b in near]
-    if not near:  # tiny tables: all texts may miss the sample
-        near = [{"lang": r["lang"], "bits": bytes(r["bits"])} for r in rows.where(_sampled(rows, counts, TRAIN_TEXTS, 2)).mapInArrow(spectra, "lang string, bits binary").collect()]
-    landmarks = matrix(near)
+    chosen = described(near) or described(candidates.orderBy(texts, "lang").limit(LANDMARKS))
+    landmarks = Landmarks([np.frombuffer(x, dtype=np.uint64) for x in chosen])
 
     def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = presence(batch.column(1).to_pylist()) @ landmarks.T
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(k.astype(np.float64)), pa.list_(pa.float64()))], names=["lang", "k"])
-
-    sample = rows.where(_sampled(rows, counts, TRAIN_TEXTS, 2)).dropDuplicates(["lang", "text"]).mapInArrow(kernels, "lang string, k array<double>").collect()
-    sample = sorted(((r["lang"], r["k"]) for r in sample)) or [(r["lang"], (landmarks @ landmarks[i]).tolist()) for i, r in enumerate(near)]
-    languages = sorted(counts)
-    own = (landmarks @ landmarks.T).astype(np.float64)
+            k = landmarks.kernels(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(k), pa.list_(pa.float64()))], names=["lang", "k"])
+
+    def learned(sample: DataFrame) -> list[tuple[str, list[float]]]:
+        return sorted((r["lang"], r["k"]) for r in sample.mapInArrow(kernels, "lang string, k array<double>").collect())
+
+    sample = learned(train) or learned(candidates.orderBy(texts, "lang").limit(TRAIN_TEXTS))
+    own = np.zeros((len(chosen), len(chosen)))
+    for row, grams in zip(own, chosen, strict=True):
+        one = np.frombuffer(grams, dtype=np.uint64)
+        row += [len(np.intersect1d(one, np.frombuffer(x, dtype=np.uint64), assume_unique=True)) for x in chosen]
+    own /= np.outer(landmarks.root, landmarks.root)
     values, vectors = np.linalg.eigh(own)
     keep = values > 1e-6 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep])
     features = np.array([k for _, k in sample]) @ root
-    target = np.where(np.array([lang for lang, _ in sample])[:, None] == np.array(languages), 1.0, -1.0)
+    target = np.where(np.array([x for x, _ in sample])[:, None] == np.array(languages), 1.0, -1.0)
     # each language weighs the same, whatever its number of texts
     weight = 1 / np.maximum((target > 0).sum(axis=0), 1)[(target > 0).argmax(axis=1)]
     weight *= len(weight) / weight.sum()
     mean, aim = np.average(features, axis=0, weights=weight), np.average(target, axis=0, weights=weight)
     x, y = (features - mean) * np.sqrt(weight)[:, None], (target - aim) * np.sqrt(weight)[:, None]
     ridge = np.linalg.solve(x.T @ x + RIDGE * len(x) * np.eye(x.shape[1]) / x.shape[1], x.T @ y)
-    return KernelModel(languages, landmarks.T.astype(np.float32), (root @ ridge).astype(np.float32), (aim - mean @ ridge).astype(np.float32))
+    return KernelModel(languages, landmarks, root @ ridge, aim - mean @ ridge)
 
 
 def predict(docs: DataFrame, model: KernelModel, text: str = "text") -> DataFrame:

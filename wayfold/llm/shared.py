@@ -13,15 +13,16 @@ BATCH_ROWS = 500
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder the cluster names in spark.checkpoint.dir. Where it is unset, a folder of our own if the session
+    is local, as in tests; on a cluster that is an error, since executors would each write to their own disk."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = spark.conf.get("wayfold.own.checkpoint.dir", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="wayfold-")
-            spark.conf.set("wayfold.own.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="wayfold-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
     return root.rstrip("/")
 
 
@@ -41,13 +42,6 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of ours that nothing reads any more."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small; a smaller setting of the session's stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -12,7 +12,7 @@ bounded sample of labelled rows: LEARN_DOCS texts, chosen by a hash of the text.
 different contexts, since copies of one text repeat all their words in the same ones.
 
 A null or empty text matches nothing and gets the score of such texts. Rows with a null label are not learned from.
-Repeated rows get equal scores; copies of a text are learned from once. Without labels the prior weights hold. An empty
+Repeated rows get equal scores; copies of a text are learned from once, as toxic if one of them is. Without labels the prior weights hold. An empty
 table gives no rows. Other columns are ignored.
 """
 
@@ -44,8 +44,8 @@ SEEDS = {
     NEGATION: "not no never isn't aren't wasn't don't nicht kein keine nie pas jamais ni nunca jamás",
     REPORT: "said says called calls quoted wrote writes claims claimed sagte sagt nannte schrieb dit disait appelait écrit dijo dice llamó escribió",
 }
-#: Labelled texts that are learned from (the expected size of a hash sample) and learned insults at most.
-LEARN_DOCS, LEARNED_WORDS = 20_000, 500
+#: Labelled texts that are learned from: the expected size of a hash sample.
+LEARN_DOCS = 20_000
 #: A learned insult: different neighbours, share of toxic texts among its texts, neighbours per text.
 CONTEXTS, RELIABLE, SPREAD = 5, 0.8, 0.3
 #: Power of a learned word's reliability in its weight: a doubtful word alone decides nothing.
@@ -108,8 +108,9 @@ def pattern_of(state: dict[str, object]) -> int | None:
     return PATTERNS.index("threat" if threat else "aimed harm")
 
 
-def compose(machines: dict[str, Machine]) -> tuple[list[list[int]], list[int | None]]:
-    """The product of the machines, as far as it can be reached: moves[state][class] and each state's pattern."""
+def compose(machines: dict[str, Machine]) -> tuple[list[list[tuple[int, float]]], list[int | None]]:
+    """The product of the machines, as far as it can be reached: arcs[state][class] = (state, share of the word's weight
+    that the arc bears), and each state's pattern. A path weighs as much as its heaviest arc."""
     start = tuple(m.start for m in machines.values())
     number, waiting, moves = {start: 0}, [start], []
     for state in waiting:
@@ -119,7 +120,7 @@ def compose(machines: dict[str, Machine]) -> tuple[list[list[int]], list[int | N
             if to not in number:
                 number[to] = len(number)
                 waiting.append(to)
-            row.append(number[to])
+            row.append((number[to], 1.0 if symbol in (INSULT, HARM) else 0.0))
         moves.append(row)
     return moves, [pattern_of(dict(zip(machines, state, strict=True))) for state in waiting]
 
@@ -129,7 +130,7 @@ class Grammar:
 
     def __init__(self, lexicon: dict[str, tuple[int, float]]):
         self.lexicon = lexicon
-        self.moves, self.pattern = compose(MACHINES)
+        self.arcs, self.pattern = compose(MACHINES)
         self.anchors = ahocorasick.Automaton()
         for word, (kind, _) in lexicon.items():
             if kind in (INSULT, HARM):
@@ -153,13 +154,12 @@ class Grammar:
             yield text[begin:done]
 
     def match(self, clause: str) -> tuple[int | None, float]:
-        """The clause's pattern and the weight of its strongest insult or word of harm."""
+        """The clause's pattern and the weight of its path."""
         state, weight = 0, 0.0
         for word in _WORD.findall(clause):
             kind, own = self.lexicon.get(word, (OTHER, 0.0))
-            state = self.moves[state][kind]
-            if kind in (INSULT, HARM):
-                weight = max(weight, own)
+            state, share = self.arcs[state][kind]
+            weight = max(weight, share * own)
         return self.pattern[state], weight
 
     def features(self, text: str | None) -> np.ndarray:
@@ -205,7 +205,7 @@ def _words(text: str) -> Column:
 
 
 def _learned_insults(sample: DataFrame) -> list[tuple[str, int, int]]:
-    """(word, toxic texts, other texts) of words that mark toxic texts in many contexts. Small: LEARNED_WORDS rows."""
+    """(word, toxic texts, other texts) of all words that mark toxic texts in many contexts: at most the sample's words."""
     occurrences = sample.select("id", "toxic", _words("text").alias("w")).select("id", "toxic", "w", F.posexplode("w").alias("k", "word"))
     around = F.xxhash64(F.expr("get(w, k - 1)"), F.expr("get(w, k + 1)"))
     toxic = occurrences.where("toxic = 1").select("id", "word", around.alias("around"))
@@ -214,7 +214,7 @@ def _learned_insults(sample: DataFrame) -> list[tuple[str, int, int]]:
     clean = occurrences.where("toxic = 0").groupBy("word").agg(F.count_distinct("id").alias("misses"))
     both = spread.join(clean, "word", "left").select("word", "hits", F.coalesce("misses", F.lit(0)).alias("misses"))
     sure = both.where(F.col("hits") >= RELIABLE * (F.col("hits") + F.col("misses")))
-    return [(r["word"], r["hits"], r["misses"]) for r in sure.orderBy(F.desc("hits"), "word").limit(LEARNED_WORDS).collect()]
+    return [(r["word"], r["hits"], r["misses"]) for r in sure.orderBy(F.desc("hits"), "word").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
@@ -228,7 +228,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = marked.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)) < share)
     # about LEARN_DOCS short rows, whatever the input: small enough to send to all executors
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "key")
-    sample = texts.select("text", "toxic").dropDuplicates(["text"]).withColumn("id", F.xxhash64("text"))
+    # copies of a text are one text, toxic if any of them is marked so
+    sample = texts.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("id", F.xxhash64("text"))
     for word, hits, misses in _learned_insults(sample):
         kind = lexicon.get(word, (INSULT, 0.0))[0]
         if kind in (INSULT, HARM):

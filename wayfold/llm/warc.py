@@ -35,6 +35,8 @@ TRAIN_RECORDS, TRAIN_BYTES, DICTIONARY_BYTES = 200, 16 << 10, 32 << 10
 FILE_BYTES = 256 << 20
 #: Groups of equal payloads that may be sent to all executors, at 100 bytes each; more are joined by a shuffle.
 BROADCAST_GROUPS = 200_000
+#: Tasks over which rows with one payload are spread where there are more groups.
+SALTS = 32
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANDATORY = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
@@ -156,11 +158,16 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", bod
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(body), F.lit("")), "UTF-8").alias("payload"))
     groups = rows.where(F.octet_length("payload") >= least).groupBy(F.sha1("payload").alias("digest")).agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     groups, _ = materialise(groups, "equal-payloads")
+    salts = 1
     if groups.count() <= BROADCAST_GROUPS:
         groups = F.broadcast(groups)
+    else:  # rows with one very common payload are spread over several tasks
+        salts = SALTS
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     # payloads shorter than `least` are kept out of the join: their digest is null
     digest = F.when(F.octet_length("payload") >= least, F.sha1("payload"))
-    joined = rows.withColumn("digest", digest).join(groups, "digest", "left").select("id", "url", "payload", F.expr("case when first is not null and not id <=> first then first end").alias("response"))
+    salted = rows.withColumn("digest", digest).withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int"))
+    joined = salted.join(groups, ["digest", "salt"], "left").select("id", "url", "payload", F.expr("case when first is not null and not id <=> first then first end").alias("response"))
     folder = fresh_folder(spark, "warc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
