@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ ORDERS = 3
 BLOCK_NODES, TASK_ROWS = 1000, 3000
 #: Nodes of a family beyond which they are compared with heads first, and rounds of that.
 LARGE_NODES, ROUNDS = 4000, 2
+#: Rows of ids (of some 60 bytes each) that may be sent to all executors.
+BROADCAST_ROWS = 200_000
 _STEP = np.uint64(0xE7037ED1A0B428DB)
 #: Bytes of a stored shingle hash.
 _STORED = 6
@@ -146,7 +149,7 @@ def _block_links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
 
 
 def document_sets(docs: DataFrame, percent: int, size: int, key: str, text: str) -> DataFrame:
-    """key, node (digest of the set; null if empty), n_shingles; and for documents that share a prefix shingle with
+    """key, row (a number), node (digest of the set; null if empty), n_shingles; and for documents that share a prefix shingle with
     another: prefix_1..3 (their shared shingles, by order) and shared (the shingles of more than one document)."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -156,9 +159,12 @@ def document_sets(docs: DataFrame, percent: int, size: int, key: str, text: str)
         return {1: (keys, count)}
 
     totals = corpus_counts(rows, lambda part: counted(_shingles(part, size)[0]), "shingles")
-    fields = [("key", None), ("node", pa.binary()), ("n_shingles", pa.int64()), *((f"prefix_{k + 1}", pa.list_(pa.int32())) for k in range(ORDERS)), ("shared", pa.binary())]
+    fields = [("key", None), ("row", pa.int64()), ("node", pa.binary()), ("n_shingles", pa.int64()), *((f"prefix_{k + 1}", pa.list_(pa.int32())) for k in range(ORDERS)), ("shared", pa.binary())]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        assert context is not None
+        done = context.partitionId() << 33
         for number, part in enumerate(parts(batches)):
             sets, upto = _shingles(part, size)
             grams = counted(sets)
@@ -179,14 +185,20 @@ def document_sets(docs: DataFrame, percent: int, size: int, key: str, text: str)
                 for column, rank in zip(prefix, _ranks(shingles, many), strict=True):
                     column.append(_token(shingles[rank[:room]]))
                 shared.append(_pack(shingles))
-            columns = [part["key"].combine_chunks(), pa.array(nodes, pa.binary()), pa.array(np.diff(upto)), *(pa.array(p, pa.list_(pa.int32())) for p in prefix), pa.array(shared, pa.binary())]
+            columns = [part["key"].combine_chunks(), pa.array(np.arange(done, done + len(nodes))), pa.array(nodes, pa.binary()), pa.array(np.diff(upto)), *(pa.array(p, pa.list_(pa.int32())) for p in prefix), pa.array(shared, pa.binary())]
+            done += len(nodes)
             yield pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
 
     lists = ", ".join(f"prefix_{k + 1} array<int>" for k in range(ORDERS))
-    found = rows.mapInArrow(prefixes, f"key {kind}, node binary, n_shingles long, {lists}, shared binary")
+    found = rows.mapInArrow(prefixes, f"key {kind}, row long, node binary, n_shingles long, {lists}, shared binary")
     return materialise(found, "sets")[0]
 
 
+def _sent(table: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a stored table of ids that has few rows; a longer one is joined by a shuffle."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def _families(postings: DataFrame) -> DataFrame:
     """(node, family): components of nodes that share a token, by each token's least node; postings: (node, token)."""
     heads = postings.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("token", "head")
@@ -214,8 +226,9 @@ def _links(nodes: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     pairs, _ = materialise(pairs.withColumn("pair", F.xxhash64("family", "x", "y")), "pairs")
     sides = pairs.select("family", "x.*", "pair", "whole", F.lit(False).alias("second")).union(pairs.where("x != y").select("family", "y.*", "pair", "whole", F.lit(True).alias("second")))
     copies, _ = materialise(own_block.join(sides, ["family", "owner", "number"]).select("node", "family", "pair", "whole", "second"), "copies")
-    tasks = max(1, -(-copies.count() // TASK_ROWS))
-    sent = copies.join(nodes, "node").withColumn("g", F.pmod(F.xxhash64("family", "pair"), F.lit(tasks)).cast("int"))
+    rows = copies.count()
+    tasks = max(1, -(-rows // TASK_ROWS))
+    sent = _sent(copies, rows).join(nodes, "node").withColumn("g", F.pmod(F.xxhash64("family", "pair"), F.lit(tasks)).cast("int"))
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("family", "ascending"), ("pair", "ascending"), ("second", "ascending"), ("node", "ascending")])
@@ -288,19 +301,21 @@ def similar_components(docs: DataFrame, percent: int = 80, size: int = 5, key: s
     """
     spark = docs.sparkSession
     documents = document_sets(docs, percent, size, key, text)
-    kept = ["n_shingles", *(f"prefix_{k + 1}" for k in range(ORDERS)), "shared"]
-    candidates = documents.where("shared is not null").groupBy("node").agg(F.first(F.struct(*kept)).alias("x"))
-    nodes, _ = materialise(candidates.select("node", "x.*"), "nodes")
+    kept = ["node", "n_shingles", *(f"prefix_{k + 1}" for k in range(ORDERS)), "shared"]
+    candidates = documents.where("shared is not null")
+    # one row for each node is chosen before any set is moved
+    chosen, _ = materialise(candidates.groupBy("node").agg(F.min("row").alias("row")).select("row"), "chosen")
+    nodes, _ = materialise(candidates.join(_sent(chosen, chosen.count()), "row", "left_semi").select(*kept), "nodes")
     release(spark)
 
     families = _families(nodes.select("node", F.explode("prefix_1").alias("token")))
     sizes = families.groupBy("family").agg(F.count("*").alias("n"))
     families, _ = materialise(families.join(sizes, "family"), "families")
-    large, _ = materialise(nodes.join(families.where(F.col("n") > LARGE_NODES).select("node"), "node", "left_semi"), "large")
+    large = families.where(F.col("n") > LARGE_NODES).select("node")
     small = families.where(F.col("n") <= LARGE_NODES).select("node", "family", F.col("node").alias("part"))
     links = _links(nodes, small, percent)
     if not large.isEmpty():
-        by_heads, left = _head_links(large, percent)
+        by_heads, left = _head_links(materialise(nodes.join(large, "node", "left_semi"), "large")[0], percent)
         links = links.union(by_heads.withColumn("whole", F.lit(False))).union(_links(nodes, left, percent).withColumn("whole", F.lit(False)))
     labels = links.where("whole").select(F.col("b").alias("node"), F.col("a").alias("part"))
     split = links.where("not whole")
