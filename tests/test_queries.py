@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from wayfold.plans.queries import ORACLES, QUERIES
+from wayfold.plans.catalog import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 

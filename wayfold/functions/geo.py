@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_000.0
@@ -94,27 +94,30 @@ def geohash(lat, lon, precision: int) -> Column:
 
 def geohash_bounds(hash_) -> Column:
     """struct<min_lat, max_lat, min_lon, max_lon> of a geohash column."""
-    h = col(hash_)
-    start = F.struct(*(F.lit(v).alias(n) for n, v in (("min_lat", -90.0), ("max_lat", 90.0), ("min_lon", -180.0), ("max_lon", 180.0))), F.lit(0).alias("k"))
+    letters = F.filter(F.split(col(hash_), ""), lambda c: c != "")
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("x"), zero.alias("y"), F.lit(0).alias("k"))
 
     def step(s: Column, letter: Column) -> Column:
-        index = F.instr(F.lit(GEOHASH_ALPHABET), letter) - 1
-        for j in range(5):
-            one = F.shiftright(index, 4 - j).bitwiseAND(F.lit(1)) == 1
-            lat, lon = (s["min_lat"] + s["max_lat"]) / 2, (s["min_lon"] + s["max_lon"]) / 2
-            east = (s["k"] + j) % 2 == 0
-            s = F.struct(
-                F.when(~east & one, lat).otherwise(s["min_lat"]).alias("min_lat"),
-                F.when(~east & ~one, lat).otherwise(s["max_lat"]).alias("max_lat"),
-                F.when(east & one, lon).otherwise(s["min_lon"]).alias("min_lon"),
-                F.when(east & ~one, lon).otherwise(s["max_lon"]).alias("max_lon"),
-                s["k"].alias("k"),
-            )
-        return F.struct(s["min_lat"].alias("min_lat"), s["max_lat"].alias("max_lat"), s["min_lon"].alias("min_lon"), s["max_lon"].alias("max_lon"), (s["k"] + 5).alias("k"))
-
-    letters = F.filter(F.split(h, ""), lambda c: c != "")
-    found = F.aggregate(letters, start, step)
-    return F.struct(found["min_lat"].alias("min_lat"), found["max_lat"].alias("max_lat"), found["min_lon"].alias("min_lon"), found["max_lon"].alias("max_lon"))
+        """A letter's five bits go to longitude and latitude in turn; an odd letter begins with latitude."""
+        v = (F.instr(F.lit(GEOHASH_ALPHABET), letter) - 1).cast("long")
+
+        def bit(n: int) -> Column:
+            return F.shiftright(v, n).bitwiseAND(F.lit(1))
+
+        three, two = bit(4) * 4 + bit(2) * 2 + bit(0), bit(3) * 2 + bit(1)
+        even = s["k"] % 2 == 0
+        x = F.when(even, s["x"] * 8 + three).otherwise(s["x"] * 4 + two)
+        y = F.when(even, s["y"] * 4 + two).otherwise(s["y"] * 8 + three)
+        return F.struct(x.alias("x"), y.alias("y"), (s["k"] + 1).alias("k"))
+
+    def edges(s: Column) -> Column:
+        wide, high = F.pow(F.lit(2.0), F.ceil(s["k"] * 2.5)), F.pow(F.lit(2.0), F.floor(s["k"] * 2.5))
+        return F.struct(
+            (s["y"] / high * 180.0 - 90.0).alias("min_lat"), ((s["y"] + 1) / high * 180.0 - 90.0).alias("max_lat"), (s["x"] / wide * 360.0 - 180.0).alias("min_lon"), ((s["x"] + 1) / wide * 360.0 - 180.0).alias("max_lon")
+        )
+
+    return F.aggregate(letters, start, step, edges)
 
 
 def geohash_decode(hash_) -> Column:
@@ -125,16 +128,18 @@ def geohash_decode(hash_) -> Column:
 
 def geohash_neighbours(hash_, precision: int) -> Column:
     """Distinct cells around a cell; latitude stops at the poles and longitude goes round."""
-    b = geohash_bounds(hash_)
-    lat, lon = (b["min_lat"] + b["max_lat"]) / 2, (b["min_lon"] + b["max_lon"]) / 2
-    high, wide = b["max_lat"] - b["min_lat"], b["max_lon"] - b["min_lon"]
-    cells = []
-    for i in (-1, 0, 1):
-        for j in (-1, 0, 1):
-            if i or j:
-                up = F.greatest(F.least(lat + i * high, F.lit(90.0)), F.lit(-90.0))
-                cells.append(geohash(up, F.pmod(lon + j * wide + 180.0, F.lit(360.0)) - 180.0, precision))
-    return F.filter(F.array_distinct(F.array(*cells)), lambda c: c != col(hash_))
+
+    def around(b: Column) -> Column:
+        lat, lon = (b["min_lat"] + b["max_lat"]) / 2, (b["min_lon"] + b["max_lon"]) / 2
+        high, wide = b["max_lat"] - b["min_lat"], b["max_lon"] - b["min_lon"]
+        moved = [
+            F.struct(F.greatest(F.least(lat + i * high, F.lit(90.0)), F.lit(-90.0)).alias("lat"), (F.pmod(lon + j * wide + 180.0, F.lit(360.0)) - 180.0).alias("lon"))
+            for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j
+        ]
+        return F.transform(F.array(*moved), lambda p: geohash(p["lat"], p["lon"], precision))
+
+    cells = F.flatten(F.transform(F.array(geohash_bounds(hash_)), around))
+    return F.filter(F.array_distinct(cells), lambda c: c != col(hash_))
 
 
 def geohash_cell_size(precision) -> Column:
@@ -194,3 +199,43 @@ def point_in_polygon(lat, lon, ring) -> Column:
 
     hits = F.zip_with(r, before, crosses)
     return (F.size(r) >= 3) & (F.size(F.filter(hits, lambda h: F.coalesce(h, F.lit(False)))) % 2 == 1)
+
+
+def angular_difference_radians(a, b) -> Column:
+    """Signed difference b - a in radians, above -pi and up to pi."""
+    d = F.pmod(col(b) - col(a) + math.pi, F.lit(2 * math.pi)) - math.pi
+    return F.when(d == -math.pi, math.pi).otherwise(d)
+
+
+def centroid(lat, lon, weight=1.0) -> Column:
+    """In an aggregation: struct<lat, lon>, the weighted mean place; the plain one where weights add up to 0."""
+    w = col(weight)
+    return F.struct(*(F.coalesce(F.try_divide(F.sum(col(x) * w), F.sum(w)), F.avg(col(x))).alias(n) for n, x in (("lat", lat), ("lon", lon))))
+
+
+def bounding_box(lat, lon) -> Column:
+    """In an aggregation: struct<min_lat, max_lat, min_lon, max_lon>."""
+    return F.struct(*(f(col(x)).alias(f"{k}_{n}") for n, x in (("lat", lat), ("lon", lon)) for k, f in (("min", F.min), ("max", F.max))))
+
+
+def hull_area(lat, lon) -> Column:
+    """In an aggregation: the area of the points' bounding box, which stands for that of their hull."""
+    return bounding_box_area(F.min(col(lat)), F.min(col(lon)), F.max(col(lat)), F.max(col(lon)))
+
+
+def radius_of_gyration(points: DataFrame, group: list[str], weight=1.0, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """group, radius_m: the root of the (weighted) mean squared distance from the group's centroid."""
+    w = col(weight)
+    middle = points.groupBy(*group).agg(centroid(lat, lon, weight).alias("_c"))
+    d = F.pow(haversine(lat, lon, "_c.lat", "_c.lon"), 2)
+    return points.join(middle, group).groupBy(*group).agg(F.sqrt(F.coalesce(F.try_divide(F.sum(d * w), F.sum(w)), F.avg(d))).alias("radius_m"))
+
+
+def paths(points: DataFrame, group: list[str], order: list[str], lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """group, path_m (along the points in order), line_m (first to last) and tortuosity (their ratio, 1 without a line)."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    hop = haversine(F.lag(lat).over(w), F.lag(lon).over(w), lat, lon)
+    place, at = F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon")), F.struct(*order)
+    out = points.withColumn("_hop", hop).groupBy(*group).agg(F.coalesce(F.sum("_hop"), F.lit(0.0)).alias("path_m"), F.min_by(place, at).alias("_a"), F.max_by(place, at).alias("_b"))
+    out = out.withColumn("line_m", haversine("_a.lat", "_a.lon", "_b.lat", "_b.lon")).drop("_a", "_b")
+    return out.withColumn("tortuosity", F.when(F.col("line_m") > 0, F.col("path_m") / F.col("line_m")).otherwise(1.0))

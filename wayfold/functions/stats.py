@@ -294,3 +294,29 @@ def circular_concentration(angle_deg, weight=1.0) -> Column:
 def is_circular_uniform(angle_deg) -> Column:
     """Rayleigh test at 5 %."""
     return F.exp(-F.count(col(angle_deg)) * F.pow(resultant(angle_deg), 2)) > 0.05
+
+
+def with_zscore_flag(df: DataFrame, x: str, threshold: float, partition: list[str], name: str = "is_outlier") -> DataFrame:
+    """More than `threshold` standard deviations from the group's mean; never without spread."""
+    both = _joined(df, [F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_sd")], partition)
+    return both.withColumn(name, F.abs(zero(F.try_divide(F.col(x) - F.col("_mean"), F.col("_sd")))) > threshold).drop("_mean", "_sd")
+
+
+def without_outliers(df: DataFrame, x: str, partition: list[str]) -> DataFrame:
+    """The rows within 1.5 interquartile ranges."""
+    return with_outlier_flag(df, x, partition, "_out").where(~F.col("_out")).drop("_out")
+
+
+def predict(x, slope, intercept) -> Column:
+    return col(intercept) + col(slope) * col(x)
+
+
+def entropy_of_values(df: DataFrame, x: str, n: int, partition: list[str]) -> DataFrame:
+    """partition, entropy of x in n equal bins over each group's range."""
+    binned = _joined(df, [F.min(x).alias("_low"), F.max(x).alias("_high")], partition).withColumn("_bin", bins(x, "_low", "_high", n))
+    return binned.groupBy(*partition, "_bin").agg(F.count("*").alias("_n")).groupBy(*partition).agg(entropy("_n").alias("entropy"))
+
+
+def circular_mean_radians(angle, weight=1.0) -> Column:
+    a, w = col(angle), col(weight)
+    return F.pmod(F.atan2(F.sum(w * F.sin(a)), F.sum(w * F.cos(a))) + 2 * math.pi, F.lit(2 * math.pi))

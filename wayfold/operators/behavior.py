@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo
-from wayfold.plans.windows import ORDER, ordered, islands, range_join
+from wayfold.plans.windows import ORDER, asof, islands, ordered, range_join
 
 PLACES = ["province", "city", "county", "town"]
 #: Metres a second below which a fix belongs to a mode.
@@ -124,6 +124,25 @@ def trips(segments: DataFrame, stays: DataFrame | None = None, gap: int = 7200,
     return numbered
 
 
+def stay_trips(stays: DataFrame, segments: DataFrame, round_s: int = 1800) -> DataFrame:
+    """The older rule: one trip between two consecutive stays of a track, made of the segments that lie wholly between them.
+
+    trip_type: ROUND_TRIP if both stays are in one cell, COMMUTE if the way is short and between 6 and 10 or 16 and 20 h,
+    otherwise ONE_WAY. A segment lies in at most one gap, that of the last stay that ended before it began.
+    """
+    w = Window.partitionBy("track_id").orderBy("start_time", "stay_id")
+    after = F.lead(F.struct("stay_id", "start_time", "geohash6")).over(w)
+    gaps = stays.withColumn("_next", after).where("_next is not null").select(
+        "track_id", F.col("stay_id").alias("origin_stay_id"), F.col("_next.stay_id").alias("dest_stay_id"), F.col("end_time").alias("_from"), F.col("_next.start_time").alias("_to"), (F.col("geohash6") == F.col("_next.geohash6")).alias("_same")
+    )
+    own = segments.select("track_id", "segment_id", F.col("start_time").alias("_s"), F.col("end_time").alias("_e"), "duration_s", "distance_m")
+    placed = asof(own, gaps, "_s", "_from", ["track_id"], ["origin_stay_id", "dest_stay_id", "_from", "_to", "_same"], "gap").where(F.col("_e") <= F.col("gap._to"))
+    out = placed.groupBy("gap.origin_stay_id", "gap.dest_stay_id", "gap._same").agg(F.count("*").alias("segments"), F.sum("duration_s").alias("moving_s"), F.sum("distance_m").alias("distance_m"), F.min("_s").alias("start_time"), F.max("_e").alias("end_time"))
+    hour = F.hour(F.timestamp_seconds("start_time"))
+    short = (F.col("end_time") - F.col("start_time") <= 4 * round_s) & (hour.between(6, 10) | hour.between(16, 20))
+    return out.withColumn("trip_type", F.when(F.col("_same"), "ROUND_TRIP").when(short, "COMMUTE").otherwise("ONE_WAY")).drop("_same")
+
+
 def streaks(points: DataFrame, min_m: float = 1000.0, min_days: int = 2) -> DataFrame:
     """Runs of consecutive days on each of which a track covered min_m metres."""
     day = F.to_date(F.timestamp_seconds("data_time"))

@@ -15,7 +15,8 @@ DEFAULT_SPEEDS = (0.0, 2.0, 5.0, 10.0, 20.0, 30.0)
 
 
 def rendering_metadata(points: DataFrame, segments: DataFrame, zoom: int = 15) -> DataFrame:
-    """Per segment and level of detail (1 to 3): speed bucket, how travelled its commonest cell is, line weight and alpha."""
+    """Per segment and level of detail (1 to 3): its start (id, data_time, lat, lon) and mode, speed bucket, how travelled its
+    commonest cell is, line weight and alpha."""
     grid = geo.tile_id("lat", "lon", zoom)
     p = with_runs(points).withColumn("grid", grid)
     limits = p.where("speed > 0").agg(F.percentile("speed", F.array(*(F.lit(k / 5) for k in range(6)))).alias("p"))
@@ -29,12 +30,13 @@ def rendering_metadata(points: DataFrame, segments: DataFrame, zoom: int = 15) -
     ranks = cells.join(shares, "n").select("grid", "overlap_rank")
     by_cell = p.where("speed > 0").groupBy("track_id", "run", "grid").agg(F.count("*").alias("c"), F.sum("speed").alias("s"))
     runs = by_cell.groupBy("track_id", "run").agg((F.sum("s") / F.sum("c")).alias("v"), F.min_by("grid", F.struct(-F.col("c"), F.col("grid"))).alias("grid"))
-    own = segments.select("segment_id", "track_id", "run").join(runs, ["track_id", "run"]).join(ranks, "grid", "left").crossJoin(F.broadcast(limits))
+    begin = [F.col("segment_id").alias("id"), F.col("start_time").alias("data_time"), F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon"), "mode"]
+    own = segments.select("segment_id", "track_id", "run", *begin).join(runs, ["track_id", "run"]).join(ranks, "grid", "left").crossJoin(F.broadcast(limits))
     bucket = F.lit(0)
     for k in range(6):
         bucket = F.when(F.col("v") >= F.col("p")[k], k).otherwise(bucket)
     rank = F.coalesce("overlap_rank", F.lit(0.0))
-    out = own.select("segment_id", bucket.alias("speed_bucket"), rank.alias("overlap_rank"), (1.0 + rank * 2.0).alias("line_weight"), (0.3 + rank * 0.7).alias("alpha_hint"))
+    out = own.select("segment_id", "id", "data_time", "lat", "lon", "mode", bucket.alias("speed_bucket"), rank.alias("overlap_rank"), (1.0 + rank * 2.0).alias("line_weight"), (0.3 + rank * 0.7).alias("alpha_hint"))
     return out.withColumn("lod_level", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
 
 

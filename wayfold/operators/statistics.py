@@ -26,6 +26,13 @@ def footprint(points: DataFrame, zoom: int = 15) -> DataFrame:
     )
 
 
+def footprint_by_ids(points: DataFrame, segments: DataFrame, width: int = 4096) -> DataFrame:
+    """By city: fixes and the durations of the segments whose range of ids (first to last fix) holds the fix's id."""
+    spans = segments.select("track_id", "segment_id", "end_id", "duration_s").where("end_id >= segment_id")
+    met = range_join(points.select("track_id", "id", "city"), spans, "id", "segment_id", "end_id", ["track_id"], width)
+    return met.groupBy("city").agg(F.sum("duration_s").alias("duration_s"), F.count("*").alias("n"))
+
+
 def stay_statistics(stays: DataFrame) -> DataFrame:
     wide = fan_out(stays.withColumn("activity_type", F.col("stay_type")).withColumn("day", _day("start_time")), _areas(*LEVELS, "activity_type"), _buckets("start_time", "year", "month", "day", "all"))
     return wide.groupBy(*GROUP).agg(
@@ -75,7 +82,8 @@ def extreme_events(points: DataFrame, trip: DataFrame) -> DataFrame:
     listed = F.array_compact(F.array(*(F.when(rule, F.struct(F.lit(n).alias("event_type"), F.lit(c).alias("event_category"), v.alias("value"))) for n, c, v, rule in rules)))
     events = both.select("trip_id", "id", "data_time", "lat", "lon", F.explode(listed).alias("v")).select("*", "v.*")
     first = F.min_by(F.struct("id", "data_time", "lat", "lon", "value"), F.struct("data_time", "id")).alias("f")
-    return events.groupBy("trip_id", "event_type", "event_category").agg(first).select("trip_id", "event_type", "event_category", "f.*")
+    found = events.groupBy("trip_id", "event_type", "event_category").agg(first).select("trip_id", "event_type", "event_category", "f.*")
+    return found.withColumn("rank", F.lit(None).cast("int"))  # for callers that rank events; read queries put ranked ones first
 
 
 def admin_trends(points: DataFrame, level: str = "city") -> DataFrame:
@@ -100,6 +108,21 @@ def admin_trends(points: DataFrame, level: str = "city") -> DataFrame:
     )
 
 
+def movement_by_area(segments: DataFrame, burst_kmh: float = 50.0, active_kmh: float = 5.0) -> DataFrame:
+    """movement_intensity's figures by area of the segments' start and by time bucket."""
+    moving = segments.where("duration_s > 0 and distance_m > 0")
+    fast = F.col("avg_speed_kmh") > burst_kmh
+    moving = moving.withColumn("_rise", fast & ~F.coalesce(F.lag(fast).over(ordered(order=["start_time", "segment_id"])), F.lit(False)))
+    wide = fan_out(moving, {"ALL": F.lit("ALL"), **_areas("province", "city")}, _buckets("start_time", "all", "year", "month"))
+    out = wide.groupBy(*GROUP).agg(
+        F.count("*").alias("trip_count"), F.sum("distance_m").alias("total_distance"), F.sum("duration_s").alias("total_duration"), F.sum(F.when(F.col("avg_speed_kmh") > active_kmh, F.col("duration_s")).otherwise(0)).alias("active_time"),
+        F.count_if("_rise").alias("burst_count"), F.sum(F.when(fast, F.col("duration_s")).otherwise(0)).alias("burst_duration"), F.count_distinct(F.floor(F.col("start_time") / 86400)).alias("distinct_days"),
+    )
+    out = out.withColumn("movement_intensity", F.col("total_distance") / 1000 / (F.col("total_duration") / 3600)).withColumn("activity_ratio", F.col("active_time") / F.col("total_duration"))
+    index = F.col("movement_intensity") * F.col("activity_ratio") * F.log1p(F.col("distinct_days").cast("double"))
+    return out.withColumn("burst_intensity", F.when(F.col("burst_duration") > 0, burst_kmh * 1.5).otherwise(0.0)).withColumn("time_compression_index", index)
+
+
 def movement_intensity(segments: DataFrame, active_kmh: float = 5.0, burst_kmh: float = 50.0) -> DataFrame:
     """One row over all segments with a time and a distance: how dense movement is, and bursts of fast segments."""
     moving = segments.where("duration_s > 0 and distance_m > 0")

@@ -90,7 +90,7 @@ VIEWS = {
     "trips": View({**_TIMES, "origin_city": ("origin_city", "="), "dest_city": ("dest_city", "="), "min_distance": ("distance_m", ">="), "mode": ("primary_mode", "="), "purpose": ("purpose", "="), "id": ("trip_id", "=")}, {"": ("-start_time", "-trip_id")}),
     "footprint": View({"stat_type": ("area_type", "="), "time_range": ("bucket_type", "="), "key": ("bucket_key", "=")}, {"points": ("-point_count", *_KEY), "visits": ("-visit_days", *_KEY), "distance": ("-total_distance", *_KEY), "duration": ("-duration_s", *_KEY)}, defaults={"stat_type": "PROVINCE", "time_range": "all"}),
     "stay_statistics": View({"stat_type": ("area_type", "="), "time_range": ("bucket_type", "="), "key": ("bucket_key", "=")}, {"count": ("-stay_count", *_KEY), "duration": ("-total_duration", *_KEY)}, defaults={"stat_type": "PROVINCE", "time_range": "all"}),
-    "extreme_events": View({"type": ("event_type", "="), "category": ("event_category", "=")}, {"": ("-value", "trip_id", "event_type")}, 50, 100),
+    "extreme_events": View({"type": ("event_type", "="), "category": ("event_category", "=")}, {"": ("rank", "-value", "trip_id", "event_type")}, 50, 100),
     "admin_crossings": View({"type": ("crossing_type", "="), "from_region": ("from_province,from_city,from_county,from_town", "any"), "to_region": ("to_province,to_city,to_county,to_town", "any"), "start": ("crossing_time", ">="), "end": ("crossing_time", "<=")}, {"": ("-crossing_time", "-crossing_id")}),
     "admin_view": View({"level": ("level", "="), "name": ("name", "="), "parent": ("parent", "=")}, {"visits": ("-visit_count", "level", "name", "parent"), "duration": ("-duration_s", "level", "name", "parent"), "days": ("-unique_days", "level", "name", "parent"), "distance": ("-total_distance", "level", "name", "parent")}, 50),
     "speed_space": View(_AREA, {"": ("-avg_speed", *_KEY)}, defaults=_ALL),
@@ -106,6 +106,11 @@ VIEWS = {
     "deep_engagement": View({k: _AREA[k] for k in ("area_type", "area_key")}, {"": ("-area_depth", "area_type", "area_key")}, where="area_depth > 20"),
     "density": View({"density_level": ("density_level", "=")}, {"": ("-score", "grid_id")}),
     "altitude": View({k: _AREA[k] for k in ("area_type", "area_key")}, {"span": ("-altitude_span", "area_type", "area_key"), "intensity": ("-vertical_intensity", "area_type", "area_key")}),
+    "highest_spans": View({k: _AREA[k] for k in ("area_type", "area_key")}, {"": ("-altitude_span", "area_type", "area_key")}, where="altitude_span > 0"),
+    "highest_intensity": View({k: _AREA[k] for k in ("area_type", "area_key")}, {"": ("-vertical_intensity", "area_type", "area_key")}, where="vertical_intensity > 0"),
+    "compression": View(_AREA, {"": ("-time_compression_index", *_KEY)}),
+    "most_intense": View(_AREA, {"": ("-movement_intensity", *_KEY)}, where="movement_intensity > 0"),
+    "bursts": View(_AREA, {"": ("-burst_count", "-burst_intensity", *_KEY)}, where="burst_count > 0"),
     "time_slices": View({"slice_type": ("slice_type", "=")}, {"": ("slice_type", "slice_key")}),
     "weekly_pattern": View({}, {"": ("slice_key",)}, 168, 168, "slice_type = 'WEEKLY_HOURLY'"),
     "hourly_pattern": View({}, {"": ("slice_key",)}, 24, 24, "slice_type = 'HOURLY'"),
