@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 #: The columns of the counter tables.
 MOUSE = ("lbcount", "rbcount", "mbcount", "xbcount", "wheel", "hwheel", "move")
-#: Scan codes of the number pad, and of the other counters that charts add up.
-NUMPAD = tuple(range(71, 84))
 
 
 def clean_names(df: DataFrame) -> DataFrame:
@@ -32,7 +30,7 @@ def kept_fixes(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def counters(spark: SparkSession, path: str) -> DataFrame:
     """(date, name, value) of all `name=value` lines under [YYYYMMDD] sections of UTF-16 INI files; a bad number is 0."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.split(F.decode("content", F.lit("UTF-16")), r"\r?\n").alias("lines"))
+    files = spark.read.format("binaryFile").load(path).select("path", F.split(F.decode("content", "UTF-16"), r"\r?\n").alias("lines"))
     lines = files.select("path", F.posexplode("lines").alias("at", "line")).withColumn("line", F.trim("line"))
     section = F.regexp_extract("line", r"^\[(\d{8})\]$", 1)
     w = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # a file's lines
