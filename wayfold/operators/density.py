@@ -21,10 +21,14 @@ _REACH = 2
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the folder that the cluster shares (spark.checkpoint.dir; a folder of our own in tests) and read it again."""
+    """Write df to the folder that the cluster shares (spark.checkpoint.dir) and read it again. Where that is unset, a local
+    session (as in tests) gets a folder of its own; on a cluster it is an error, since executors would each write to their own disk."""
     spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("wayfold.own.tables", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or spark.conf.get("wayfold.own.tables", None)
     if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="wayfold-")
         spark.conf.set("wayfold.own.tables", root)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
