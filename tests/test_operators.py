@@ -3,10 +3,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from wayfold.operators import behavior, foundation, presentation, spatial, statistics, temporal
-from wayfold.operators.density import density_clusters
+from wayfold.operators.density import cluster_figures, convex_hull, density_clusters
 from wayfold.plans import serving
 from wayfold.streaming import live
 
@@ -108,6 +109,28 @@ def test_density_clusters_against_a_loop(spark):
     assert {r["id"]: r["cluster"] for r in out} == want
 
 
+def test_cluster_figures(spark):
+    square = [(0, 0), (0, 2), (2, 0), (2, 2), (1, 1), (1, 0), (2, 1), (1, 1)]
+    rows = [point(k, 86_400 * (k % 2), lat=22 + a / 1000, lon=113 + b / 1000, place=("p", str(k), "k", "w")) for k, (a, b) in enumerate(square)]
+    rows += [point(50 + k, k, lat=30.0, lon=113 + k / 1000) for k in range(4)] + [point(99, 0, lat=60.0)]
+    out = {r["cluster"]: r for r in cluster_figures(density_clusters(frame(spark, rows), 200.0, 2), 200.0).collect()}
+    assert set(out) == {0, 50}
+    assert (out[0]["point_count"], out[0]["visit_count"], out[0]["duration_s"], out[0]["city"], out[0]["cluster_type"]) == (8, 2, 480, "0", "OCCASIONAL")
+    assert out[0]["convex_hull_area_km2"] == pytest.approx(4e-6 * 111 * 111) and out[50]["convex_hull_area_km2"] == pytest.approx(0)
+    assert out[0]["radius_m"] == pytest.approx(max(metres(out[0]["center_lat"], out[0]["center_lon"], 22 + a / 1000, 113 + b / 1000) for a, b in square))
+
+
+def test_convex_hull_holds_all_points():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 50, 500):
+        places = rng.integers(0, 12, (n, 2)).astype(float)
+        hull = convex_hull(places)
+        ends = np.roll(hull, -1, axis=0)
+        for a, b in zip(hull, ends, strict=True):
+            assert ((b[0] - a[0]) * (places[:, 1] - a[1]) - (b[1] - a[1]) * (places[:, 0] - a[0]) >= 0).all() or len(hull) < 3
+        assert {tuple(h) for h in hull} <= {tuple(p) for p in places}
+
+
 def test_simplified_line_keeps_corners(spark):
     rows = [point(k, k, lat=22.0 + (0.01 if k == 5 else 0), lon=113.0 + k / 1000) for k in range(11)]
     out = {r["epsilon"]: r["kept_points"] for r in temporal.simplified_lines(frame(spark, rows), (1e-3, 1.0)).collect()}
@@ -126,7 +149,7 @@ def test_empty_tables(spark):
     p = frame(spark, [])
     seg, stay = behavior.transport_segments(p), behavior.admin_stays(p)
     cells = spatial.grid_cells(p)
-    for df in (foundation.flag_outliers(p), foundation.fill_gaps(p), seg, stay, behavior.trips(seg, stay), behavior.streaks(p), behavior.speed_events(p), cells, spatial.density_levels(cells), statistics.footprint(p), statistics.admin_crossings(p), temporal.simplified_lines(p), presentation.rendering_metadata(p, seg), density_clusters(p, 100.0, 3)):
+    for df in (foundation.flag_outliers(p), foundation.fill_gaps(p), seg, stay, behavior.trips(seg, stay), behavior.streaks(p), behavior.speed_events(p), cells, spatial.density_levels(cells), statistics.footprint(p), statistics.admin_crossings(p), temporal.simplified_lines(p), presentation.rendering_metadata(p, seg), density_clusters(p, 100.0, 3), cluster_figures(density_clusters(p, 100.0, 3), 100.0)):
         assert df.count() == 0
     assert statistics.movement_intensity(seg).first()["trip_count"] == 0
     assert spatial.spatial_complexity(p, cells).first()["direction_changes"] == 0

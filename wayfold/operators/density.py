@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,10 @@ from wayfold.functions import geo
 
 #: Cells to each side that can hold neighbours: eps is at most 1.5 cell diagonals.
 _REACH = 2
+#: Corners that a task holds before it hands them on.
+_CORNERS = 100_000
+#: Parts of a cluster's points when each is measured from the centre.
+_PARTS = 16
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -89,3 +96,84 @@ def density_clusters(points: DataFrame, eps_m: float, min_samples: int, key: str
     found = named.select(F.col("t").alias("_t"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.coalesce("label", "border").alias("cluster"))
     same = points[partition].eqNullSafe(found["_t"]) & (points["lat"] == found["_lat"]) & (points["lon"] == found["_lon"])
     return points.join(found, same, "left").drop("_t", "_lat", "_lon")
+
+
+def convex_hull(places: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of (lat, lon) rows, in turn; the ends alone where all lie on one line."""
+    rows = np.unique(places, axis=0)
+    if len(rows) < 3:
+        return rows
+
+    def side(points: list[list[float]]) -> list[list[float]]:
+        kept: list[list[float]] = []
+        for p in points:
+            while len(kept) > 1 and (kept[-1][0] - kept[-2][0]) * (p[1] - kept[-2][1]) <= (kept[-1][1] - kept[-2][1]) * (p[0] - kept[-2][0]):
+                kept.pop()
+            kept.append(p)
+        return kept[:-1]
+
+    return np.array(side(rows.tolist()) + side(rows[::-1].tolist()))
+
+
+def hull_areas(points: DataFrame) -> DataFrame:
+    """(cluster, hull_deg2): the convex hull's area in square degrees of each cluster of (cluster, lat, lon) rows.
+
+    Every task keeps only the corners that it has seen so far, by cluster; the corners of all tasks make the hull.
+    """
+    kind = points.schema["cluster"].dataType.simpleString()
+
+    def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[object, np.ndarray] = {}
+
+        def handed() -> pa.RecordBatch:
+            keys = [k for k, h in held.items() for _ in h]
+            both = np.vstack([*held.values()])
+            return pa.record_batch({"cluster": pa.array(keys, type_), "lat": pa.array(both[:, 0]), "lon": pa.array(both[:, 1])})
+
+        for batch in batches:
+            type_ = batch.schema.field("cluster").type
+            for key, rows in batch.to_pandas().groupby("cluster"):
+                places = rows[["lat", "lon"]].to_numpy()
+                held[key] = convex_hull(np.vstack([held[key], places]) if key in held else places)
+            if sum(map(len, held.values())) > _CORNERS:
+                yield handed()
+                held.clear()
+        if held:
+            yield handed()
+
+    def area(table: pa.Table) -> pa.Table:
+        hull = convex_hull(np.column_stack([table["lat"].to_numpy(), table["lon"].to_numpy()]))
+        x, y = (hull - hull[0]).T
+        size = abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
+        return pa.table({"cluster": table["cluster"].combine_chunks()[:1], "hull_deg2": [size]})
+
+    some = points.select("cluster", "lat", "lon").mapInArrow(corners, f"cluster {kind}, lat double, lon double")
+    return some.groupBy("cluster").applyInArrow(area, f"cluster {kind}, hull_deg2 double")
+
+
+def cluster_figures(clustered: DataFrame, eps_m: float, key: str = "id", partition: str = "track_id") -> DataFrame:
+    """One row for each cluster of density_clusters: centre, points, days, density, type, radius, hull area, places of its first fix.
+
+    A fix counts for a minute. Noise has no row; a cluster on one line has no area.
+    """
+    chosen = clustered.where("cluster is not null").select(partition, "cluster", key, "data_time", "lat", "lon", "province", "city", "county")
+    p = stored(chosen, "clustered")
+    order = F.struct("data_time", key)
+    days = p.groupBy(partition, "cluster", F.floor(F.col("data_time") / 86_400).alias("day")).agg(
+        F.count("*").alias("n"), F.sum("lat").alias("y"), F.sum("lon").alias("x"), F.min_by(F.struct("province", "city", "county"), order).alias("f"), F.min(order).alias("o")
+    )
+    whole = days.groupBy(partition, "cluster").agg(
+        F.sum("n").alias("point_count"), F.count("*").alias("visit_count"), (F.sum("y") / F.sum("n")).alias("center_lat"), (F.sum("x") / F.sum("n")).alias("center_lon"), F.min_by("f", "o").alias("_f")
+    )
+    centres = whole.select("cluster", "center_lat", "center_lon", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))).alias("part"))
+    dealt = p.select("cluster", "lat", "lon", F.pmod(F.xxhash64(key), F.lit(_PARTS)).cast("int").alias("part"))
+    reach = dealt.join(centres, ["cluster", "part"]).groupBy("cluster").agg(F.max(geo.haversine("center_lat", "center_lon", "lat", "lon")).alias("radius_m"))
+    hours = F.col("duration_s") / 3600 / F.col("visit_count")
+    n = F.col("point_count")
+    # fixed values: limits and names of the types, square kilometres of a square degree
+    named = F.when((n > 1000) & (hours > 6), "HOME").when((n > 500) & (hours > 4), "WORK").when(n > 200, "FREQUENT").otherwise("OCCASIONAL")
+    found = whole.join(reach, "cluster").join(hull_areas(p), "cluster").withColumn("duration_s", n * 60)
+    return found.select(
+        partition, "cluster", "center_lat", "center_lon", "point_count", "visit_count", "duration_s", (n / (eps_m / 1000) ** 2).alias("density_score"), named.alias("cluster_type"), "radius_m",
+        (F.col("hull_deg2") * 111 * 111).alias("convex_hull_area_km2"), "_f.province", "_f.city", "_f.county", F.least(F.lit(1.0), n / 50).alias("confidence"),
+    )

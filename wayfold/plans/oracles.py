@@ -105,7 +105,20 @@ def sql(needs: str, select: str, track: str = "user_id % 4", more: dict[str, str
         add(name)
     parts = [points_sql(track) if n == "points" else f"{n} AS ({CTES[n]})" for n in ordered]
     parts += [f"{n} AS ({s})" for n, s in (more or {}).items()]
-    return "WITH " + ",\n".join(parts) + "\n" + select
+    return ("WITH RECURSIVE " if "reach" in (more or {}) else "WITH ") + ",\n".join(parts) + "\n" + select
+
+
+def clusters(eps_m: int, least: int) -> dict[str, str]:
+    """Tables that end in `named`: clean points with the density cluster of each, or null."""
+    return {
+        "near": f"SELECT a.id AS a, b.id AS b FROM clean a JOIN clean b ON a.track_id = b.track_id AND {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= {eps_m}",
+        "core": f"SELECT a FROM near GROUP BY a HAVING count(*) >= {least}",
+        "link": "SELECT near.a, near.b FROM near JOIN core ON near.a = core.a JOIN core d ON near.b = d.a",
+        "reach": "SELECT a, min(b) AS l FROM link GROUP BY a UNION SELECT link.a, reach.l FROM reach JOIN link ON link.b = reach.a",
+        "label": "SELECT a, min(l) AS l FROM reach GROUP BY a",
+        "border": "SELECT near.a, min(l) AS l FROM near JOIN label ON near.b = label.a GROUP BY near.a",
+        "named": "SELECT clean.*, coalesce(label.l, border.l) AS cluster FROM clean LEFT JOIN label ON label.a = id LEFT JOIN border ON border.a = id",
+    }
 
 
 def fan(source: str, areas: str, buckets: str, time: str = "data_time") -> str:

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo, stats
 from wayfold.operators import behavior, foundation, presentation, spatial, statistics, temporal
-from wayfold.operators.density import density_clusters
+from wayfold.operators.density import cluster_figures, density_clusters
 from wayfold.plans import serving
-from wayfold.plans.oracles import bearing, entropy, fan, geohash, hav, sql, tile_id, ts
+from wayfold.plans.oracles import bearing, clusters, entropy, fan, geohash, hav, sql, tile_id, ts
 from wayfold.plans.windows import range_join
 from wayfold.sources.trace import table, trace_points
 
@@ -191,9 +191,39 @@ def speed_events(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES["stays_dbscan"] = lambda spark, folder: behavior.density_stays(user_points(spark, folder), max_gap=172_800).select("stay_id", "track_id", "start_time", "end_time", "point_count", r("radius_m", 3))
 QUERIES["density_clusters"] = lambda spark, folder: density_clusters(user_points(spark, folder), 500.0, 10).groupBy("track_id", "cluster").agg(F.count("*").alias("points"))
+ORACLES["density_clusters"] = sql("clean", "SELECT track_id, cluster, count(*) AS points FROM named GROUP BY track_id, cluster", "user_id", clusters(500, 10))
+ORACLES["stays_dbscan"] = sql("clean", f"""SELECT first(c.id ORDER BY c.data_time, c.id) AS stay_id, c.track_id, min(c.data_time) AS start_time, max(c.data_time) AS end_time, count(*) AS point_count,
+  round(max({hav("c.lat", "c.lon", "y", "x")}), 3) AS radius_m FROM cut c JOIN (SELECT track_id, cluster, part, avg(lat) AS y, avg(lon) AS x FROM cut GROUP BY track_id, cluster, part) m USING (track_id, cluster, part)
+  GROUP BY c.track_id, c.cluster, c.part HAVING max(c.data_time) - min(c.data_time) >= 1800 AND count(*) >= 2""", "user_id", {**clusters(200, 3), "cut": """SELECT *, sum(CASE WHEN g <= 172800 THEN 0 ELSE 1 END) OVER (PARTITION BY track_id, cluster ORDER BY data_time, id) AS part FROM
+  (SELECT *, data_time - lag(data_time) OVER (PARTITION BY track_id, cluster ORDER BY data_time, id) AS g FROM named WHERE cluster IS NOT NULL)"""})
 QUERIES["simplified_lines"] = lambda spark, folder: temporal.simplified_lines(points(spark, folder)).select("track_id", "chunk", "epsilon", "original_points", "kept_points", r("ratio"))
 
 
+_CROSS = "((q.lat - p.lat) * (o.lon - p.lon) - (q.lon - p.lon) * (o.lat - p.lat))"
+_ALONG = "((q.lat - p.lat) * (o.lat - p.lat) + (q.lon - p.lon) * (o.lon - p.lon))"
+_LENGTH = "(pow(q.lat - p.lat, 2) + pow(q.lon - p.lon, 2))"
+
+
+@query(sql("clean", f"""SELECT c.track_id, c.cluster, round(max(y), 9) AS center_lat, round(max(x), 9) AS center_lon, count(*) AS point_count, count(DISTINCT data_time // 86400) AS visit_count, count(*) * 60 AS duration_s, round(count(*) / 0.25E0, 6) AS density_score,
+  CASE WHEN count(*) > 1000 AND count(*) / 60.0E0 / count(DISTINCT data_time // 86400) > 6 THEN 'HOME' WHEN count(*) > 500 AND count(*) / 60.0E0 / count(DISTINCT data_time // 86400) > 4 THEN 'WORK' WHEN count(*) > 200 THEN 'FREQUENT' ELSE 'OCCASIONAL' END AS cluster_type,
+  round(max({hav("y", "x", "lat", "lon")}), 3) AS radius_m, round(coalesce(max(area), 0) * 111 * 111, 8) AS convex_hull_area_km2, first(province ORDER BY data_time, id) AS province, first(city ORDER BY data_time, id) AS city, first(county ORDER BY data_time, id) AS county, round(least(1.0E0, count(*) / 50), 6) AS confidence
+  FROM named c JOIN (SELECT cluster, avg(lat) AS y, avg(lon) AS x FROM named GROUP BY cluster) m ON m.cluster = c.cluster LEFT JOIN hull ON hull.cluster = c.cluster GROUP BY c.track_id, c.cluster""", "user_id", {**clusters(500, 10),
+  "place": "SELECT DISTINCT cluster, lat - 22 AS lat, lon - 113 AS lon FROM named WHERE cluster IS NOT NULL",
+  "edge": f"""SELECT p.cluster, p.lat * q.lon - q.lat * p.lon AS twice FROM place p JOIN place q ON p.cluster = q.cluster AND (p.lat, p.lon) <> (q.lat, q.lon) JOIN place o ON o.cluster = p.cluster
+  GROUP BY p.cluster, p.lat, p.lon, q.lat, q.lon HAVING bool_and({_CROSS} > 1E-10 OR (abs({_CROSS}) <= 1E-10 AND {_ALONG} >= -1E-10 AND {_ALONG} <= {_LENGTH} + 1E-10))""",
+  "hull": "SELECT cluster, sum(twice) / 2 AS area FROM edge GROUP BY cluster"}))
+def density_cluster_figures(spark: SparkSession, folder: str) -> DataFrame:
+    found = cluster_figures(density_clusters(user_points(spark, folder), 500.0, 10), 500.0)
+    kept = ["track_id", "cluster", "point_count", "visit_count", "duration_s", "cluster_type", "province", "city", "county"]
+    return found.select(*kept, r("center_lat", 9), r("center_lon", 9), r("density_score"), r("radius_m", 3), r("convex_hull_area_km2", 8), r("confidence"))
+
+
+@query(ORACLES["density_cluster_figures"] + " ORDER BY 11 DESC, 1, 2 LIMIT 100")
+def widest_density_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """The view's first page: clusters by the area that they cover."""
+    return serving.serve(density_cluster_figures(spark, folder), serving.VIEWS["density_clusters"])
+
+
 # ---- space
 
 

@@ -105,6 +105,7 @@ VIEWS = {
     "corridors": View({k: _AREA[k] for k in ("area_type", "area_key")}, {"": ("-transit_dominance", "area_type", "area_key")}, where="transit_dominance > 0.7 and utilization_efficiency < 1"),
     "deep_engagement": View({k: _AREA[k] for k in ("area_type", "area_key")}, {"": ("-area_depth", "area_type", "area_key")}, where="area_depth > 20"),
     "density": View({"density_level": ("density_level", "=")}, {"": ("-score", "grid_id")}),
+    "density_clusters": View({"type": ("cluster_type", "="), **_PLACES, "track": ("track_id", "=")}, {"": ("-convex_hull_area_km2", "track_id", "cluster"), "points": ("-point_count", "track_id", "cluster")}),
     "altitude": View({k: _AREA[k] for k in ("area_type", "area_key")}, {"span": ("-altitude_span", "area_type", "area_key"), "intensity": ("-vertical_intensity", "area_type", "area_key")}),
     "highest_spans": View({k: _AREA[k] for k in ("area_type", "area_key")}, {"": ("-altitude_span", "area_type", "area_key")}, where="altitude_span > 0"),
     "highest_intensity": View({k: _AREA[k] for k in ("area_type", "area_key")}, {"": ("-vertical_intensity", "area_type", "area_key")}, where="vertical_intensity > 0"),
