@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo
-from wayfold.plans.windows import ORDER, asof, islands, ordered, range_join
+from wayfold.plans.windows import ORDER, asof, islands, ordered, previous, range_join
 
 PLACES = ["province", "city", "county", "town"]
 #: Metres a second below which a fix belongs to a mode.
@@ -23,21 +23,20 @@ def transport_mode(speed: str = "speed") -> Column:
     return out.otherwise("PLANE")
 
 
-def with_runs(points: DataFrame) -> DataFrame:
+def with_runs(points: DataFrame, chunk_s: int | None = None) -> DataFrame:
     """Points with mode, run (number of the maximal run of one mode in its track) and hop (metres from the fix before in the run)."""
     df = points.withColumn("speed", F.coalesce("speed", F.lit(0.0))).withColumn("mode", transport_mode())
-    w = ordered()
-    df = df.withColumn("_b", F.lag(F.struct("mode", "lat", "lon")).over(w))
-    df = islands(df, F.col("mode") != F.col("_b.mode"), name="run")
+    df = previous(df, ["mode", "lat", "lon"], "_b", chunk_s)
+    df = islands(df, F.col("mode") != F.col("_b.mode"), name="run", chunk_s=chunk_s)
     same = F.col("mode") == F.col("_b.mode")
     return df.withColumn("hop", F.when(same, geo.haversine("_b.lat", "_b.lon", "lat", "lon")).otherwise(0.0)).drop("_b")
 
 
-def transport_segments(points: DataFrame, min_s: int = 10) -> DataFrame:
+def transport_segments(points: DataFrame, min_s: int = 10, chunk_s: int | None = None) -> DataFrame:
     """Maximal runs of one mode of at least min_s seconds. segment_id is the id of the first fix; places are its places."""
     order = F.struct("data_time", "id")
     first, last = F.min_by(F.struct("id", "lat", "lon", *PLACES), order), F.max_by(F.struct("id", "lat", "lon"), order)
-    runs = with_runs(points).groupBy("track_id", "run", "mode").agg(
+    runs = with_runs(points, chunk_s).groupBy("track_id", "run", "mode").agg(
         F.min("data_time").alias("start_time"),
         F.max("data_time").alias("end_time"),
         F.count("*").alias("point_count"),
@@ -70,10 +69,10 @@ def _stay(df: DataFrame, group: list[str], kind: Column, min_s: int) -> DataFram
     )
 
 
-def admin_stays(points: DataFrame, level: str = "town", min_s: int = 7200) -> DataFrame:
+def admin_stays(points: DataFrame, level: str = "town", min_s: int = 7200, chunk_s: int | None = None) -> DataFrame:
     """Maximal runs of fixes in one region of the given level, at least min_s long and of two fixes or more."""
-    named = points.where(F.length(level) > 0)
-    runs = islands(named, F.col(level) != F.lag(level).over(ordered()), name="run")
+    named = previous(points.where(F.length(level) > 0), [level], "_b", chunk_s)
+    runs = islands(named, F.col(level) != F.col(f"_b.{level}"), name="run", chunk_s=chunk_s).drop("_b")
     return _stay(runs, ["track_id", "run"], F.lit(f"ADMIN_{level.upper()}"), min_s)
 
 

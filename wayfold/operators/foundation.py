@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo
-from wayfold.plans.windows import ordered
+from wayfold.plans.windows import ordered, previous
 
 
 def _reasons(rules: dict[str, Column]) -> Column:
@@ -18,10 +18,11 @@ def _reasons(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(rule, name) for name, rule in rules.items())))
 
 
-def flag_outliers(points: DataFrame, max_speed: float = 277.78, max_accuracy: float = 100.0, warn_accuracy: float = 50.0, jump_m: float = 1000.0, jump_s: int = 10) -> DataFrame:
-    """Adds outlier, reasons and qa_status. A jump is seen from the raw fix before, itself an outlier or not; nulls count as 0."""
-    before = F.lag(F.struct("data_time", "lat", "lon")).over(ordered())
-    df = points.withColumn("_b", before)
+def flag_outliers(points: DataFrame, max_speed: float = 277.78, max_accuracy: float = 100.0, warn_accuracy: float = 50.0, jump_m: float = 1000.0, jump_s: int = 10, chunk_s: int | None = None) -> DataFrame:
+    """Adds outlier, reasons and qa_status. A jump is seen from the raw fix before, itself an outlier or not; nulls count as 0.
+
+    chunk_s, here and in other operators: cut long tracks into stretches of so many seconds, see windows.previous."""
+    df = previous(points, ["data_time", "lat", "lon"], "_b", chunk_s)
     wait = F.col("data_time") - F.col("_b.data_time")
     speed, accuracy = F.coalesce("speed", F.lit(0.0)), F.coalesce("accuracy", F.lit(0.0))
     jump = (wait > 0) & (wait <= jump_s) & (geo.haversine("_b.lat", "_b.lon", "lat", "lon") >= jump_m)
@@ -56,9 +57,9 @@ def _judged(df: DataFrame, fail: Column, warn: Column) -> DataFrame:
     return df.withColumn("outlier", fail).withColumn("qa_status", F.when(fail, "FAIL").when(warn, "WARNING").otherwise("PASS"))
 
 
-def clean(points: DataFrame) -> DataFrame:
+def clean(points: DataFrame, chunk_s: int | None = None) -> DataFrame:
     """The points that are no outliers, without the marks."""
-    return flag_outliers(points).where(~F.col("outlier")).drop("outlier", "reasons", "qa_status")
+    return flag_outliers(points, chunk_s=chunk_s).where(~F.col("outlier")).drop("outlier", "reasons", "qa_status")
 
 
 def fill_gaps(points: DataFrame, gap: int = 300, max_gap: int = 1800, step: int = 60, most: int = 30) -> DataFrame:
@@ -101,9 +102,21 @@ def reverse_geocode(points: DataFrame, areas: DataFrame, cell: float = 0.25) ->
         F.struct(*names).alias("_area"), "ring", F.explode(_cells(F.array_min(lats), F.array_max(lats), cell)).alias("_y"), F.array_min(lons).alias("_w"), F.array_max(lons).alias("_e")
     )
     spread = spread.select("_area", "ring", "_y", F.explode(_cells(F.col("_w"), F.col("_e"), cell)).alias("_x"))
-    placed = points.withColumn("_y", F.when(missing, F.floor(F.col("lat") / cell))).withColumn("_x", F.floor(F.col("lon") / cell))
-    inside = (placed["_y"] == spread["_y"]) & (placed["_x"] == spread["_x"]) & geo.point_in_polygon(placed["lat"], placed["lon"], spread["ring"])
-    found = placed.join(spread, inside).groupBy(placed["id"]).agg(F.min("_area").alias("_area"))
-    out = points.join(found, "id", "left")
+    spread = spread.groupBy("_y", "_x").agg(F.collect_list(F.struct("_area", "ring")).alias("_near"))
+    placed = points.withColumn("_py", F.when(missing, F.floor(F.col("lat") / cell))).withColumn("_px", F.floor(F.col("lon") / cell))
+    met = placed.join(spread, (F.col("_py") == F.col("_y")) & (F.col("_px") == F.col("_x")), "left")
+    inside = F.filter("_near", lambda a: geo.point_in_polygon(F.col("lat"), F.col("lon"), a["ring"]))
+    out = met.withColumn("_area", F.array_min(F.transform(inside, lambda a: a["_area"])))
     rest = [c for c in points.columns if c not in names]
     return out.select(*rest, *(F.coalesce(F.when(F.length(n) > 0, F.col(n)), F.col(f"_area.{n}")).alias(n) for n in names))
+
+
+def reverse_geocode_by_cell(points: DataFrame, areas: DataFrame, precision: int = 7) -> DataFrame:
+    """reverse_geocode, asked once for each geohash cell, at its middle: all points of a cell get the same places."""
+    names = ["province", "city", "county", "town"]
+    held = points.withColumn("_cell", F.when(F.coalesce(F.length("province"), F.lit(0)) == 0, geo.geohash("lat", "lon", precision)))
+    cells = held.where("_cell is not null").select("_cell").distinct().withColumn("_m", geo.geohash_decode("_cell"))
+    bare = cells.select("_cell", F.col("_m.lat").alias("lat"), F.col("_m.lon").alias("lon"), *(F.lit(None).cast("string").alias(n) for n in names))
+    found = reverse_geocode(bare, areas).select("_cell", F.struct(*names).alias("_area"))
+    rest = [c for c in points.columns if c not in names]
+    return held.join(found, "_cell", "left").select(*rest, *(F.coalesce(F.when(F.length(n) > 0, F.col(n)), F.col(f"_area.{n}")).alias(n) for n in names))

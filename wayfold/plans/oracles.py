@@ -105,7 +105,7 @@ def sql(needs: str, select: str, track: str = "user_id % 4", more: dict[str, str
         add(name)
     parts = [points_sql(track) if n == "points" else f"{n} AS ({CTES[n]})" for n in ordered]
     parts += [f"{n} AS ({s})" for n, s in (more or {}).items()]
-    return ("WITH RECURSIVE " if "reach" in (more or {}) else "WITH ") + ",\n".join(parts) + "\n" + select
+    return ("WITH RECURSIVE " if {"reach", "walk"} & set(more or {}) else "WITH ") + ",\n".join(parts) + "\n" + select
 
 
 def clusters(eps_m: int, least: int) -> dict[str, str]:

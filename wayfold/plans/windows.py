@@ -14,10 +14,42 @@ def ordered(partition: list[str] | None = None, order: list[str] | None = None):
     return Window.partitionBy(*(TRACK if partition is None else partition)).orderBy(*(ORDER if order is None else order))
 
 
-def islands(df: DataFrame, begins: Column, partition: list[str] | None = None, order: list[str] | None = None, name: str = "island") -> DataFrame:
-    """Number consecutive rows; an island begins where `begins` is true or null. Uses the partitioning of the order."""
-    starts = F.when(F.coalesce(begins, F.lit(True)), 1).otherwise(0)
-    return df.withColumn("_begin", starts).withColumn(name, F.sum("_begin").over(ordered(partition, order))).drop("_begin")
+def _by_chunk(df: DataFrame, chunk_s: int, summary: Column, earlier: Column) -> DataFrame:
+    """df with _chunk and _before: `earlier`, a window expression on _own (each chunk's summary) over the chunks of a track."""
+    cut = df.withColumn("_chunk", F.floor(F.col("data_time") / chunk_s))
+    whole = cut.groupBy(*TRACK, "_chunk").agg(summary.alias("_own")).select(*TRACK, "_chunk", earlier.alias("_before"))
+    same = F.lit(True)
+    for c in [*TRACK, "_chunk"]:
+        same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    return cut.alias("x").join(whole.alias("y"), same).select("x.*", "y._before")
+
+
+def previous(df: DataFrame, values: list[str], name: str, chunk_s: int | None = None) -> DataFrame:
+    """df with a struct `name` of values of the row before in its track; null for a track's first row.
+
+    chunk_s: windows run over (track, stretch of chunk_s seconds), so that a long track makes many tasks; a table of one
+    row for each stretch hands its last row to the next. The rows are the same.
+    """
+    carried = F.struct(*values)
+    if chunk_s is None:
+        return df.withColumn(name, F.lag(carried).over(ordered()))
+    over = Window.partitionBy(*TRACK).orderBy("_chunk")
+    cut = _by_chunk(df, chunk_s, F.max_by(carried, F.struct(*ORDER)), F.lag("_own").over(over))
+    return cut.withColumn(name, F.coalesce(F.lag(carried).over(ordered([*TRACK, "_chunk"])), "_before")).drop("_chunk", "_before")
+
+
+def islands(df: DataFrame, begins: Column, partition: list[str] | None = None, order: list[str] | None = None, name: str = "island", chunk_s: int | None = None) -> DataFrame:
+    """Number consecutive rows; an island begins where `begins` is true or null. Uses the partitioning of the order.
+
+    chunk_s: as for `previous`, for tracks in their usual order; stretches add the islands begun before them. `begins`
+    must then hold no window of its own.
+    """
+    marked = df.withColumn("_begin", F.when(F.coalesce(begins, F.lit(True)), 1).otherwise(0))
+    if chunk_s is None:
+        return marked.withColumn(name, F.sum("_begin").over(ordered(partition, order))).drop("_begin")
+    over = Window.partitionBy(*TRACK).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    cut = _by_chunk(marked, chunk_s, F.sum("_begin"), F.coalesce(F.sum("_own").over(over), F.lit(0)))
+    return cut.withColumn(name, F.sum("_begin").over(ordered([*TRACK, "_chunk"])) + F.col("_before")).drop("_begin", "_chunk", "_before")
 
 
 def range_join(points: DataFrame, intervals: DataFrame, time: str, start: str, end: str, on: list[str], width: int, how: str = "inner") -> DataFrame:
