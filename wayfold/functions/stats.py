@@ -7,6 +7,7 @@ where a number is promised, as the docstrings say; nulls are skipped.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -320,3 +321,20 @@ def entropy_of_values(df: DataFrame, x: str, n: int, partition: list[str]) -> Da
 def circular_mean_radians(angle, weight=1.0) -> Column:
     a, w = col(angle), col(weight)
     return F.pmod(F.atan2(F.sum(w * F.sin(a)), F.sum(w * F.cos(a))) + 2 * math.pi, F.lit(2 * math.pi))
+
+
+def percentile_interval(df: DataFrame, x: str, share: float, confidence: float, partition: list[str]) -> DataFrame:
+    """A confidence interval (lower, upper) of a quantile by the binomial ranks around its place, both values of x.
+
+    No samples are drawn: equal values are counted once and ranks follow from the counts. Groups of fewer than two values
+    give 0 and 0; nulls do not count.
+    """
+    z = NormalDist().inv_cdf((1 + confidence) / 2)
+    counts = df.where(F.col(x).isNotNull()).groupBy(*partition, F.col(x).alias("_x")).agg(F.count("*").alias("_c"))
+    w = _whole(partition)
+    ranked = counts.withColumn("_upto", F.sum("_c").over(w.orderBy("_x"))).withColumn("_n", F.sum("_c").over(w))
+    n, spread = F.col("_n"), z * F.sqrt(F.col("_n") * share * (1 - share))
+    low, high = F.greatest(F.lit(1), F.floor(n * share - spread)), F.least(n, F.ceil(n * share + spread) + 1)
+    ends = ranked.groupBy(*partition).agg(F.min(F.when(F.col("_upto") >= low, F.col("_x"))).alias("lower"), F.min(F.when(F.col("_upto") >= high, F.col("_x"))).alias("upper"), F.max("_n").alias("_n"))
+    few = F.col("_n") < 2
+    return ends.select(*partition, F.when(few, 0.0).otherwise(F.col("lower")).alias("lower"), F.when(few, 0.0).otherwise(F.col("upper")).alias("upper"))
