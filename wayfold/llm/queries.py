@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, decontaminate, jaccard, langid, lm, media, packing, tokenbin, toxicity, warc
+from wayfold.llm import chat, decontaminate, jaccard, langid, lm, media, merkle, packing, quality, spelling, tokenbin, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -126,6 +126,31 @@ def op10_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("key", "doc_id")
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents, with planted misspellings, their near words and forms."""
+    return spelling.variants(table(spark, folder, "documents"), divisor=97)
+
+
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of all documents by language, with proofs, and what a third of tampered rows fold to."""
+    docs = table(spark, folder, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = [F.translate("text", decontaminate.UPPER, decontaminate.LOWER) if f == "text" else F.col(f) for f in fields]
+    forged = F.when(_remainder("doc_id", 3) == 0, merkle.leaf(*tampered))
+    rows = docs.select("doc_id", "lang", merkle.leaf(*(F.col(f) for f in fields)).alias("leaf"), forged.alias("forged"))
+    found = merkle.manifest(rows, "lang", "doc_id")
+    folded = merkle.fold(F.coalesce("row.forged", "leaf"), F.col("path"))
+    whole = found.select(F.col("row.doc_id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return whole.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of all documents by rules whose thresholds are certified per language."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    judged = quality.judge(docs, table(spark, folder, "labels"))
+    return judged.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_chat": op2_chat,
@@ -137,6 +162,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_token_ids": op10_token_ids,
+    "op11_spelling": op11_spelling,
+    "op12_merkle": op12_merkle,
+    "op13_quality": op13_quality,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -151,7 +179,67 @@ def _escaped(text: str) -> str:
     return rf"regexp_replace(replace({text}, '\', '\\'), '([<\[])(\||/?s>|/?INST\]|</?SYS>>)', '\1\\\2', 'g')"
 
 
+#: The table of the reflected CRC-32, and the crc32 of a list of bytes by it.
+_CRC_TABLE = "crc AS MATERIALIZED (SELECT list(list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384), i) ORDER BY i) AS t FROM range(256) r(i))"
+
+
+def _crc32(data: str) -> str:
+    return f"xor(list_reduce({data}, lambda a, b: xor(a >> 8, t[1 + xor(a & 255, b)]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _bytes(text: str) -> str:
+    """UTF-8 of a text of code points below 256."""
+    return f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [194 + unicode(c) // 192, unicode(c) - unicode(c) // 192 * 64] END))"
+
+
+def _leaf(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _tree(nodes: str, levels: str) -> str:
+    """Levels of the trees of nodes (g, k, h), and each node's siblings before and after it."""
+    return f"""
+{levels}(level, g, k, h) AS (SELECT 0, g, k, h FROM {nodes} UNION ALL
+  SELECT any_value(level) + 1, g, k // 8, sha256(string_agg(h, '' ORDER BY k)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {levels}) WHERE c > 1 GROUP BY g, k // 8),
+{levels}_top AS (SELECT g, max(level) AS top, arg_max(h, level) AS h FROM {levels} GROUP BY g),
+{levels}_near AS (SELECT a.g, a.level, a.k, coalesce(string_agg(b.h, '' ORDER BY b.k) FILTER (b.k < a.k), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.k) FILTER (b.k > a.k), '') AS r
+  FROM {levels} a JOIN {levels} b ON a.g = b.g AND a.level = b.level AND a.k // 8 = b.k // 8 JOIN {levels}_top p ON p.g = a.g AND a.level < p.top GROUP BY ALL)"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_spelling": f"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all({_LOWER}, '[a-zÀ-ÿ]+')) AS w FROM documents),
+c AS (SELECT d, w, count(*) AS n FROM r GROUP BY d, w),
+k AS (SELECT w, n, {_crc32(_bytes("d || ':' || w"))} AS h FROM c, crc),
+v AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, n FROM k),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+x AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+del AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM x),
+pairs AS (SELECT a.word, b.word AS other, b.n AS m FROM del a JOIN del b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT a.word, b.word, b.n FROM del a JOIN words b ON a.rest = b.word
+          UNION SELECT b.word, a.word, a.n FROM del a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m, min(other) FILTER (top) AS other
+         FROM (SELECT *, m = max(m) OVER (PARTITION BY word) AS top FROM pairs) GROUP BY word),
+f AS (SELECT word, n, n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.form, walk.root, coalesce(f.n_near, 0) AS n_near, f.form_n
+FROM f JOIN walk ON walk.word = f.word JOIN f e ON e.word = walk.root AND e.form IS NULL""",
+    "op12_merkle": f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS id, doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, {_leaf('text')} AS leaf,
+      CASE WHEN {_crc32(_bytes('CAST(doc_id AS VARCHAR)'))} % 3 = 0 THEN {_leaf(_LOWER.replace("coalesce(text, '')", 'text'))} END AS forged FROM documents, crc),
+l AS MATERIALIZED (SELECT *, leaf AS h, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k FROM d),
+{_tree("l", "low")},
+s AS (SELECT 0 AS g, g AS k, h FROM low_top),
+{_tree("s", "high")},
+walk(id, g, k, level, h, sides) AS (SELECT id, g, k, 0, coalesce(forged, leaf), '' FROM l UNION ALL
+  SELECT id, w.g, w.k // 8, w.level + 1, sha256(n.l || w.h || n.r), sides || n.l || n.r FROM walk w JOIN low_near n ON n.g = w.g AND n.level = w.level AND n.k = w.k),
+high_walk(id, k, level, h, sides) AS (SELECT id, w.g, 0, w.h, sides FROM walk w JOIN low_top t ON t.g = w.g AND t.top = w.level UNION ALL
+  SELECT id, w.k // 8, w.level + 1, sha256(n.l || w.h || n.r), sides || n.l || n.r FROM high_walk w JOIN high_near n ON n.level = w.level AND n.k = w.k)
+SELECT doc_id, leaf, t.h AS subroot, o.h AS root, sha256(sides) AS proof_sha256, w.h AS folded_root, w.h = o.h AS verified
+FROM l JOIN low_top t ON t.g = l.g JOIN high_top o ON true JOIN high_walk w ON w.id = l.id AND w.level = o.top""",
     "op2_chat": f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(i)),
