@@ -121,6 +121,7 @@ def manifest(rows: DataFrame, group: str, key: str, leaf: str = "leaf") -> DataF
     """(row, leaf, subroot, root, path) of all rows; path is an array of (left, right), the siblings on each side of the
     node as text, from the leaf's level to the root's."""
     named = rows.select(F.col(f"`{group}`").alias("grp"), F.col(f"`{key}`").alias("key"), F.col(f"`{leaf}`").alias("digest"), F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"))
+    named, _ = materialise(named, "digests")  # the ranges are sampled before rows are dealt: texts are read and hashed once
     rounds = rise(_placed(named))
     subroots = tops(rounds).select(F.lit(0).alias("grp"), F.col("grp").alias("key"), F.col("top").alias("digest"), F.struct(F.col("grp").alias("of")).alias("row"))
     high = rise(_placed(subroots))
