@@ -8,16 +8,15 @@ still compare their distinct places; give a coarser grid of places first where a
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo
+from wayfold.plans.storage import stored
 
 #: Cells to each side that can hold neighbours: eps is at most 1.5 cell diagonals.
 _REACH = 2
@@ -27,22 +26,6 @@ _CORNERS = 100_000
 _PARTS = 16
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the folder that the cluster shares (spark.checkpoint.dir) and read it again. Where that is unset, a local
-    session (as in tests) gets a folder of its own; on a cluster it is an error, since executors would each write to their own disk."""
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or spark.conf.get("wayfold.own.tables", None)
-    if not root:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="wayfold-")
-        spark.conf.set("wayfold.own.tables", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def spread_labels(edges: DataFrame, node: str = "a", other: str = "b") -> DataFrame:
     """(node, label): the least node of each connected component of undirected edges; rounds are written as tables."""
     both = stored(edges.select(F.col(node).alias("u"), F.col(other).alias("v")).union(edges.select(other, node)).distinct(), "edges")

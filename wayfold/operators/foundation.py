@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo
+from wayfold.operators.area_index import with_area
 from wayfold.plans.windows import ordered, previous
 
 
@@ -84,29 +85,16 @@ def fill_gaps(points: DataFrame, gap: int = 300, max_gap: int = 1800, step: int
     return df.select("track_id", F.col("id").alias("after_id"), "k", time, between("lat"), between("lon"), between("altitude", 0.0), between("speed", 0.0), F.lit("interpolated").alias("qa_status"))
 
 
-def _cells(low: Column, high: Column, size: float) -> Column:
-    return F.sequence(F.floor(low / size), F.floor(high / size))
+def reverse_geocode(points: DataFrame, areas: DataFrame, most_edges: int = 32) -> DataFrame:
+    """Fill places of points without a province from polygons: areas has province, city, county, town and rings
+    (array<array<struct<lat, lon>>>; a point is inside by the even-odd rule over all of them), or one ring. A point in
+    several polygons takes the least by name; in none, it keeps null places.
 
-
-def reverse_geocode(points: DataFrame, areas: DataFrame, cell: float = 0.25) -> DataFrame:
-    """Fill places of points without a province from polygons: areas has province, city, county, town and ring
-    (array<struct<lat, lon>>). A point in several polygons takes the least by name; in none, it keeps null places.
-
-    Polygons are copied to the grid cells of their bounding boxes and met by an equi-join, so no point is held against
-    all polygons; polygons need not fit in memory.
+    Polygons are cut to the cells of an index, finer where many edges lie (operators/area_index.py), and met by
+    equi-joins: no point is held against a whole polygon, and polygons need not fit in memory.
     """
     names = ["province", "city", "county", "town"]
-    missing = F.coalesce(F.length("province"), F.lit(0)) == 0
-    lats, lons = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lon"])
-    spread = areas.where(F.size("ring") >= 3).select(
-        F.struct(*names).alias("_area"), "ring", F.explode(_cells(F.array_min(lats), F.array_max(lats), cell)).alias("_y"), F.array_min(lons).alias("_w"), F.array_max(lons).alias("_e")
-    )
-    spread = spread.select("_area", "ring", "_y", F.explode(_cells(F.col("_w"), F.col("_e"), cell)).alias("_x"))
-    spread = spread.groupBy("_y", "_x").agg(F.collect_list(F.struct("_area", "ring")).alias("_near"))
-    placed = points.withColumn("_py", F.when(missing, F.floor(F.col("lat") / cell))).withColumn("_px", F.floor(F.col("lon") / cell))
-    met = placed.join(spread, (F.col("_py") == F.col("_y")) & (F.col("_px") == F.col("_x")), "left")
-    inside = F.filter("_near", lambda a: geo.point_in_polygon(F.col("lat"), F.col("lon"), a["ring"]))
-    out = met.withColumn("_area", F.array_min(F.transform(inside, lambda a: a["_area"])))
+    out = with_area(points, areas, names, F.coalesce(F.length("province"), F.lit(0)) == 0, most_edges)
     rest = [c for c in points.columns if c not in names]
     return out.select(*rest, *(F.coalesce(F.when(F.length(n) > 0, F.col(n)), F.col(f"_area.{n}")).alias(n) for n in names))
 

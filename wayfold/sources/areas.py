@@ -10,10 +10,11 @@ _POLYGON = "array<array<array<double>>>"
 
 
 def areas(spark: SparkSession, path: str, names: dict[str, str] | None = None, lines: bool = False) -> DataFrame:
-    """province, city, county, town and ring (array<struct<lat, lon>>) of each polygon; a MultiPolygon gives a row for each part.
+    """province, city, county, town and rings (array<array<struct<lat, lon>>>, holes included) of each polygon; a MultiPolygon
+    gives a row for each part.
 
-    names: the property behind each place (by default of the same name); absent ones are null. Only outer rings are
-    read. Other geometries and broken features are left out. lines=True reads a feature a line, which large files need:
+    names: the property behind each place (by default of the same name); absent ones are null. Other geometries and
+    broken features are left out. lines=True reads a feature a line, which large files need:
     a FeatureCollection is one value.
     """
     text = spark.read.text(path, wholetext=not lines)
@@ -28,5 +29,5 @@ def areas(spark: SparkSession, path: str, names: dict[str, str] | None = None, l
         return F.col("f.properties")[(names or {}).get(name, name)].alias(name)
 
     rows = features.select(*(place(n) for n in ("province", "city", "county", "town")), F.explode(parts).alias("rings"))
-    ring = F.transform(F.get("rings", F.lit(0)), lambda p: F.struct(p[1].alias("lat"), p[0].alias("lon")))
-    return rows.select("province", "city", "county", "town", ring.alias("ring")).where("ring is not null")
+    rings = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.struct(p[1].alias("lat"), p[0].alias("lon"))))
+    return rows.select("province", "city", "county", "town", rings.alias("rings")).where("size(rings) > 0")
