@@ -30,9 +30,23 @@ def grid_cells(points: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame
 
     Points are counted by day and finest tile first; coarser tiles are that table's rows again, not the points'.
     """
+    return cells_of_days(tile_days(points, max(levels)), levels)
+
+
+def tile(zoom: int) -> tuple[Column, Column]:
+    return geo.tile_x("lon", zoom), geo.tile_y("lat", zoom)
+
+
+def tile_days(points: DataFrame, zoom: int) -> DataFrame:
+    """Fixes, first and last time by tile (x, y) and day."""
+    x, y = tile(zoom)
+    return points.groupBy(x.alias("x"), y.alias("y"), _day().alias("day")).agg(F.count("*").alias("n"), F.min("data_time").alias("s"), F.max("data_time").alias("e"))
+
+
+def cells_of_days(counted: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """grid_cells from the tile_days of the finest level."""
     finest = max(levels)
-    base = points.groupBy(geo.tile_x("lon", finest).alias("x"), geo.tile_y("lat", finest).alias("y"), _day().alias("day")).agg(F.count("*").alias("n"), F.min("data_time").alias("s"), F.max("data_time").alias("e"))
-    wide = base.withColumn("level", F.explode(F.array(*map(F.lit, sorted(levels)))))
+    wide = counted.withColumn("level", F.explode(F.array(*map(F.lit, sorted(levels)))))
     wide = wide.withColumn("x", F.expr(f"shiftright(x, {finest} - level)")).withColumn("y", F.expr(f"shiftright(y, {finest} - level)"))
     cells = wide.groupBy("level", "x", "y").agg(F.sum("n").alias("point_count"), F.count_distinct("day").alias("days"), F.min("s").alias("first_visit"), F.max("e").alias("last_visit"))
     size = F.pow(F.lit(2.0), F.col("level"))
