@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.geo import col
+from wayfold.plans.ranking import with_ranks
 
 
 def zero(x: Column) -> Column:
@@ -183,9 +184,8 @@ def mae(actual, predicted) -> Column:
 
 
 def with_average_rank(df: DataFrame, x: str, partition: list[str], name: str) -> DataFrame:
-    w = _whole(partition)
-    ties = Window.partitionBy(*(F.col(c) for c in [*partition, x]))
-    return df.withColumn(name, F.rank().over(w.orderBy(x)) + (F.count("*").over(ties) - 1) / 2)
+    """The mean rank of equal values, from 1; large groups spread over tasks (plans/ranking.py)."""
+    return with_ranks(df, x, partition).withColumn(name, F.col("_below") + (F.col("_ties") + 1) / 2).drop("_below", "_ties", "_total")
 
 
 def spearman(df: DataFrame, x: str, y: str, partition: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo, stats
 from wayfold.operators.behavior import with_runs
+from wayfold.plans.ranking import percentiles, with_ranks
+from wayfold.plans.storage import stored
 from wayfold.plans.windows import asof
 
 #: Icons of transport modes, others get a circle.
@@ -18,16 +20,11 @@ def rendering_metadata(points: DataFrame, segments: DataFrame, zoom: int = 15) -
     """Per segment and level of detail (1 to 3): its start (id, data_time, lat, lon) and mode, speed bucket, how travelled its
     commonest cell is, line weight and alpha."""
     grid = geo.tile_id("lat", "lon", zoom)
-    p = with_runs(points).withColumn("grid", grid)
-    limits = p.where("speed > 0").agg(F.percentile("speed", F.array(*(F.lit(k / 5) for k in range(6)))).alias("p"))
+    p = stored(with_runs(points).select("track_id", "run", "speed", grid.alias("grid")), "runs")
+    limits = percentiles(p.where("speed > 0"), F.col("speed"), [k / 5 for k in range(6)])
     limits = limits.select(F.coalesce("p", F.array(*map(F.lit, DEFAULT_SPEEDS))).alias("p"))
-    cells = p.groupBy("grid").agg(F.count("*").alias("n"))
-    # the share of cells with fewer points, from the few distinct counts
-    counts = cells.groupBy("n").agg(F.count("*").alias("k"))
-    order = Window.orderBy("n")  # distinct counts: at most about the root of twice the points
-    below = F.coalesce(F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shares = counts.select("n", (below / F.sum("k").over(Window.partitionBy())).alias("overlap_rank"))
-    ranks = cells.join(shares, "n").select("grid", "overlap_rank")
+    # the share of cells with fewer points
+    ranks = with_ranks(p.groupBy("grid").agg(F.count("*").alias("n")), "n", []).select("grid", (F.col("_below") / F.col("_total")).alias("overlap_rank"))
     by_cell = p.where("speed > 0").groupBy("track_id", "run", "grid").agg(F.count("*").alias("c"), F.sum("speed").alias("s"))
     runs = by_cell.groupBy("track_id", "run").agg((F.sum("s") / F.sum("c")).alias("v"), F.min_by("grid", F.struct(-F.col("c"), F.col("grid"))).alias("grid"))
     begin = [F.col("segment_id").alias("id"), F.col("start_time").alias("data_time"), F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon"), "mode"]

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, stats
+from wayfold.plans.ranking import Place, at_places, percentiles
+from wayfold.plans.storage import stored
 from wayfold.plans.windows import fan_out, islands, ordered
 
 LEVELS = (8, 10, 12, 15)
@@ -67,21 +69,21 @@ def geohash_cells(points: DataFrame, precisions: tuple[int, ...] = (4, 5, 6, 7,
     return wide.groupBy("level", "geohash").agg(F.sum("n").alias("point_count"), F.count_distinct("day").alias("visit_count"))
 
 
+def _descending(tenths: int) -> Place:
+    return lambda n: n - 1 - F.least(n - 1, F.floor(n * tenths / 10))
+
+
 def density_levels(cells: DataFrame, level: int | None = None) -> DataFrame:
     """Cells with a score from duration, days and count, and a level by the score's order statistics.
 
-    Thresholds are the scores at the places n/10, 3n/10, 7n/10 and 9n/10 of the descending order, by an exact percentile
-    at whole places: it merges counts of equal scores, so cells are never sorted in one task.
+    Thresholds are the scores at the places n/10, 3n/10, 7n/10 and 9n/10 of the descending order, found over ranges of
+    scores, so cells are never sorted in one task.
     """
     own = cells if level is None else cells.where(F.col("level") == level)
     score = 0.5 * F.log1p(F.col("duration_s") / 3600) + 0.3 * F.log1p(F.col("days").cast("double")) + 0.2 * F.log1p(F.col("visit_count").cast("double"))
-    scored = own.withColumn("score", score)
-    n = own.count()
-    if not n:
-        return scored.withColumn("density_level", F.lit("rare"))
-    # place k of the descending order is place n - 1 - k of the ascending one; between whole places nothing is interpolated
-    shares = [(n - 1 - min(n - 1, n * k // 10)) / (n - 1) if n > 1 else 0.0 for k in (1, 3, 7, 9)]
-    cut = scored.agg(F.percentile("score", F.array(*map(F.lit, shares))).alias("p"))
+    scored = stored(own.withColumn("score", score), "scored")
+    # place k of the descending order is place n - 1 - k of the ascending one
+    cut = at_places(scored, F.col("score"), [_descending(k) for k in (1, 3, 7, 9)])
     placed = scored.crossJoin(F.broadcast(cut))  # one row
     s, p = F.col("score") + 1e-12, F.col("p")
     name = F.when(s >= p[0], "core").when(s >= p[1], "secondary").when(s >= p[2], "active").when(s >= p[3], "peripheral").otherwise("rare")
@@ -90,7 +92,7 @@ def density_levels(cells: DataFrame, level: int | None = None) -> DataFrame:
 
 def speed_space(segments: DataFrame, bin_kmh: int = 10, fast: float = 0.9, slow: float = 0.25) -> DataFrame:
     """Distance-weighted speed and its spread and entropy by area and time bucket; fast and slow areas against all segments."""
-    moving = segments.where(F.col("distance_m") > 0)
+    moving = stored(segments.where(F.col("distance_m") > 0).select("start_time", "distance_m", "avg_speed_kmh", "province", "city", "county"), "moving")
     wide = fan_out(moving, _areas("province", "city", "county"), _buckets("start_time", "all", "year", "month"))
     keys = ["area_type", "area_key", "bucket_type", "bucket_key"]
     v, d = F.col("avg_speed_kmh"), F.col("distance_m")
@@ -98,7 +100,7 @@ def speed_space(segments: DataFrame, bin_kmh: int = 10, fast: float = 0.9, slow:
     binned = wide.groupBy(*keys, F.floor(v / bin_kmh).alias("bin")).agg(F.sum(d).alias("d"), F.sum(v * d).alias("vd"), F.sum(v * v * d).alias("vvd"), F.count("*").alias("n"))
     out = binned.groupBy(*keys).agg(F.sum("d").alias("total_distance"), F.sum("n").alias("segment_count"), (F.sum("vd") / F.sum("d")).alias("avg_speed"), F.sum("vvd").alias("_vvd"), stats.entropy("d").alias("speed_entropy"))
     out = out.withColumn("speed_variance", F.greatest(F.col("_vvd") / F.col("total_distance") - F.col("avg_speed") * F.col("avg_speed"), F.lit(0.0))).drop("_vvd")
-    limits = moving.agg(F.percentile("avg_speed_kmh", F.array(F.lit(fast), F.lit(slow))).alias("p"))
+    limits = percentiles(moving, F.col("avg_speed_kmh"), [fast, slow])
     both = out.crossJoin(F.broadcast(limits))  # one row
     return both.withColumn("is_high_speed", F.col("avg_speed") > F.col("p")[0]).withColumn("is_slow_life", F.col("avg_speed") < F.col("p")[1]).drop("p")
 
@@ -201,14 +203,16 @@ def altitude_events(points: DataFrame, plateau_m: float = 10.0, min_m: float = 5
 
 def altitude_stats(points: DataFrame) -> DataFrame:
     """Altitude spread, ascent and descent over all points and by province and city, from each area's own fixes in order."""
-    high = points.where(F.col("altitude") > 0)
+    high = stored(points.where(F.col("altitude") > 0).select("track_id", "id", "data_time", "altitude", "distance", "province", "city"), "high")
     wide = fan_out(high, {"ALL": F.lit("ALL"), **_areas("province", "city")}, {"all": F.lit("")})
     w = Window.partitionBy("track_id", "area_type", "area_key").orderBy("data_time", "id")
     wide = wide.withColumn("_d", F.col("altitude") - F.lag("altitude").over(w))
     out = wide.groupBy("area_type", "area_key").agg(
-        F.count("*").alias("point_count"), F.min("altitude").alias("min_altitude"), F.max("altitude").alias("max_altitude"), F.avg("altitude").alias("avg_altitude"), F.percentile("altitude", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9)))).alias("p"),
+        F.count("*").alias("point_count"), F.min("altitude").alias("min_altitude"), F.max("altitude").alias("max_altitude"), F.avg("altitude").alias("avg_altitude"),
         F.coalesce(F.sum(F.greatest("_d", F.lit(0.0))), F.lit(0.0)).alias("total_ascent"), F.coalesce(F.sum(F.greatest(-F.col("_d"), F.lit(0.0))), F.lit(0.0)).alias("total_descent"), F.sum("distance").alias("distance_m"),
     )
+    spread = percentiles(wide, F.col("altitude"), [0.25, 0.5, 0.75, 0.9], ["area_type", "area_key"])
+    out = out.join(spread, ["area_type", "area_key"])
     named = [F.col("p")[k].alias(n) for k, n in enumerate(("p25", "p50", "p75", "p90"))]
     intensity = F.when(F.col("distance_m") > 0, F.try_divide(F.col("total_ascent") + F.col("total_descent"), F.col("distance_m"))).otherwise(0.0)
     return out.select("area_type", "area_key", "point_count", "min_altitude", "max_altitude", "avg_altitude", (F.col("max_altitude") - F.col("min_altitude")).alias("altitude_span"), *named, "total_ascent", "total_descent", intensity.alias("vertical_intensity"))

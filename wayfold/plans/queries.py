@@ -16,6 +16,7 @@ from wayfold.operators import behavior, foundation, presentation, spatial, stati
 from wayfold.operators.density import cluster_figures, density_clusters
 from wayfold.plans import serving
 from wayfold.plans.oracles import bearing, clusters, entropy, fan, geohash, hav, sql, tile_id, ts
+from wayfold.plans.storage import stored
 from wayfold.plans.windows import range_join
 from wayfold.sources.trace import table, trace_points
 
@@ -322,7 +323,8 @@ _USE = {
 
 
 def _utilization(spark: SparkSession, folder: str) -> DataFrame:
-    return spatial.utilization(user_points(spark, folder), user_segments(spark, folder), stays(spark, folder))
+    p = stored(user_points(spark, folder), "points")
+    return spatial.utilization(p, behavior.transport_segments(p), behavior.admin_stays(p))
 
 
 @query(sql("seg stay", "SELECT area_type, area_key, t AS transit_intensity, s AS stay_duration_s, days AS distinct_visit_days, grids AS distinct_grids, round(eff, 4) AS utilization_efficiency, round(dom, 6) AS transit_dominance, round(depth, 4) AS area_depth FROM ut", "user_id", _USE))
@@ -435,7 +437,8 @@ def crossings_by_region(spark: SparkSession, folder: str) -> DataFrame:
     "lm": "SELECT trip_id, quantile_cont(CASE WHEN altitude <> 0 THEN altitude END, 0.99) AS a, quantile_cont(lon, 0.99) AS x9, quantile_cont(lon, 0.01) AS x1, quantile_cont(lat, 0.99) AS y9, quantile_cont(lat, 0.01) AS y1 FROM ins GROUP BY trip_id",
     "ev": "SELECT i.trip_id, id, data_time, altitude AS v, 'MAX_ALTITUDE' AS event_type FROM ins i JOIN lm USING (trip_id) WHERE altitude <> 0 AND altitude >= a UNION ALL SELECT i.trip_id, id, data_time, lon, 'EASTMOST' FROM ins i JOIN lm USING (trip_id) WHERE lon >= x9 UNION ALL SELECT i.trip_id, id, data_time, lon, 'WESTMOST' FROM ins i JOIN lm USING (trip_id) WHERE lon <= x1 UNION ALL SELECT i.trip_id, id, data_time, lat, 'NORTHMOST' FROM ins i JOIN lm USING (trip_id) WHERE lat >= y9 UNION ALL SELECT i.trip_id, id, data_time, lat, 'SOUTHMOST' FROM ins i JOIN lm USING (trip_id) WHERE lat <= y1"}))
 def extreme_events(spark: SparkSession, folder: str) -> DataFrame:
-    return statistics.extreme_events(points(spark, folder), trips(spark, folder)).select("trip_id", "event_type", "id", r("value", 5))
+    p = stored(points(spark, folder), "points")
+    return statistics.extreme_events(p, behavior.trips(behavior.transport_segments(p), gap=1800)).select("trip_id", "event_type", "id", r("value", 5))
 
 
 @query(sql("clean", f"""SELECT region, months, CAST(total AS BIGINT) AS total, CASE WHEN months < 3 OR abs(slope) < 0.1 THEN 'STABLE' WHEN slope > 0 THEN 'GROWTH' ELSE 'DECLINE' END AS trend_type FROM (
@@ -481,7 +484,7 @@ def time_slice_granularity(spark: SparkSession, folder: str) -> DataFrame:
     "cellrank": "SELECT grid, (rank() OVER (ORDER BY n) - 1) / count(*) OVER () AS rk FROM (SELECT grid, count(*) AS n FROM p GROUP BY grid)",
     "per": "SELECT track_id, run, sum(s) / sum(c) AS v, first(grid ORDER BY c DESC, grid) AS grid FROM (SELECT track_id, run, grid, count(*) AS c, sum(speed) AS s FROM p WHERE speed > 0 GROUP BY ALL) GROUP BY ALL"}))
 def render_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    p = points(spark, folder)
+    p = stored(points(spark, folder), "points")
     return presentation.rendering_metadata(p, behavior.transport_segments(p)).select("segment_id", "lod_level", "speed_bucket", r("overlap_rank"), r("line_weight"))
 
 
@@ -524,7 +527,7 @@ def time_axis_markers_all(spark: SparkSession, folder: str) -> DataFrame:
 @query(sql("seg stay", f"""SELECT s.stay_id, CAST(hour({ts("s.start_time")}) AS INT) AS hour, CAST(dayofweek({ts("s.start_time")}) AS INT) AS weekday, CAST(day({ts("s.start_time")}) <> day({ts("s.end_time")}) AS INT) AS is_overnight, round(s.duration_s / 3600, 5) AS hours,
   (SELECT mode FROM seg g WHERE g.track_id = s.track_id AND g.end_time <= s.start_time ORDER BY g.end_time DESC, g.mode DESC LIMIT 1) AS arrival, (SELECT mode FROM seg g WHERE g.track_id = s.track_id AND g.start_time >= s.end_time ORDER BY g.start_time, g.mode LIMIT 1) AS departure FROM stay s""", "user_id"))
 def stay_annotation(spark: SparkSession, folder: str) -> DataFrame:
-    p = user_points(spark, folder)
+    p = stored(user_points(spark, folder), "points")
     noted = presentation.stay_annotation(behavior.admin_stays(p), behavior.transport_segments(p))
     return noted.select("stay_id", "hour", "weekday", i("is_overnight"), r("hours", 5), F.col("arrival.mode").alias("arrival"), F.col("departure.mode").alias("departure"))
 
