@@ -26,3 +26,14 @@ def test_names_times_and_upserts(spark):
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string")
     assert sorted(map(tuple, counters.replaced(old, new, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
     assert counters.daily_matrix(spark.createDataFrame([], "date date, name string, value double"), ["x"]).count() == 0
+
+
+def test_loads_have_dense_ids_by_time_and_are_replaced_whole(spark, tmp_path):
+    raw = spark.createDataFrame([(30, 2.0, 0, "x"), (10, 1.0, 0, "y"), (10, 0.5, 0, "z"), (None, 9.0, 0, "n"), (20, 3.0, 1, "walked"), (10, 1.0, None, "y")], "`data time` long, `speed!` double, stepType int, `other col` string")
+    folder = f"file://{tmp_path}/fixes"
+    want = [(1, None, 9.0, None), (2, 10, 0.5, "19700101000010"), (3, 10, 1.0, "19700101000010"), (4, 10, 1.0, "19700101000010"), (5, 30, 2.0, "19700101000030")]
+    for _ in range(2):
+        rows = counters.load_fixes(raw.repartition(3), folder, ["data_time", "speed"])
+        assert sorted((r["id"], r["data_time"], r["speed"], r["time"]) for r in rows.collect()) == want
+    counters.load_fixes(raw.limit(0), folder, ["data_time", "speed"])
+    assert counters.tables.read(spark, folder).count() == 0 and counters.tables.manifest(folder).version == 3

@@ -7,6 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wayfold.plans.ranking import placed
+from wayfold.sources import tables
+
 #: The columns of the counter tables.
 MOUSE = ("lbcount", "rbcount", "mbcount", "xbcount", "wheel", "hwheel", "move")
 
@@ -69,3 +72,20 @@ def replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def orphans(coded: DataFrame, days: DataFrame) -> DataFrame:
     """Dates with scan codes but without a row among days."""
     return coded.select("date").distinct().join(days.select("date"), "date", "left_anti")
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
+    """Rows of a load with dense numbers from 1 in the given order, null first. The order is made total by the row itself,
+    so that a load made again gives the same numbers; equal rows take theirs in any order. No task sorts the whole table."""
+    rest = [c for c in df.columns if c not in order]
+    return placed(df, [*order, *rest], [], name).withColumn(name, F.col(name) + 1).select(name, *(c for c in df.columns if c != name))
+
+
+def load_fixes(raw: DataFrame, folder: str, columns: list[str]) -> DataFrame:
+    """Replace the table of fixes at folder: clean names, step type 0, the wanted columns, time columns, dense ids by time.
+
+    Written beside the old table and published at once (sources/tables.py), so readers never see half a load."""
+    kept = with_time_columns(kept_fixes(clean_names(raw), columns))
+    rows = numbered(kept, ["data_time"])
+    tables.replace_all(raw.sparkSession, folder, rows, ["id"])
+    return tables.read(raw.sparkSession, folder)

@@ -98,16 +98,13 @@ def update(spark: SparkSession, folder: str, new: DataFrame, keys: list[str], co
     old = read(spark, folder, sorted(touched)) if touched & set(now.parts) else None
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
-    at = f"{folder.rstrip('/')}/rows-{uuid.uuid4().hex}"
     parts, schema = dict(now.parts), now.schema
     if touched or not schema:
         out = combine(old, rows)
         schema = json.dumps(out.schema.jsonValue())
         if now.schema and [f.name for f in out.schema] != [f["name"] for f in json.loads(now.schema)["fields"]]:
             raise ValueError(f"the columns of {folder} are fixed")
-        out.withColumn(_PART, dealt).write.partitionBy(_PART).parquet(at)
-        written = {f.base_name.split("=")[1] for f in fs.get_file_info(pafs.FileSelector(filesystem(at)[1])) if f.base_name.startswith(f"{_PART}=")}
-        parts = {k: p for k, p in parts.items() if k not in touched} | {k: f"{at}/{_PART}={k}" for k in written}
+        parts = {k: p for k, p in parts.items() if k not in touched} | _written(out, dealt, folder)
     kept = dict(now.beside)
     for name, table in (beside or {}).items():
         place = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -118,6 +115,27 @@ def update(spark: SparkSession, folder: str, new: DataFrame, keys: list[str], co
     return made
 
 
+def replace_all(spark: SparkSession, folder: str, rows: DataFrame, keys: list[str], buckets: int = 32) -> Manifest:
+    """Publish rows as the whole table, whatever it held before; columns and keys may change."""
+    now = manifest(folder)
+    dealt = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    fs, path = filesystem(folder)
+    fs.create_dir(path, recursive=True)
+    parts = _written(rows, dealt, folder)
+    made = Manifest((now.version if now else 0) + 1, json.dumps(rows.schema.jsonValue()), buckets, keys, parts)
+    _publish(folder, made)
+    return made
+
+
+def _written(rows: DataFrame, dealt: Column, folder: str) -> dict[str, str]:
+    """Write rows beside the table's others; the folder of each partition that has any."""
+    at = f"{folder.rstrip('/')}/rows-{uuid.uuid4().hex}"
+    rows.withColumn(_PART, dealt).write.partitionBy(_PART).parquet(at)
+    fs, path = filesystem(at)
+    names = (f.base_name for f in fs.get_file_info(pafs.FileSelector(path)) if f.base_name.startswith(f"{_PART}="))
+    return {n.split("=")[1]: f"{at}/{n}" for n in names}
+
+
 def clear_old(folder: str, keep: int = 2) -> int:
     """Delete manifests but the newest `keep`, and folders that none of these names. Returns how many were deleted.
 
