@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from test_operators import SCHEMA, frame, metres, point
 
 from wayfold.functions import stats
-from wayfold.operators import behavior, classic, foundation
-from wayfold.plans.windows import islands, previous
+from wayfold.operators import behavior, classic, foundation, spatial, statistics
+from wayfold.plans.windows import asof, islands, previous, running
 from wayfold.sources.areas import areas
 from wayfold.streaming import live
 
@@ -22,15 +22,58 @@ def walk(seed, n, tracks=1, step=0.004):
     return rows
 
 
+def told(df):
+    """Rows as text, floats to ten digits: sums of floats depend on the order in which tasks add them."""
+    return sorted(str([float(f"{v:.10g}") if isinstance(v, float) and k != "radius_m" else round(v, 4) if k == "radius_m" else v for k, v in r.asDict().items()]) for r in df.collect())
+
+
 @pytest.mark.parametrize("chunk_s", [50, 86_400, 10**9])
 def test_stretches_give_the_rows_of_whole_tracks(spark, chunk_s):
     points = frame(spark, [*walk(1, 200, 2), point(900, 70, track=None), point(901, 80, track=None)])
     for f in (lambda c: foundation.flag_outliers(points, chunk_s=c), lambda c: behavior.with_runs(points, c), lambda c: behavior.transport_segments(points, chunk_s=c), lambda c: behavior.admin_stays(points, min_s=1, chunk_s=c)):
-        assert sorted(map(str, f(chunk_s).collect())) == sorted(map(str, f(None).collect()))
+        assert told(f(chunk_s)) == told(f(None))
+    high = points.withColumn("altitude", 100 + F.col("id") % 7 * 30.0).withColumn("speed", F.when(F.col("id") % 5 < 3, 39.0).otherwise(F.col("speed"))).withColumn("heading", F.col("id") * 47.0 % 360)
+    cells = spatial.grid_cells(points)
+    more = [
+        lambda c: foundation.fill_gaps(points, gap=1, max_gap=100_000, chunk_s=c), lambda c: foundation.flag_outliers_by_pattern(points, chunk_s=c), lambda c: statistics.admin_crossings(points, c),
+        lambda c: spatial.altitude_events(high, min_m=20.0, min_s=1, chunk_s=c).select("track_id", "start_time", "event_type", "steps", F.round("distance_m", 6)), lambda c: spatial.spatial_complexity(high, cells, chunk_s=c).select("direction_changes", F.round("avg_turn_angle", 6)),
+        lambda c: behavior.speed_events(high, min_s=1, min_run_s=0, gap=5, chunk_s=c).select("segment_id", "start_time", "end_time", "point_count"),
+        lambda c: asof(points.select("id", "track_id", "data_time"), high.select("track_id", F.col("data_time").alias("t"), "altitude").where("id % 3 = 0"), "data_time", "t", ["track_id"], ["altitude"], "near", chunk_s=c),
+        lambda c: asof(points.select("id", "track_id", "data_time"), high.select("track_id", F.col("data_time").alias("t"), "altitude").where("id % 3 = 0"), "data_time", "t", ["track_id"], ["altitude"], "near", True, c),
+    ]
+    for f in more:
+        want = told(f(None))
+        assert want and told(f(chunk_s)) == want
     empty = points.where("id < 0")
     assert previous(empty, ["lat"], "b", chunk_s).count() == 0 and islands(empty, F.col("lat") > 0, chunk_s=chunk_s).count() == 0
 
 
+def test_running_columns_over_stretches_by_hand(spark):
+    rows = walk(3, 150, 2)
+    df = frame(spark, rows).select("id", "track_id", "data_time", "speed")
+    cols = {"sums": {"s": F.lit(2)}, "firsts": {"f": F.col("speed")}, "lasts": {"l": F.col("speed")}, "befores": {"b": F.col("speed")}, "lags": {"g": (F.col("id"), 3)}}
+    for chunk_s in (None, 70, 4000):
+        seen = {}
+        for r in running(df, chunk_s, **cols).orderBy("track_id", "data_time", "id").collect():
+            own = seen.setdefault(r["track_id"], [])
+            known = [x["speed"] for x in own if x["speed"] is not None]
+            upto = known + ([r["speed"]] if r["speed"] is not None else [])
+            assert (r["s"], r["f"], r["l"], r["b"]) == (2 * len(own) + 2, upto[0] if upto else None, upto[-1] if upto else None, known[-1] if known else None)
+            assert r["g"] == [x["id"] for x in own[-3:]]
+            own.append(r)
+        assert sum(map(len, seen.values())) == 150
+
+
+def test_one_track_makes_many_tasks_and_its_source_is_read_once(spark, tmp_path):
+    path = str(tmp_path / "one")
+    frame(spark, walk(5, 400)).repartition(1).write.parquet(path)
+    points = spark.read.schema(SCHEMA).parquet(path)
+    df = behavior.transport_segments(foundation.clean(points, 20_000), chunk_s=20_000)
+    assert path not in df._jdf.queryExecution().executedPlan().toString()  # what is left reads stored stretches
+    spread = behavior.with_runs(points, 20_000).withColumn("_chunk", F.floor(F.col("data_time") / 20_000)).groupBy("_chunk").count().count()
+    assert spread > 20 and sorted(map(str, df.drop("distance_m").collect())) == sorted(map(str, behavior.transport_segments(foundation.clean(points)).drop("distance_m").collect()))
+
+
 def test_sequential_stays_by_hand(spark):
     rows = walk(2, 300, 3) + [point(1000, None), point(1001, 5, lat=None)]
     found = {(r["track_id"], r["stay_id"], r["start_time"], r["end_time"], r["point_count"], round(r["center_lat"], 9)) for r in classic.sequential_stays(frame(spark, rows), 500.0, 3600).collect()}

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo
-from wayfold.plans.windows import ORDER, asof, islands, ordered, previous, range_join
+from wayfold.plans.storage import stored
+from wayfold.plans.windows import ORDER, asof, islands, ordered, previous, range_join, running
 
 PLACES = ["province", "city", "county", "town"]
 #: Metres a second below which a fix belongs to a mode.
@@ -160,19 +161,23 @@ def segment_streaks(segments: DataFrame, fast_kmh: float = 100.0, fast_s: int =
     return segments.withColumn("streak_type", kind).where("streak_type is not null")
 
 
-def speed_events(points: DataFrame, min_speed: float = 33.33, min_s: int = 60, gap: int = 10, mode: str = "CAR", min_run_s: int = 10) -> DataFrame:
+def speed_events(points: DataFrame, min_speed: float = 33.33, min_s: int = 60, gap: int = 10, mode: str = "CAR", min_run_s: int = 10, chunk_s: int | None = None) -> DataFrame:
     """Fast stretches inside segments of one mode. Low fixes end a stretch once one lies more than gap seconds after its
     last fast fix. The run number stays on the points, so segments need no range join."""
-    run = Window.partitionBy("track_id", "run")
-    df = with_runs(points).where(F.col("mode") == mode)
-    df = df.withColumn("_s", F.max("data_time").over(run) - F.min("data_time").over(run)).where(F.col("_s") >= min_run_s)
-    order = run.orderBy(*ORDER)
-    low = F.when(F.col("speed") < min_speed, F.col("data_time"))
-    df = df.withColumn("_low", F.last(low, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("_segment", F.first("id").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("speed") >= min_speed)
-    before = F.lag("data_time").over(order)
-    fresh = before.isNull() | ((F.col("_low") > before) & (F.col("_low") - before > gap))
-    df = df.withColumn("_new", F.when(fresh, 1).otherwise(0)).withColumn("event", F.sum("_new").over(order))
+    run = ["track_id", "run"]
+    df = with_runs(points, chunk_s).where(F.col("mode") == mode)
+    if chunk_s is None:
+        whole = Window.partitionBy(*run)
+        df = df.withColumn("_s", F.max("data_time").over(whole) - F.min("data_time").over(whole))
+    else:  # a run may be long: its span by aggregation
+        df = stored(df, "runs")
+        spans = df.groupBy(*run).agg((F.max("data_time") - F.min("data_time")).alias("_s"))
+        df = df.alias("x").join(spans.alias("y"), F.col("x.track_id").eqNullSafe(F.col("y.track_id")) & (F.col("x.run") == F.col("y.run"))).select("x.*", "y._s")
+    fast = F.col("speed") >= min_speed
+    time = F.col("data_time")
+    df = running(df.where(F.col("_s") >= min_run_s), chunk_s, run, firsts={"_segment": F.col("id")}, lasts={"_low": F.when(~fast, time)}, befores={"_high": F.when(fast, time)}).where(fast)
+    fresh = F.col("_high").isNull() | ((F.col("_low") > F.col("_high")) & (F.col("_low") - F.col("_high") > gap))
+    df = islands(df, fresh, run, name="event", chunk_s=chunk_s)
     events = df.groupBy("track_id", "run", "event").agg(
         F.min("_segment").alias("segment_id"), F.min("data_time").alias("start_time"), F.max("data_time").alias("end_time"), F.count("*").alias("point_count"), F.avg("speed").alias("avg_speed"),
         F.max("speed").alias("max_speed"), F.min_by(F.struct("data_time", "lat", "lon"), F.struct(-F.col("speed"), F.col("data_time"), F.col("id"))).alias("_p"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo
 from wayfold.operators.area_index import with_area
-from wayfold.plans.windows import ordered, previous
+from wayfold.plans.windows import ORDER, previous, running
 
 
 def _reasons(rules: dict[str, Column]) -> Column:
@@ -31,25 +31,28 @@ def flag_outliers(points: DataFrame, max_speed: float = 277.78, max_accuracy: fl
     return _judged(df.withColumn("reasons", _reasons(rules)), F.size("reasons") > 0, accuracy.between(warn_accuracy, max_accuracy)).drop("_b")
 
 
-def flag_outliers_by_pattern(points: DataFrame, max_kmh: float = 300.0, max_accuracy: float = 100.0, back_m: float = 50.0, back_s: int = 300, leg_m: float = 10.0, drift_m: float = 20.0, drift_points: int = 5) -> DataFrame:
+def flag_outliers_by_pattern(points: DataFrame, max_kmh: float = 300.0, max_accuracy: float = 100.0, back_m: float = 50.0, back_s: int = 300, leg_m: float = 10.0, drift_m: float = 20.0, drift_points: int = 5, chunk_s: int | None = None) -> DataFrame:
     """The stricter rules: implied speed, there-and-back within three fixes, and drift of a resting receiver over five.
 
     The last fix of a pattern is marked. Low accuracy alone is a warning, not an outlier.
     """
-    w = ordered()
-    df = points.withColumn("_b", F.lag(F.struct("data_time", "lat", "lon")).over(w)).withColumn("_a", F.lag(F.struct("data_time", "lat", "lon"), 2).over(w))
+    fix = F.struct("data_time", "lat", "lon")
+    df = running(points, chunk_s, lags={"_seen": (fix, max(2, drift_points - 1))})
+    df = df.withColumn("_b", F.try_element_at("_seen", F.lit(-1))).withColumn("_a", F.try_element_at("_seen", F.lit(-2)))
+    near = F.concat(F.transform("_seen", lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))), F.array(F.struct("lat", "lon")))
+    df = df.withColumn("_near", F.slice(near, F.greatest(F.size(near) - drift_points, F.lit(0)) + 1, drift_points))
     wait = F.col("data_time") - F.col("_b.data_time")
     leg = geo.haversine("_b.lat", "_b.lon", "lat", "lon")
     jump = (wait > 0) & (wait <= 3600) & (F.try_divide(leg, wait) * 3.6 > max_kmh)
     back = (geo.haversine("_a.lat", "_a.lon", "lat", "lon") <= back_m) & (F.col("data_time") - F.col("_a.data_time") <= back_s)
     back = back & (leg >= leg_m) & (geo.haversine("_a.lat", "_a.lon", "_b.lat", "_b.lon") >= leg_m)
-    last = w.rowsBetween(1 - drift_points, 0)
-    df = df.withColumn("_near", F.collect_list(F.struct("lat", "lon")).over(last))
-    df = df.withColumn("_lat", F.avg("lat").over(last)).withColumn("_lon", F.avg("lon").over(last))
+    for c in ("lat", "lon"):
+        known = F.filter(F.col(f"_near.{c}"), lambda v: v.isNotNull())
+        df = df.withColumn(f"_{c}", F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, v: s + v), F.size(known)))
     close = F.forall("_near", lambda p: geo.haversine(p["lat"], p["lon"], F.col("_lat"), F.col("_lon")) < drift_m)
     drift = (F.size("_near") >= drift_points) & close & (F.size(F.array_distinct("_near")) > 1)
     rules = {"JUMP": jump, "BACKTRACK": back, "STATIC_DRIFT": drift, "LOW_ACCURACY": F.coalesce("accuracy", F.lit(0.0)) > max_accuracy}
-    df = df.withColumn("reasons", _reasons(rules)).drop("_a", "_b", "_near", "_lat", "_lon")
+    df = df.withColumn("reasons", _reasons(rules)).drop("_a", "_b", "_seen", "_near", "_lat", "_lon")
     hard = F.size(F.array_except("reasons", F.array(F.lit("LOW_ACCURACY")))) > 0
     return _judged(df, hard, F.size("reasons") > 0)
 
@@ -63,13 +66,14 @@ def clean(points: DataFrame, chunk_s: int | None = None) -> DataFrame:
     return flag_outliers(points, chunk_s=chunk_s).where(~F.col("outlier")).drop("outlier", "reasons", "qa_status")
 
 
-def fill_gaps(points: DataFrame, gap: int = 300, max_gap: int = 1800, step: int = 60, most: int = 30) -> DataFrame:
+def fill_gaps(points: DataFrame, gap: int = 300, max_gap: int = 1800, step: int = 60, most: int = 30, chunk_s: int | None = None) -> DataFrame:
     """Synthetic points between consecutive fixes more than gap and up to max_gap seconds apart, on a straight line.
 
     Returns track_id, after_id (the fix before), k (from 1), data_time, lat, lon, altitude, speed and qa_status. The
     input is left alone, so a second run gives the same rows.
     """
-    df = points.withColumn("_n", F.lead(F.struct("data_time", "lat", "lon", "altitude", "speed")).over(ordered()))
+    after = F.struct("data_time", "lat", "lon", "altitude", "speed")
+    df = running(points, chunk_s, order=[F.desc(c) for c in ORDER], descending=True, befores={"_n": after})
     df = df.withColumn("_dt", F.col("_n.data_time") - F.col("data_time")).where((F.col("_dt") > gap) & (F.col("_dt") <= max_gap))
     df = df.withColumn("_count", F.least(F.floor(F.col("_dt") / step), F.lit(most)).cast("int")).where("_count > 0")
     df = df.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("_count"))))

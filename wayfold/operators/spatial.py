@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import geo, stats
 from wayfold.plans.ranking import Place, at_places, percentiles
 from wayfold.plans.storage import stored
-from wayfold.plans.windows import fan_out, islands, ordered
+from wayfold.plans.windows import fan_out, islands, previous, running
 
 LEVELS = (8, 10, 12, 15)
 
@@ -175,17 +175,17 @@ def utilization(points: DataFrame, segments: DataFrame, stays: DataFrame) -> Dat
     )
 
 
-def altitude_events(points: DataFrame, plateau_m: float = 10.0, min_m: float = 50.0, min_s: int = 300) -> DataFrame:
+def altitude_events(points: DataFrame, plateau_m: float = 10.0, min_m: float = 50.0, min_s: int = 300, chunk_s: int | None = None) -> DataFrame:
     """Climbs and descents: maximal runs of steps of one sign, from the fix before the run to its last.
 
     The run's first step adds no distance where it follows level ground. Altitudes outside (-500, 9000) are left out.
     """
-    w = ordered()
     df = points.where((F.col("altitude") > -500) & (F.col("altitude") < 9000))
-    df = df.withColumn("_b", F.lag(F.struct("data_time", "altitude", "lat", "lon")).over(w))
+    df = previous(df, ["data_time", "altitude", "lat", "lon"], "_b", chunk_s)
     step = F.col("altitude") - F.col("_b.altitude")
-    df = df.withColumn("kind", F.when(step > plateau_m, "CLIMB").when(step < -plateau_m, "DESCENT").otherwise("FLAT")).withColumn("_k", F.lag("kind").over(w))
-    runs = islands(df, F.col("kind") != F.col("_k"), name="run").where("kind <> 'FLAT'")
+    df = df.withColumn("kind", F.when(step > plateau_m, "CLIMB").when(step < -plateau_m, "DESCENT").otherwise("FLAT"))
+    df = running(df, chunk_s, befores={"_k": F.col("kind")})
+    runs = islands(df, F.col("kind") != F.col("_k"), name="run", chunk_s=chunk_s).where("kind <> 'FLAT'")
     order = F.struct("data_time", "id")
     out = runs.groupBy("track_id", "run", "kind").agg(
         F.min_by(F.struct("_b", "distance", "_k"), order).alias("f"), F.max_by(F.struct("data_time", "altitude", "lat", "lon"), order).alias("l"), F.sum("distance").alias("d"), F.count("*").alias("steps")
@@ -218,10 +218,11 @@ def altitude_stats(points: DataFrame) -> DataFrame:
     return out.select("area_type", "area_key", "point_count", "min_altitude", "max_altitude", "avg_altitude", (F.col("max_altitude") - F.col("min_altitude")).alias("altitude_span"), *named, "total_ascent", "total_descent", intensity.alias("vertical_intensity"))
 
 
-def spatial_complexity(points: DataFrame, cells: DataFrame, min_turn: float = 15.0) -> DataFrame:
+def spatial_complexity(points: DataFrame, cells: DataFrame, min_turn: float = 15.0, chunk_s: int | None = None) -> DataFrame:
     """One row: turns, path efficiency, entropy of visits, and a score. Tracks add up; a straight line is a track's first to last fix."""
     known = points.where("heading is not null and distance is not null")
-    turned = F.abs(F.col("heading") - F.lag("heading").over(ordered()))
+    known = running(known, chunk_s, befores={"_b": F.col("heading")})
+    turned = F.abs(F.col("heading") - F.col("_b"))
     known = known.withColumn("_t", F.when(turned > 180, 360 - turned).otherwise(turned))
     order = F.struct("data_time", "id")
     track = known.groupBy("track_id").agg(F.count_if(F.col("_t") > min_turn).alias("c"), F.sum(F.when(F.col("_t") > min_turn, F.col("_t"))).alias("t"), F.sum("distance").alias("d"), F.min_by(F.struct("lat", "lon"), order).alias("a"), F.max_by(F.struct("lat", "lon"), order).alias("b"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo
 from wayfold.operators.spatial import _areas, _buckets, _day
-from wayfold.plans.windows import fan_out, ordered, range_join
+from wayfold.plans.windows import fan_out, ordered, previous, range_join
 
 LEVELS = ("province", "city", "county", "town")
 GROUP = ["area_type", "area_key", "bucket_type", "bucket_key"]
@@ -51,11 +51,11 @@ def admin_view(points: DataFrame) -> DataFrame:
     )
 
 
-def admin_crossings(points: DataFrame) -> DataFrame:
+def admin_crossings(points: DataFrame, chunk_s: int | None = None) -> DataFrame:
     """Steps from one region into another, named by the highest level that changes."""
     known = points.where("province is not null")
     names = [F.coalesce(c, F.lit("")).alias(c) for c in LEVELS]
-    df = known.select("track_id", "id", "data_time", "lat", "lon", *names).withColumn("_b", F.lag(F.struct("lat", "lon", *LEVELS)).over(ordered()))
+    df = previous(known.select("track_id", "id", "data_time", "lat", "lon", *names), ["lat", "lon", *LEVELS], "_b", chunk_s)
     kind, above = F.when(F.lit(False), ""), F.col("_b").isNotNull()
     for level in LEVELS:
         kind = kind.when(above & (F.col(level) != F.col(f"_b.{level}")) & (F.col(level) != ""), level.upper())

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.plans.storage import stored
+
 TRACK, ORDER = ["track_id"], ["data_time", "id"]
 
 
@@ -14,42 +16,68 @@ def ordered(partition: list[str] | None = None, order: list[str] | None = None):
     return Window.partitionBy(*(TRACK if partition is None else partition)).orderBy(*(ORDER if order is None else order))
 
 
-def _by_chunk(df: DataFrame, chunk_s: int, summary: Column, earlier: Column) -> DataFrame:
-    """df with _chunk and _before: `earlier`, a window expression on _own (each chunk's summary) over the chunks of a track."""
-    cut = df.withColumn("_chunk", F.floor(F.col("data_time") / chunk_s))
-    whole = cut.groupBy(*TRACK, "_chunk").agg(summary.alias("_own")).select(*TRACK, "_chunk", earlier.alias("_before"))
+def running(
+    df: DataFrame, chunk_s: int | None = None, partition: list[str] | None = None, order: list[Column] | None = None, time: str = "data_time", descending: bool = False,
+    sums: dict[str, Column] | None = None, firsts: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, befores: dict[str, Column] | None = None, lags: dict[str, tuple[Column, int]] | None = None,
+) -> DataFrame:
+    """df with columns that run along each track in order, several in one pass:
+
+    sums: the sum up to the row, itself included; firsts, lasts: the first or last value that is not null, up to it; befores: the last
+    before the row; lags: an array of the last k values before the row (none of them null), the nearest at its end.
+
+    chunk_s: windows run over (track, stretch of chunk_s seconds), so that a long track makes many tasks. df is read once and
+    stored with what each stretch gives alone; a table of one row a stretch carries all columns on to the stretches after
+    it. The rows are the same. order must agree with the time (descending: run from the end, order and all).
+    """
+    part = TRACK if partition is None else partition
+    order = [F.col(c) for c in ORDER] if order is None else order
+    sums, firsts, lasts, befores, lags = sums or {}, firsts or {}, lasts or {}, befores or {}, lags or {}
+    own = [*part, "_chunk"] if chunk_s else part
+    w = Window.partitionBy(*own).orderBy(*order)
+    upto, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    here = {n: F.sum(v).over(upto) for n, v in sums.items()} | {n: F.first(v, ignorenulls=True).over(upto) for n, v in firsts.items()} | {n: F.last(v, ignorenulls=True).over(upto) for n, v in lasts.items()}
+    here |= {n: F.last(v, ignorenulls=True).over(ahead) for n, v in befores.items()} | {n: F.collect_list(v).over(w.rowsBetween(-k, -1)) for n, (v, k) in lags.items()}
+    if not chunk_s:
+        return df.withColumns(here)
+    whole = {f"_w_{n}": F.last(v, ignorenulls=True).over(upto) for n, v in befores.items()} | {f"_w_{n}": F.collect_list(v).over(w.rowsBetween(1 - k, 0)) for n, (v, k) in lags.items()}
+    columns = df.columns
+    cut = df.withColumn("_chunk", F.floor(F.col(time) / chunk_s))
+    cut = stored(cut.withColumns({f"_h_{n}": c for n, c in here.items()} | whole | {"_nth": F.row_number().over(w)}), "stretches")
+    last = {n: F.max_by(f"_w_{n}" if n in befores or n in lags else f"_h_{n}", "_nth").alias(f"_c_{n}") for n in here}
+    chunks = Window.partitionBy(*part).orderBy(F.desc("_chunk") if descending else F.col("_chunk"))
+    prior = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    carry = {n: F.sum(f"_c_{n}").over(prior) for n in sums} | {n: F.first(f"_c_{n}", ignorenulls=True).over(prior) for n in firsts} | {n: F.last(f"_c_{n}", ignorenulls=True).over(prior) for n in (*lasts, *befores)}
+    carry |= {n: F.flatten(F.collect_list(f"_c_{n}").over(chunks.rowsBetween(-k, -1))) for n, (_, k) in lags.items()}
+    carried = cut.groupBy(*part, "_chunk").agg(*last.values()).select(*part, "_chunk", *(c.alias(f"_p_{n}") for n, c in carry.items()))
     same = F.lit(True)
-    for c in [*TRACK, "_chunk"]:
+    for c in own:
         same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
-    return cut.alias("x").join(whole.alias("y"), same).select("x.*", "y._before")
+    met = cut.alias("x").join(carried.alias("y"), same).select("x.*", *(f"y._p_{n}" for n in here))
 
+    def joined(n: str) -> Column:
+        h, p = F.col(f"_h_{n}"), F.col(f"_p_{n}")
+        if n in sums:
+            return F.coalesce(h + F.coalesce(p, F.lit(0)), h, p)
+        if n not in lags:
+            return F.coalesce(p, h) if n in firsts else F.coalesce(h, p)
+        both, k = F.concat(p, h), lags[n][1]
+        return F.slice(both, F.greatest(F.size(both) - k, F.lit(0)) + 1, F.lit(k))
 
-def previous(df: DataFrame, values: list[str], name: str, chunk_s: int | None = None) -> DataFrame:
-    """df with a struct `name` of values of the row before in its track; null for a track's first row.
+    return met.select(*(c for c in columns if c not in here), *(joined(n).alias(n) for n in here))
 
-    chunk_s: windows run over (track, stretch of chunk_s seconds), so that a long track makes many tasks; a table of one
-    row for each stretch hands its last row to the next. The rows are the same.
-    """
-    carried = F.struct(*values)
-    if chunk_s is None:
-        return df.withColumn(name, F.lag(carried).over(ordered()))
-    over = Window.partitionBy(*TRACK).orderBy("_chunk")
-    cut = _by_chunk(df, chunk_s, F.max_by(carried, F.struct(*ORDER)), F.lag("_own").over(over))
-    return cut.withColumn(name, F.coalesce(F.lag(carried).over(ordered([*TRACK, "_chunk"])), "_before")).drop("_chunk", "_before")
+
+def previous(df: DataFrame, values: list[str], name: str, chunk_s: int | None = None) -> DataFrame:
+    """df with a struct `name` of values of the row before in its track; null for a track's first row. chunk_s: see running."""
+    return running(df, chunk_s, befores={name: F.struct(*values)})
 
 
 def islands(df: DataFrame, begins: Column, partition: list[str] | None = None, order: list[str] | None = None, name: str = "island", chunk_s: int | None = None) -> DataFrame:
     """Number consecutive rows; an island begins where `begins` is true or null. Uses the partitioning of the order.
 
-    chunk_s: as for `previous`, for tracks in their usual order; stretches add the islands begun before them. `begins`
-    must then hold no window of its own.
+    chunk_s: as in running, for tracks in their usual order; `begins` must then hold no window of its own.
     """
     marked = df.withColumn("_begin", F.when(F.coalesce(begins, F.lit(True)), 1).otherwise(0))
-    if chunk_s is None:
-        return marked.withColumn(name, F.sum("_begin").over(ordered(partition, order))).drop("_begin")
-    over = Window.partitionBy(*TRACK).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    cut = _by_chunk(marked, chunk_s, F.sum("_begin"), F.coalesce(F.sum("_own").over(over), F.lit(0)))
-    return cut.withColumn(name, F.sum("_begin").over(ordered([*TRACK, "_chunk"])) + F.col("_before")).drop("_begin", "_chunk", "_before")
+    return running(marked, chunk_s, partition, order and [F.col(c) for c in order], sums={name: F.col("_begin")}).drop("_begin")
 
 
 def range_join(points: DataFrame, intervals: DataFrame, time: str, start: str, end: str, on: list[str], width: int, how: str = "inner") -> DataFrame:
@@ -70,11 +98,11 @@ def range_join(points: DataFrame, intervals: DataFrame, time: str, start: str, e
     return joined.drop("_b")
 
 
-def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, on: list[str], values: list[str], name: str, forward: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, on: list[str], values: list[str], name: str, forward: bool = False, chunk_s: int | None = None) -> DataFrame:
     """left with a struct `name` of the nearest right row at or before (forward: at or after) left_time, or null.
 
     One shuffle on `on`: both sides in one order, the last right row carried along. Ties on time: right rows count for a
-    left row at the same time; of several right rows the one with the largest values.
+    left row at the same time; of several right rows the one with the largest values. chunk_s: see running.
     """
     carried = F.struct(*(F.col(v) for v in values))
     empty = F.lit(None).cast(right.select(carried.alias("x")).schema["x"].dataType)
@@ -82,12 +110,8 @@ def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, on:
     both = left.select(*columns, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), empty.alias(name)).unionByName(
         right.select(*on, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), carried.alias(name)), allowMissingColumns=True
     )
-    if forward:
-        w = Window.partitionBy(*on).orderBy(F.desc("_t"), "_side", F.desc_nulls_last(name))
-    else:
-        w = Window.partitionBy(*on).orderBy("_t", "_side", F.asc_nulls_first(name))
-    seen = F.last(name, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn(name, seen).where("_side = 1").select(*columns, name)
+    order = [F.desc("_t"), F.col("_side"), F.desc_nulls_last(name)] if forward else [F.col("_t"), F.col("_side"), F.asc_nulls_first(name)]
+    return running(both, chunk_s, on, order, "_t", forward, lasts={name: F.col(name)}).where("_side = 1").select(*columns, name)
 
 
 def fan_out(df: DataFrame, areas: dict[str, Column], buckets: dict[str, Column]) -> DataFrame:
