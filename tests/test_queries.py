@@ -45,5 +45,5 @@ def test_density_levels_of_all_levels(spark):
 
 
 def test_time_axis_markers_of_all_kinds(spark):
-    kinds = {r["marker_type"] for r in QUERIES["time_axis_markers_all"](spark, FOLDER).select("marker_type").distinct().collect()}
-    assert kinds == {"segment_start", "segment_end", "stay", "speed_event", "altitude_event"}
+    kinds = {(r["marker_type"], r["entity_type"]) for r in QUERIES["time_axis_markers_all"](spark, FOLDER).select("marker_type", "entity_type").distinct().collect()}
+    assert kinds == {("SEGMENT_START", "SEGMENT"), ("SEGMENT_END", "SEGMENT"), ("STAY", "STAY"), ("EVENT", "SPEED_EVENT"), ("EVENT", "ALTITUDE_EVENT")}

@@ -177,7 +177,7 @@ def speed_events(points: DataFrame, min_speed: float = 33.33, min_s: int = 60, g
     time = F.col("data_time")
     df = running(df.where(F.col("_s") >= min_run_s), chunk_s, run, firsts={"_segment": F.col("id")}, lasts={"_low": F.when(~fast, time)}, befores={"_high": F.when(fast, time)}).where(fast)
     fresh = F.col("_high").isNull() | ((F.col("_low") > F.col("_high")) & (F.col("_low") - F.col("_high") > gap))
-    df = islands(df, fresh, run, name="event", chunk_s=chunk_s)
+    df = islands(df, F.coalesce(fresh, F.lit(False)), run, name="event", chunk_s=chunk_s)
     events = df.groupBy("track_id", "run", "event").agg(
         F.min("_segment").alias("segment_id"), F.min("data_time").alias("start_time"), F.max("data_time").alias("end_time"), F.count("*").alias("point_count"), F.avg("speed").alias("avg_speed"),
         F.max("speed").alias("max_speed"), F.min_by(F.struct("data_time", "lat", "lon"), F.struct(-F.col("speed"), F.col("data_time"), F.col("id"))).alias("_p"),

@@ -9,10 +9,12 @@ from wayfold.functions import geo, stats
 from wayfold.operators.behavior import with_runs
 from wayfold.plans.ranking import percentiles, with_ranks
 from wayfold.plans.storage import stored
-from wayfold.plans.windows import asof
+from wayfold.plans.windows import asof, valid_at
 
-#: Icons of transport modes, others get a circle.
+#: Icons and colours of transport modes, and of what else is marked.
 MODE_ICONS = {"WALK": "walk", "BIKE": "bike", "CAR": "car", "TRAIN": "train", "PLANE": "plane"}
+MODE_COLOURS = {"WALK": "#4CAF50", "BIKE": "#2196F3", "CAR": "#FF9800", "TRAIN": "#9C27B0", "PLANE": "#F44336"}
+OTHER_ICON, OTHER_COLOUR, STAY_COLOUR, SPEED_COLOUR, ALTITUDE_COLOUR = "circle", "#757575", "#FF6B6B", "#FFA500", "#4CAF50"
 DEFAULT_SPEEDS = (0.0, 2.0, 5.0, 10.0, 20.0, 30.0)
 
 
@@ -42,9 +44,15 @@ def heatmap(cells: DataFrame, metric: str = "point_count") -> DataFrame:
     return stats.normalised(cells.withColumn("_v", F.col(metric).cast("double")), "_v", [], "intensity").drop("_v")
 
 
-def _marker(df: DataFrame, kind: str | Column, time: str, label: Column, icon: Column, source: str) -> DataFrame:
-    kind = F.lit(kind) if isinstance(kind, str) else kind
-    return df.select(F.col(time).alias("marker_time"), kind.alias("marker_type"), label.alias("label"), icon.alias("icon"), F.col(source).alias("source_id"))
+def _marker(df: DataFrame, kind: str, entity: str, time: str, place: tuple[str, str], label: Column, icon: Column, colour: Column, source: str) -> DataFrame:
+    lat, lon = (F.col(c) for c in place)
+    return df.select(
+        F.col(time).alias("marker_time"), F.lit(kind).alias("marker_type"), F.col(source).alias("entity_id"), F.lit(entity).alias("entity_type"), lat.alias("lat"), lon.alias("lon"), label.alias("label"), icon.alias("icon"), colour.alias("color")
+    )
+
+
+def _by_mode(values: dict[str, str], other: str) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), F.col("mode")), F.lit(other))
 
 
 def time_axis_markers(segments: DataFrame, stays: DataFrame, speed: DataFrame, altitude: DataFrame, min_stay_s: int = 7200, min_change_m: float = 100.0, most: tuple[int, int, int, int] | None = (1000, 500, 200, 200)) -> DataFrame:
@@ -58,15 +66,16 @@ def time_axis_markers(segments: DataFrame, stays: DataFrame, speed: DataFrame, a
         stays = stays.orderBy("start_time", "stay_id").limit(most[1])
         speed = speed.orderBy("peak_time", "segment_id").limit(most[2])
         altitude = altitude.orderBy("start_time", "track_id").limit(most[3])
-    icons = F.create_map(*(F.lit(x) for pair in MODE_ICONS.items() for x in pair))
-    icon = F.coalesce(F.try_element_at(icons, F.col("mode")), F.lit("circle"))
+    icon, colour = _by_mode(MODE_ICONS, OTHER_ICON), _by_mode(MODE_COLOURS, OTHER_COLOUR)
     hours = F.floor(F.col("duration_s") / 3600).cast("string")
+    fast, change = F.round(F.col("max_speed") * 3.6).cast("long"), F.round("altitude_change").cast("long")
+    start, end = ("start_lat", "start_lon"), ("end_lat", "end_lon")
     parts = [
-        _marker(segments, "segment_start", "start_time", F.concat("mode", F.lit(" Start")), icon, "segment_id"),
-        _marker(segments, "segment_end", "end_time", F.concat("mode", F.lit(" End")), icon, "segment_id"),
-        _marker(stays, "stay", "start_time", F.concat(F.lit("Stay ("), hours, F.lit("h)")), F.lit("pin"), "stay_id"),
-        _marker(speed, "speed_event", "peak_time", F.concat(F.lit("Speed "), F.round(F.col("max_speed") * 3.6).cast("long"), F.lit(" km/h")), F.lit("flash"), "segment_id"),
-        _marker(altitude, "altitude_event", "start_time", F.concat("event_type", F.lit(" "), F.round("altitude_change").cast("long"), F.lit("m")), F.when(F.col("event_type") == "DESCENT", "arrow-down").otherwise("mountain"), "track_id"),
+        _marker(segments, "SEGMENT_START", "SEGMENT", "start_time", start, F.concat("mode", F.lit(" Start")), icon, colour, "segment_id"),
+        _marker(segments, "SEGMENT_END", "SEGMENT", "end_time", end, F.concat("mode", F.lit(" End")), icon, colour, "segment_id"),
+        _marker(stays, "STAY", "STAY", "start_time", ("center_lat", "center_lon"), F.concat(F.lit("Stay ("), hours, F.lit("h)")), F.lit("pin"), F.lit(STAY_COLOUR), "stay_id"),
+        _marker(speed, "EVENT", "SPEED_EVENT", "peak_time", ("peak_lat", "peak_lon"), F.concat(F.lit("Speed "), fast, F.lit(" km/h")), F.lit("flash"), F.lit(SPEED_COLOUR), "segment_id"),
+        _marker(altitude, "EVENT", "ALTITUDE_EVENT", "start_time", start, F.concat("event_type", F.lit(" "), change, F.lit("m")), F.when(F.col("event_type") == "DESCENT", "arrow-down").otherwise("mountain"), F.lit(ALTITUDE_COLOUR), "track_id"),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -77,8 +86,9 @@ def time_axis_markers(segments: DataFrame, stays: DataFrame, speed: DataFrame, a
 def stay_annotation(stays: DataFrame, segments: DataFrame, anchors: DataFrame | None = None, labels: DataFrame | None = None, zoom: int = 15) -> DataFrame:
     """Stays with time features, the segments before and after, and label suggestions.
 
-    anchors: (type, grid_id); labels: (grid_id, label, updated_at), of which a cell's latest counts. A known anchor is
-    the only suggestion; otherwise rules suggest.
+    anchors: (type, grid_id), and active_from_ts and active_to_ts if they are valid for a time: that of the stay's start
+    counts (windows.valid_at). labels: (grid_id, label, updated_at), and confirmed if some are not: a cell's latest confirmed
+    one not after the stay's start counts. A known anchor is the only suggestion; otherwise rules suggest.
     """
     start, end = F.timestamp_seconds("start_time"), F.timestamp_seconds("end_time")
     df = stays.withColumn("grid_id", geo.tile_id("center_lat", "center_lon", zoom)).withColumn("hour", F.hour(start)).withColumn("weekday", F.dayofweek(start) - 1)
@@ -89,10 +99,13 @@ def stay_annotation(stays: DataFrame, segments: DataFrame, anchors: DataFrame |
     df = asof(df, seg, "end_time", "_s", ["track_id"], ["mode", "segment_id"], "departure", forward=True)
     known, last = F.lit(None).cast("string"), F.lit(None).cast("string")
     if anchors is not None:
-        df = df.join(anchors.groupBy("grid_id").agg(F.min("type").alias("_anchor")), "grid_id", "left")
+        for c in ("active_from_ts", "active_to_ts"):
+            anchors = anchors if c in anchors.columns else anchors.withColumn(c, F.lit(None).cast("long"))
+        df = valid_at(df, anchors, "start_time", "grid_id", "type", "active_from_ts", "active_to_ts", "_anchor")
         known = F.col("_anchor")
     if labels is not None:
-        df = df.join(labels.groupBy("grid_id").agg(F.max_by("label", "updated_at").alias("_label")), "grid_id", "left")
+        sure = labels.where(F.col("confirmed").cast("boolean")) if "confirmed" in labels.columns else labels
+        df = asof(df, sure.where("grid_id is not null"), "start_time", "updated_at", ["grid_id"], ["label"], "_said").withColumn("_label", F.col("_said.label")).drop("_said")
         last = F.col("_label")
 
     def suggestion(rule: Column, label: str | Column, sure: float, *reasons: str) -> Column:
@@ -113,7 +126,7 @@ def stay_annotation(stays: DataFrame, segments: DataFrame, anchors: DataFrame |
 
 
 def spatial_persona(footprint: DataFrame, segments: DataFrame, cells: DataFrame) -> DataFrame:
-    """One row of scores from 0 to 100: mobility, exploration, routine, diversity, the commonest mode and insights."""
+    """One row of scores from 0 to 100: mobility, exploration, routine, diversity, the commonest mode and codes of insights."""
     whole = footprint.where("bucket_type = 'all'")
     seen = whole.agg(F.count_if(F.col("area_type") == "PROVINCE").alias("provinces"), F.count_if(F.col("area_type") == "CITY").alias("cities"), F.sum(F.when(F.col("area_type") == "PROVINCE", F.col("total_distance"))).alias("d"))
     modes = segments.groupBy("mode").agg(F.count("*").alias("n"), F.sum(F.col("avg_speed_kmh")).alias("v"))
@@ -133,7 +146,7 @@ def spatial_persona(footprint: DataFrame, segments: DataFrame, cells: DataFrame)
     )
     m, e, r, d = (F.col(f"{x}_score") for x in ("mobility", "exploration", "routine", "diversity"))
     said = F.array(
-        F.when(m > 80, "very mobile").when(m < 30, "mostly at rest"), F.when(e > 80, "explorer").when(e < 30, "prefers known places"), F.when(r > 70, "regular").when(r < 30, "changeable"), F.when(d > 70, "many ways to travel"),
-        F.concat(F.lit("mostly by "), "primary_mode"),
+        F.when(m > 80, "VERY_MOBILE").when(m < 30, "MOSTLY_AT_REST"), F.when(e > 80, "EXPLORER").when(e < 30, "KNOWN_PLACES"), F.when(r > 70, "REGULAR").when(r < 30, "CHANGEABLE"), F.when(d > 70, "MANY_WAYS"),
+        F.concat(F.lit("BY_"), "primary_mode"),
     )
     return out.withColumn("insights", F.array_compact(said))

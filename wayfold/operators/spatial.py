@@ -195,7 +195,7 @@ def altitude_events(points: DataFrame, plateau_m: float = 10.0, min_m: float = 5
     change = F.col("l.altitude") - F.col("f._b.altitude")
     out = out.select(
         "track_id", F.col("kind").alias("event_type"), F.col("f._b.data_time").alias("start_time"), F.col("l.data_time").alias("end_time"), (F.col("l.data_time") - F.col("f._b.data_time")).alias("duration_s"),
-        F.col("f._b.altitude").alias("start_altitude"), F.col("l.altitude").alias("end_altitude"), change.alias("altitude_change"), distance.alias("distance_m"), "steps",
+        F.col("f._b.lat").alias("start_lat"), F.col("f._b.lon").alias("start_lon"), F.col("f._b.altitude").alias("start_altitude"), F.col("l.altitude").alias("end_altitude"), change.alias("altitude_change"), distance.alias("distance_m"), "steps",
     )
     out = out.where((F.abs("altitude_change") >= min_m) & (F.col("duration_s") >= min_s))
     return out.withColumn("avg_grade", F.when(F.col("distance_m") > 0, F.try_divide("altitude_change", "distance_m") * 100).otherwise(0.0))

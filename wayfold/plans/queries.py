@@ -91,14 +91,6 @@ def outlier_rate_by_band(spark: SparkSession, folder: str) -> DataFrame:
     return marked.agg(F.count("*").alias("n"), F.count_if("outlier").alias("outliers"), F.round(F.count_if("outlier") / F.count("*"), 6).alias("rate"))
 
 
-def outliers_by_pattern(spark: SparkSession, folder: str) -> DataFrame:
-    """Held against a plain Python statement in the tests."""
-    return foundation.flag_outliers_by_pattern(trace_points(spark, folder)).select("id", i("outlier"), j("reasons"), "qa_status")
-
-
-QUERIES["outliers_by_pattern"] = outliers_by_pattern
-
-
 @query(sql("clean", """SELECT track_id, id AS after_id, CAST(k AS INT) AS k, CAST(data_time + floor(dt * (k / (c + 1))) AS BIGINT) AS data_time, round(lat + (nlat - lat) * (k / (c + 1)), 8) AS lat, round(lon + (nlon - lon) * (k / (c + 1)), 8) AS lon,
   round(altitude + (nalt - altitude) * (k / (c + 1)), 8) AS altitude, round(speed + (nspeed - speed) * (k / (c + 1)), 8) AS speed FROM (
   SELECT *, unnest(range(1, c + 1)) AS k FROM (SELECT *, least(dt // 60, 30) AS c FROM (SELECT * EXCLUDE (dt, hop), lead(data_time) OVER w - data_time AS dt, lead(lat) OVER w AS nlat, lead(lon) OVER w AS nlon, lead(altitude) OVER w AS nalt, lead(speed) OVER w AS nspeed
@@ -488,40 +480,59 @@ def render_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return presentation.rendering_metadata(p, behavior.transport_segments(p)).select("segment_id", "lod_level", "speed_bucket", r("overlap_rank"), r("line_weight"))
 
 
-@query(sql("seg stay", """SELECT start_time AS marker_time, 'segment_start' AS marker_type, mode || ' Start' AS label, segment_id AS source_id FROM (SELECT * FROM seg ORDER BY start_time, segment_id LIMIT 1000) UNION ALL
-  SELECT end_time, 'segment_end', mode || ' End', segment_id FROM (SELECT * FROM seg ORDER BY start_time, segment_id LIMIT 1000) UNION ALL
-  SELECT start_time, 'stay', 'Stay (' || duration_s // 3600 || 'h)', stay_id FROM (SELECT * FROM stay ORDER BY start_time, stay_id LIMIT 500)""", "user_id"))
-def time_axis_markers(spark: SparkSession, folder: str) -> DataFrame:
-    """The viewer's limits are part of this operator."""
-    p = user_points(spark, folder)
-    s = behavior.transport_segments(p)
-    none_fast, none_steep = behavior.speed_events(p, min_speed=1e9), spatial.altitude_events(p, min_m=1e9)
-    return presentation.time_axis_markers(s, behavior.admin_stays(p), none_fast, none_steep).select("marker_time", "marker_type", "label", "source_id")
-
-
-@query(ORACLES["time_axis_markers"].replace("\nSELECT start_time AS marker_time", """,
-fast AS (SELECT * FROM (SELECT min(sid) AS segment_id, max(speed) AS top, min(data_time) AS t0, max(data_time) AS t1, first(data_time ORDER BY speed DESC, data_time, id) AS peak_time FROM (
+_EVENTS = {
+    "fast": """SELECT * FROM (SELECT min(sid) AS segment_id, first(lat ORDER BY speed DESC, data_time, id) AS lat, first(lon ORDER BY speed DESC, data_time, id) AS lon, max(speed) AS top, min(data_time) AS t0, max(data_time) AS t1, first(data_time ORDER BY speed DESC, data_time, id) AS peak_time FROM (
     SELECT *, sum(CASE WHEN pt IS NULL OR (low > pt AND low - pt > 10) THEN 1 ELSE 0 END) OVER (PARTITION BY track_id, run ORDER BY data_time, id) AS ev FROM (
       SELECT *, lag(data_time) OVER (PARTITION BY track_id, run ORDER BY data_time, id) AS pt FROM (
         SELECT *, last_value(CASE WHEN speed < 33.33 THEN data_time END IGNORE NULLS) OVER w AS low, first_value(id) OVER w AS sid, max(data_time) OVER (PARTITION BY track_id, run) - min(data_time) OVER (PARTITION BY track_id, run) AS s
         FROM runs WHERE mode = 'CAR' WINDOW w AS (PARTITION BY track_id, run ORDER BY data_time, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
       WHERE s >= 10 AND speed >= 33.33))
-  GROUP BY track_id, run, ev) WHERE t1 - t0 >= 60),
-steep AS (SELECT track_id, k, t0, a1 - a0 AS change FROM (
-  SELECT track_id, k, first(pt ORDER BY data_time, id) AS t0, max(data_time) AS t1, first(pa ORDER BY data_time, id) AS a0, last(altitude ORDER BY data_time, id) AS a1 FROM (
+  GROUP BY track_id, run, ev) WHERE t1 - t0 >= 60""",
+    "steep": """SELECT track_id, k, t0, a1 - a0 AS change, lat, lon FROM (
+  SELECT track_id, k, first(pt ORDER BY data_time, id) AS t0, first(plat ORDER BY data_time, id) AS lat, first(plon ORDER BY data_time, id) AS lon, max(data_time) AS t1, first(pa ORDER BY data_time, id) AS a0, last(altitude ORDER BY data_time, id) AS a1 FROM (
     SELECT *, sum(CASE WHEN pk = k THEN 0 ELSE 1 END) OVER (PARTITION BY track_id ORDER BY data_time, id) AS run FROM (
       SELECT *, lag(k) OVER (PARTITION BY track_id ORDER BY data_time, id) AS pk FROM (
         SELECT *, CASE WHEN altitude - pa > 10 THEN 'CLIMB' WHEN altitude - pa < -10 THEN 'DESCENT' ELSE 'FLAT' END AS k FROM (
-          SELECT *, lag(altitude) OVER w AS pa, lag(data_time) OVER w AS pt FROM clean WHERE altitude > -500 AND altitude < 9000 WINDOW w AS (PARTITION BY track_id ORDER BY data_time, id)))))
-  WHERE k <> 'FLAT' GROUP BY track_id, run, k) WHERE abs(a1 - a0) >= 100 AND t1 - t0 >= 300)
-SELECT start_time AS marker_time""") + """ UNION ALL
-  SELECT peak_time, 'speed_event', 'Speed ' || CAST(round(top * 3.6) AS BIGINT) || ' km/h', segment_id FROM (SELECT * FROM fast ORDER BY peak_time, segment_id LIMIT 200) UNION ALL
-  SELECT t0, 'altitude_event', k || ' ' || CAST(round(change) AS BIGINT) || 'm', track_id FROM (SELECT * FROM steep ORDER BY t0, track_id LIMIT 200)""")
+          SELECT *, lag(altitude) OVER w AS pa, lag(data_time) OVER w AS pt, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM clean WHERE altitude > -500 AND altitude < 9000 WINDOW w AS (PARTITION BY track_id ORDER BY data_time, id)))))
+  WHERE k <> 'FLAT' GROUP BY track_id, run, k) WHERE abs(a1 - a0) >= 100 AND t1 - t0 >= 300""",
+}
+
+
+def _markers(limited: bool) -> str:
+    """Markers of all kinds, the earliest of each as a viewer limits them, or all."""
+
+    def cut(table: str, order: str, most: int) -> str:
+        return f"(SELECT * FROM {table}" + (f" ORDER BY {order} LIMIT {most})" if limited else ")")
+
+    def pick(values: dict[str, str], other: str) -> str:
+        return "CASE mode " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + f" ELSE '{other}' END"
+
+    look = f"{pick(presentation.MODE_ICONS, presentation.OTHER_ICON)} AS icon, {pick(presentation.MODE_COLOURS, presentation.OTHER_COLOUR)} AS color"
+    seg, stay = cut("seg", "start_time, segment_id", 1000), cut("stay", "start_time, stay_id", 500)
+    return f"""SELECT marker_time, marker_type, entity_id, entity_type, round(lat, 6) AS lat, round(lon, 6) AS lon, label, icon, color FROM (
+  SELECT start_time AS marker_time, 'SEGMENT_START' AS marker_type, segment_id AS entity_id, 'SEGMENT' AS entity_type, start_lat AS lat, start_lon AS lon, mode || ' Start' AS label, {look} FROM {seg} UNION ALL
+  SELECT end_time, 'SEGMENT_END', segment_id, 'SEGMENT', end_lat, end_lon, mode || ' End', {look} FROM {seg} UNION ALL
+  SELECT start_time, 'STAY', stay_id, 'STAY', center_lat, center_lon, 'Stay (' || duration_s // 3600 || 'h)', 'pin', '{presentation.STAY_COLOUR}' FROM {stay} UNION ALL
+  SELECT peak_time, 'EVENT', segment_id, 'SPEED_EVENT', lat, lon, 'Speed ' || CAST(round(top * 3.6) AS BIGINT) || ' km/h', 'flash', '{presentation.SPEED_COLOUR}' FROM {cut("fast", "peak_time, segment_id", 200)} UNION ALL
+  SELECT t0, 'EVENT', track_id, 'ALTITUDE_EVENT', lat, lon, k || ' ' || CAST(round(change) AS BIGINT) || 'm', CASE k WHEN 'DESCENT' THEN 'arrow-down' ELSE 'mountain' END, '{presentation.ALTITUDE_COLOUR}' FROM {cut("steep", "t0, track_id", 200)})"""
+
+
+def _marked(spark: SparkSession, folder: str, **most: object) -> DataFrame:
+    p = stored(user_points(spark, folder), "points")
+    found = presentation.time_axis_markers(behavior.transport_segments(p), behavior.admin_stays(p), behavior.speed_events(p), spatial.altitude_events(p), **most)
+    return found.withColumn("lat", r("lat", 6)).withColumn("lon", r("lon", 6))
+
+
+@query(sql("seg stay", _markers(True), "user_id", _EVENTS))
+def time_axis_markers(spark: SparkSession, folder: str) -> DataFrame:
+    """The viewer's limits are part of this operator."""
+    return _marked(spark, folder)
+
+
+@query(sql("seg stay", _markers(False), "user_id", _EVENTS))
 def time_axis_markers_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Markers of all kinds, speed and altitude events too; time_axis_markers has none of these. The viewer's limits are part of this operator."""
-    p = user_points(spark, folder)
-    found = presentation.time_axis_markers(behavior.transport_segments(p), behavior.admin_stays(p), behavior.speed_events(p), spatial.altitude_events(p))
-    return found.select("marker_time", "marker_type", "label", "source_id")
+    """Every marker, without limits."""
+    return _marked(spark, folder, most=None)
 
 
 @query(sql("seg stay", f"""SELECT s.stay_id, CAST(hour({ts("s.start_time")}) AS INT) AS hour, CAST(dayofweek({ts("s.start_time")}) AS INT) AS weekday, CAST(day({ts("s.start_time")}) <> day({ts("s.end_time")}) AS INT) AS is_overnight, round(s.duration_s / 3600, 5) AS hours,
@@ -532,10 +543,6 @@ def stay_annotation(spark: SparkSession, folder: str) -> DataFrame:
     return noted.select("stay_id", "hour", "weekday", i("is_overnight"), r("hours", 5), F.col("arrival.mode").alias("arrival"), F.col("departure.mode").alias("departure"))
 
 
-QUERIES["stay_suggestions"] = lambda spark, folder: presentation.stay_annotation(stays(spark, folder), user_segments(spark, folder)).select("stay_id", F.array_join(F.transform("suggestions", lambda s: s["label"]), ",").alias("labels"))
-QUERIES["spatial_persona"] = lambda spark, folder: presentation.spatial_persona(statistics.footprint(points(spark, folder)), segments(spark, folder), cells(spark, folder)).withColumn("insights", j("insights"))
-
-
 @query(sql("points", "SELECT id, data_time, round(speed, 4) AS speed FROM points WHERE province = 'ASIA' AND speed >= 20 ORDER BY data_time DESC, id DESC LIMIT 100 OFFSET 100"))
 def track_points_page(spark: SparkSession, folder: str) -> DataFrame:
     return serving.serve(trace_points(spark, folder), serving.VIEWS["track_points"], page=2, province="ASIA", min_speed=20).select("id", "data_time", r("speed", 4))

@@ -1,12 +1,16 @@
-"""Queries over loads and dictionaries: dense ids, anchors and labels that are valid for a time."""
+"""Queries over loads, dictionaries and rules: dense ids, anchors and labels that are valid for a time, stricter outliers, the persona."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.plans.oracles import sql
-from wayfold.plans.queries import query, r
+from wayfold.functions import geo
+from wayfold.operators import behavior, foundation, presentation, spatial, statistics
+from wayfold.plans import queries as q
+from wayfold.plans.oracles import entropy, hav, sql, tile_id, ts
+from wayfold.plans.queries import i, j, query, r
+from wayfold.plans.storage import stored
 from wayfold.sources.counters import numbered
 from wayfold.sources.trace import trace_points
 
@@ -16,3 +20,81 @@ def numbered_fixes(spark: SparkSession, folder: str) -> DataFrame:
     """All fixes with dense numbers in the order of time, as a load gives them."""
     fixes = trace_points(spark, folder).select(F.col("id").alias("event_id"), "data_time", "speed")
     return numbered(fixes, ["data_time", "event_id"]).select("id", "event_id", "data_time", r("speed", 4))
+
+
+_DRIFT = hav("lats[i]", "lons[i]", "mlat", "mlon")
+_PATTERN = {
+    "seen": f"""SELECT *, lag(data_time) OVER w AS bt, lag(data_time, 2) OVER w AS t2, {hav("lag(lat) OVER w", "lag(lon) OVER w", "lat", "lon")} AS leg, {hav("lag(lat, 2) OVER w", "lag(lon, 2) OVER w", "lat", "lon")} AS back,
+    {hav("lag(lat, 2) OVER w", "lag(lon, 2) OVER w", "lag(lat) OVER w", "lag(lon) OVER w")} AS leg2, list(lat) OVER last AS lats, list(lon) OVER last AS lons, avg(lat) OVER last AS mlat, avg(lon) OVER last AS mlon
+  FROM points WINDOW w AS (PARTITION BY track_id ORDER BY data_time, id), last AS (PARTITION BY track_id ORDER BY data_time, id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
+    "far": f"SELECT id, max({_DRIFT}) AS m, count(DISTINCT (lats[i], lons[i])) AS places, count(*) AS n FROM (SELECT id, lats, lons, mlat, mlon, unnest(range(1, len(lats) + 1)) AS i FROM seen) GROUP BY id",
+    "ruled": """SELECT id, coalesce(data_time - bt > 0 AND data_time - bt <= 3600 AND leg / nullif(data_time - bt, 0) * 3.6 > 300, FALSE) AS jump, coalesce(back <= 50 AND data_time - t2 <= 300 AND leg >= 10 AND leg2 >= 10, FALSE) AS backtrack,
+    coalesce(n >= 5 AND m < 20 AND places > 1, FALSE) AS drift, coalesce(accuracy, 0) > 100 AS low FROM seen JOIN far USING (id)""",
+}
+
+
+@query(sql("points", """SELECT id, CAST(jump OR backtrack OR drift AS INT) AS outlier, concat_ws(',', CASE WHEN jump THEN 'JUMP' END, CASE WHEN backtrack THEN 'BACKTRACK' END, CASE WHEN drift THEN 'STATIC_DRIFT' END, CASE WHEN low THEN 'LOW_ACCURACY' END) AS reasons,
+  CASE WHEN jump OR backtrack OR drift THEN 'FAIL' WHEN low THEN 'WARNING' ELSE 'PASS' END AS qa_status FROM ruled""", more=_PATTERN))
+def outliers_by_pattern(spark: SparkSession, folder: str) -> DataFrame:
+    """All fixes under the stricter rules."""
+    return foundation.flag_outliers_by_pattern(trace_points(spark, folder)).select("id", i("outlier"), j("reasons"), "qa_status")
+
+
+def _anchors(stay: DataFrame) -> DataFrame:
+    """Anchors at the cells of every third stay, each valid for some days around it, some for ever."""
+    own = stay.where(F.col("stay_id") % 3 == 0)
+    kind = F.when(F.col("stay_id") % 2 == 0, "HOME").otherwise("WORK")
+    until = F.when(F.col("stay_id") % 4 != 0, F.col("start_time") + 864_000)
+    return own.select(kind.alias("type"), "grid_id", (F.col("start_time") - 432_000).alias("active_from_ts"), until.alias("active_to_ts"))
+
+
+def _labels(stay: DataFrame) -> DataFrame:
+    """Labels given after every second stay, not all confirmed."""
+    own = stay.where(F.col("stay_id") % 2 == 1)
+    return own.select("grid_id", F.concat(F.lit("L-"), "town").alias("label"), F.col("end_time").alias("updated_at"), F.when(F.col("stay_id") % 5 != 0, 1).otherwise(0).alias("confirmed"))
+
+
+_NOTED = {
+    "s": f"SELECT *, {tile_id('center_lat', 'center_lon', 15)} AS grid_id, hour({ts('start_time')}) AS h, dayofweek({ts('start_time')}) AS wd, day({ts('start_time')}) <> day({ts('end_time')}) AS night_over, duration_s / 3600 AS hours FROM stay",
+    "anchor": "SELECT CASE WHEN stay_id % 2 = 0 THEN 'HOME' ELSE 'WORK' END AS type, grid_id, start_time - 432000 AS f, CASE WHEN stay_id % 4 <> 0 THEN start_time + 864000 END AS t FROM s WHERE stay_id % 3 = 0",
+    "said": "SELECT grid_id, 'L-' || town AS label, end_time AS u FROM s WHERE stay_id % 2 = 1 AND stay_id % 5 <> 0",
+    "k": """SELECT s.*, (SELECT type FROM anchor a WHERE a.grid_id = s.grid_id AND f <= s.start_time AND (t IS NULL OR s.start_time < t) ORDER BY f DESC, type LIMIT 1) AS known,
+    (SELECT label FROM said l WHERE l.grid_id = s.grid_id AND u <= s.start_time ORDER BY u DESC, label DESC LIMIT 1) AS last,
+    EXISTS (SELECT 1 FROM seg g WHERE g.track_id = s.track_id AND g.end_time <= s.start_time) AND EXISTS (SELECT 1 FROM seg g WHERE g.track_id = s.track_id AND g.start_time >= s.end_time) AS between_ FROM s""",
+}
+
+
+@query(sql("seg stay", """SELECT stay_id, coalesce(known, concat_ws(',', CASE WHEN length(last) > 0 THEN last END, CASE WHEN night_over AND (h >= 22 OR h < 6) AND hours >= 6 THEN 'HOME' END, CASE WHEN wd BETWEEN 1 AND 5 AND h BETWEEN 8 AND 18 AND hours >= 4 THEN 'WORK' END,
+  CASE WHEN (h BETWEEN 11 AND 14 OR h BETWEEN 17 AND 20) AND hours BETWEEN 0.5 AND 2 THEN 'EAT' END, CASE WHEN (h >= 22 OR h < 6) AND hours BETWEEN 4 AND 10 THEN 'SLEEP' END, CASE WHEN hours < 1 AND between_ THEN 'TRANSIT' END)) AS labels FROM k""", "user_id", _NOTED))
+def stay_suggestions(spark: SparkSession, folder: str) -> DataFrame:
+    """Suggestions with anchors that overlap in time and labels of which some are confirmed."""
+    p = stored(q.user_points(spark, folder), "points")
+    stay = behavior.admin_stays(p)
+    placed = stay.withColumn("grid_id", geo.tile_id("center_lat", "center_lon", 15))
+    noted = presentation.stay_annotation(stay, behavior.transport_segments(p), _anchors(placed), _labels(placed))
+    return noted.select("stay_id", F.array_join(F.transform("suggestions", lambda s: s["label"]), ",").alias("labels"))
+
+
+_SCORES = {
+    "a": "SELECT count(DISTINCT province) FILTER (province <> '') AS provinces, count(DISTINCT city) FILTER (city <> '') AS cities, sum(distance) FILTER (province <> '') AS d FROM clean",
+    "m": "SELECT mode, count(*) AS n, sum(avg_speed_kmh) AS v FROM seg GROUP BY mode",
+    "w": f"SELECT sum(v) / sum(n) AS kmh, {entropy('n')} AS h, arg_max(mode, (n, mode)) AS primary_mode FROM m",
+    "u": "SELECT count(*) AS grids, sum(visit_count) AS visits FROM cell",
+    "v": """SELECT round(0.7E0 * least(100, coalesce(d / 1000, 0) / 10000 * 100) + 0.3E0 * least(100, coalesce(kmh, 0) / 50 * 100), 2) AS mobility_score,
+    round(0.3E0 * least(100, provinces / 30 * 100) + 0.3E0 * least(100, cities / 300 * 100) + 0.4E0 * least(100, grids / 1000 * 100), 2) AS exploration_score,
+    round(coalesce((visits - grids) * 100.0E0 / visits, 0), 2) AS routine_score, round(coalesce(h, 0) / log2(5) * 100, 2) AS diversity_score, primary_mode FROM a, w, u""",
+}
+
+
+@query(sql("clean seg cell", """SELECT *, concat_ws(',', CASE WHEN mobility_score > 80 THEN 'VERY_MOBILE' WHEN mobility_score < 30 THEN 'MOSTLY_AT_REST' END, CASE WHEN exploration_score > 80 THEN 'EXPLORER' WHEN exploration_score < 30 THEN 'KNOWN_PLACES' END,
+  CASE WHEN routine_score > 70 THEN 'REGULAR' WHEN routine_score < 30 THEN 'CHANGEABLE' END, CASE WHEN diversity_score > 70 THEN 'MANY_WAYS' END, 'BY_' || primary_mode) AS insights FROM v""", more=_SCORES))
+def spatial_persona(spark: SparkSession, folder: str) -> DataFrame:
+    p = stored(q.points(spark, folder), "points")
+    return presentation.spatial_persona(statistics.footprint(p), behavior.transport_segments(p), spatial.grid_cells(p)).withColumn("insights", j("insights"))
+
+
+@query(sql("seg", """SELECT segment_id, mode, CASE WHEN avg_speed_kmh >= 60 AND duration_s >= 300 THEN 'HIGH_SPEED_STREAK' ELSE 'WALKING_STREAK' END AS streak_type FROM seg
+  WHERE (avg_speed_kmh >= 60 AND duration_s >= 300) OR (mode = 'WALK' AND distance_m >= 2000)"""))
+def segment_streaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Long fast rides and long walks."""
+    return behavior.segment_streaks(q.segments(spark, folder), fast_kmh=60.0, fast_s=300).select("segment_id", "mode", "streak_type")

@@ -114,6 +114,23 @@ def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, on:
     return running(both, chunk_s, on, order, "_t", forward, lasts={name: F.col(name)}).where("_side = 1").select(*columns, name)
 
 
+def valid_at(left: DataFrame, dictionary: DataFrame, time: str, on: str, value: str, start: str, end: str, name: str, chunk_s: int | None = None) -> DataFrame:
+    """left with `name`, the value of the dictionary's entry for its key that is valid at its time, or null.
+
+    An entry is valid from its start (null: always) until before its end (null: for ever). Of several valid ones the latest
+    begun counts, of equals the least value. Entries are first cut to pieces of one answer each, by joining the ends of a
+    key's entries with its entries; then one as-of lookup serves each row, however many entries there are.
+    """
+    first = F.lit(-(1 << 62))
+    entries = dictionary.select(F.col(on).alias("_key"), F.col(value).alias("_value"), F.coalesce(F.col(start).cast("long"), first).alias("_from"), F.col(end).cast("long").alias("_to")).where("_key is not null")
+    edges = entries.select("_key", F.explode(F.array("_from", "_to")).alias("_edge")).where("_edge is not null").distinct()
+    covers = (F.col("e._key") == F.col("d._key")) & (F.col("_from") <= F.col("_edge")) & (F.col("_to").isNull() | (F.col("_edge") < F.col("_to")))
+    met = edges.alias("e").join(entries.alias("d"), covers, "left")
+    best = met.groupBy(F.col("e._key").alias(on), "_edge").agg(F.min(F.when(F.col("_value").isNotNull(), F.struct((-F.col("_from")).alias("a"), F.col("_value").alias("v")))).alias("_best"))
+    pieces = best.select(on, "_edge", F.col("_best.v").alias("_v"))
+    return asof(left, pieces, time, "_edge", [on], ["_v"], "_piece", chunk_s=chunk_s).withColumn(name, F.col("_piece._v")).drop("_piece")
+
+
 def fan_out(df: DataFrame, areas: dict[str, Column], buckets: dict[str, Column]) -> DataFrame:
     """Each row once per (area, bucket): area_type, area_key, bucket_type, bucket_key. Empty area names are left out."""
 

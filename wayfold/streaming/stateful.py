@@ -118,34 +118,39 @@ class Crossings(InOrder):
 class AltitudeRuns(InOrder):
     """Climbs and descents, as spatial.altitude_events. The open run is state until a step of another kind ends it."""
 
-    fields = {"altitude": "double", "distance": "double"}
-    OUT = ["event_type", "start_time", "end_time", "duration_s", "start_altitude", "end_altitude", "altitude_change", "distance_m", "steps"]
+    fields = {"altitude": "double", "distance": "double", "lat": "double", "lon": "double"}
+    OUT = ["event_type", "start_time", "end_time", "duration_s", "start_lat", "start_lon", "start_altitude", "end_altitude", "altitude_change", "distance_m", "steps"]
 
     def __init__(self, plateau_m: float, min_m: float, min_s: int):
         self.plateau_m, self.min_m, self.min_s = plateau_m, min_m, min_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.open = handle.getValueState("open", "kind string, start_time long, start_altitude double, distance double, steps long")
+        self.open = handle.getValueState("open", "kind string, start_time long, start_lat double, start_lon double, start_altitude double, distance double, steps long")
 
     def released(self, frame: pd.DataFrame, known: bool) -> pd.DataFrame:
         high, time = frame["altitude"].to_numpy(dtype=float), frame["data_time"].to_numpy(dtype=np.int64)
         hop = np.nan_to_num(frame["distance"].to_numpy(dtype=float))
         step = np.diff(high)
         kind = np.where(step > self.plateau_m, "CLIMB", np.where(step < -self.plateau_m, "DESCENT", "FLAT")).astype(object)
-        current = tuple(self.open.get()) if self.open.exists() else ("FLAT", int(time[0]), float(high[0]), 0.0, 0)
+        lat, lon = (frame[c].astype(float).astype(object).where(frame[c].notna(), None).to_numpy() for c in ("lat", "lon"))
+
+        def begun(kind: str, at: int) -> tuple:
+            return kind, int(time[at]), lat[at], lon[at], float(high[at])
+
+        current = tuple(self.open.get()) if self.open.exists() else (*begun("FLAT", 0), 0.0, 0)
         done = []
         cuts = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]])) if len(kind) else []
         for a, b in zip(cuts, [*cuts[1:], len(kind)]):
             # steps a..b-1 lead from fix a to fix b
             if kind[a] == current[0]:
-                current = (*current[:3], current[3] + float(hop[a + 1 : b + 1].sum()), current[4] + int(b - a))
+                current = (*current[:5], current[5] + float(hop[a + 1 : b + 1].sum()), current[6] + int(b - a))
             else:
                 done.append((current, int(time[a]), float(high[a])))
                 skip = hop[a + 1] if current[0] == "FLAT" else 0.0
-                current = (kind[a], int(time[a]), float(high[a]), float(hop[a + 1 : b + 1].sum() - skip), int(b - a))
+                current = (*begun(kind[a], a), float(hop[a + 1 : b + 1].sum() - skip), int(b - a))
         self.open.update(current)
-        rows = [(k, s, t, t - s, a, z, z - a, d, n) for (k, s, a, d, n), t, z in done if k != "FLAT" and abs(z - a) >= self.min_m and t - s >= self.min_s]
+        rows = [(k, s, t, t - s, y, x, a, z, z - a, d, n) for (k, s, y, x, a, d, n), t, z in done if k != "FLAT" and abs(z - a) >= self.min_m and t - s >= self.min_s]
         return pd.DataFrame(rows, columns=self.OUT)
 
 
@@ -163,6 +168,6 @@ def crossings(points: DataFrame, late: str = "1 day") -> DataFrame:
 
 def altitude_events(points: DataFrame, plateau_m: float = 10.0, min_m: float = 50.0, min_s: int = 300, late: str = "1 day") -> DataFrame:
     """The rows of spatial.altitude_events over a stream of points; a run appears once a step of another kind has ended it."""
-    out = "event_type string, start_time long, end_time long, duration_s long, start_altitude double, end_altitude double, altitude_change double, distance_m double, steps long"
+    out = "event_type string, start_time long, end_time long, duration_s long, start_lat double, start_lon double, start_altitude double, end_altitude double, altitude_change double, distance_m double, steps long"
     found = _run(points.where("altitude > -500 and altitude < 9000"), AltitudeRuns(plateau_m, min_m, min_s), late, out)
     return found.withColumn("avg_grade", F.when(F.col("distance_m") > 0, F.try_divide("altitude_change", "distance_m") * 100).otherwise(0.0))
