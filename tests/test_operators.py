@@ -174,3 +174,38 @@ def test_stream_equals_batch(spark, tmp_path):
     a, b = frame(spark, rows[:17]), frame(spark, rows[17:])
     both = live.merged(live.daily_totals(a), live.daily_totals(b))
     assert sorted(map(tuple, both.collect())) == sorted(map(tuple, live.daily_totals(frame(spark, rows)).collect()))
+
+
+def test_simplified_lines_against_recursion(spark):
+    from wayfold.operators.temporal import douglas_peucker
+
+    def kept(pts, eps):
+        """The rule by recursion: indexes that stay."""
+        if len(pts) < 3:
+            return [p[0] for p in pts]
+        (_, ay, ax), (_, by, bx) = pts[0], pts[-1]
+
+        def away(p):
+            dx, dy = bx - ax, by - ay
+            chord = math.hypot(dx, dy)
+            return abs(dx * (p[1] - ay) - dy * (p[2] - ax)) / chord if chord else math.hypot(p[2] - ax, p[1] - ay)
+
+        k = max(range(1, len(pts) - 1), key=lambda i: away(pts[i]))
+        if away(pts[k]) <= eps:
+            return [pts[0][0], pts[-1][0]]
+        return kept(pts[: k + 1], eps)[:-1] + kept(pts[k:], eps)
+
+    rng = random.Random(6)
+    for n in (1, 2, 3, 50, 400):
+        pts = [(k, rng.uniform(0, 1), rng.uniform(0, 1) + k / 50) for k in range(n)]
+        if n == 50:
+            pts[-1] = (n - 1, *pts[0][1:])  # a closed line
+        for eps in (0.0, 0.05, 0.3, 5.0):
+            keep = douglas_peucker(np.array([p[1] for p in pts]), np.array([p[2] for p in pts]), eps)
+            assert np.flatnonzero(keep).tolist() == sorted(set(kept(pts, eps)))
+    rows = [point(k, 86_400 * (k // 20) + k, lat=22 + rng.random() / 100, lon=113 + rng.random() / 100) for k in range(60)]
+    found = {(r["chunk"], r["epsilon"]): [(p["lat"], p["lon"]) for p in r["line"]] for r in temporal.simplified_lines(frame(spark, rows)).collect()}
+    for chunk in range(3):
+        own = [(k, r[3], r[4]) for k, r in enumerate(rows[20 * chunk : 20 * chunk + 20])]
+        for eps in temporal.EPSILONS:
+            assert found[chunk, eps] == [own[k][1:] for k in sorted(set(kept(own, eps)))]

@@ -161,6 +161,14 @@ def segment_streaks(segments: DataFrame, fast_kmh: float = 100.0, fast_s: int =
     return segments.withColumn("streak_type", kind).where("streak_type is not null")
 
 
+def fastest_segments(segments: DataFrame, limits: dict[str, float], most: int = 10) -> DataFrame:
+    """The fastest segments of each mode among those at or above the mode's limit (km/h), with place; modes without a limit
+    are left out. The window keeps `most` rows a mode and task before it shuffles."""
+    least = F.coalesce(*(F.when(F.col("mode") == m, F.lit(v)) for m, v in limits.items()))
+    w = Window.partitionBy("mode").orderBy(F.desc("max_speed_kmh"), "segment_id")
+    return segments.where(F.col("max_speed_kmh") >= least).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
 def speed_events(points: DataFrame, min_speed: float = 33.33, min_s: int = 60, gap: int = 10, mode: str = "CAR", min_run_s: int = 10, chunk_s: int | None = None) -> DataFrame:
     """Fast stretches inside segments of one mode. Low fixes end a stretch once one lies more than gap seconds after its
     last fast fix. The run number stays on the points, so segments need no range join."""

@@ -69,6 +69,12 @@ def geohash_cells(points: DataFrame, precisions: tuple[int, ...] = (4, 5, 6, 7,
     return wide.groupBy("level", "geohash").agg(F.sum("n").alias("point_count"), F.count_distinct("day").alias("visit_count"))
 
 
+def geohash_modes(points: DataFrame, precision: int = 6) -> DataFrame:
+    """Geohash cells with their fixes and the set of modes (a column of the points) seen in them."""
+    own = points.groupBy(geo.geohash("lat", "lon", precision).alias("geohash"), "mode").agg(F.count("*").alias("n"))
+    return own.groupBy("geohash").agg(F.sum("n").alias("point_count"), F.array_sort(F.collect_set("mode")).alias("modes"))
+
+
 def _descending(tenths: int) -> Place:
     return lambda n: n - 1 - F.least(n - 1, F.floor(n * tenths / 10))
 

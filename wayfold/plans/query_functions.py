@@ -47,11 +47,12 @@ def geohash_functions(spark: SparkSession, folder: str) -> DataFrame:
 _AROUND = [f"SELECT id, {geohash(f'y + {a} * 180.0E0 / 128', f'x + {b} * 360.0E0 / 256', 3)} AS h FROM c" for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 
 
-@query(sql("points", "SELECT id, string_agg(h, ',' ORDER BY h) AS around FROM (" + " UNION ".join(_AROUND) + ") GROUP BY id", more={"c": "SELECT id, (ceil((lat + 90.0E0) / 180.0E0 * 128) - 0.5E0) / 128 * 180 - 90 AS y, (ceil((lon + 180.0E0) / 360.0E0 * 256) - 0.5E0) / 256 * 360 - 180 AS x FROM points WHERE id % 10 = 0"}))
+@query(sql("points", "SELECT id, string_agg(h, ',' ORDER BY h) AS around FROM (" + " UNION ".join(_AROUND) + ") GROUP BY id", more={"c": "SELECT id, (ceil((lat + 90.0E0) / 180.0E0 * 128) - 0.5E0) / 128 * 180 - 90 AS y, (ceil((lon + 180.0E0) / 360.0E0 * 256) - 0.5E0) / 256 * 360 - 180 AS x FROM points"}))
 def geohash_around(spark: SparkSession, folder: str) -> DataFrame:
-    """The cells around those of every tenth event, which are places to look up and not a sample of them."""
-    p = trace_points(spark, folder).where("id % 10 = 0").withColumn("h", geo.geohash("lat", "lon", 3))
-    return p.select("id", F.array_join(F.array_sort(geo.geohash_neighbours("h", 3)), ",").alias("around"))
+    """The cells around those of all events."""
+    p = trace_points(spark, folder).select("id", geo.geohash("lat", "lon", 3).alias("h"))
+    cells = p.select("h").distinct().select("h", F.array_join(F.array_sort(geo.geohash_neighbours("h", 3)), ",").alias("around"))
+    return p.join(cells, "h").select("id", "around")
 
 
 @query("""WITH e AS (SELECT event_type, value AS x, user_id % 7 + 1 AS w, user_id % 10 AS k FROM events), m AS (SELECT event_type, first(k ORDER BY n DESC, k) AS mode FROM (SELECT event_type, k, count(*) AS n FROM e GROUP BY ALL) GROUP BY event_type)

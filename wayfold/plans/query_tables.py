@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.functions import geo
-from wayfold.operators import behavior, foundation, presentation, spatial, statistics
+from wayfold.functions import geo, stats
+from wayfold.operators import behavior, foundation, presentation, spatial, statistics, temporal
 from wayfold.plans import queries as q
-from wayfold.plans.oracles import entropy, hav, sql, tile_id, ts
+from wayfold.plans.oracles import entropy, geohash, hav, sql, tile_id, ts
 from wayfold.plans.queries import i, j, query, r
 from wayfold.plans.storage import stored
-from wayfold.sources.counters import numbered
-from wayfold.sources.trace import trace_points
+from wayfold.sources.counters import counter_totals, group_sums, numbered
+from wayfold.sources.trace import table, trace_points
 
 
 @query(sql("points", "SELECT row_number() OVER (ORDER BY data_time, id) AS id, id AS event_id, data_time, round(speed, 4) AS speed FROM points"))
@@ -98,3 +100,74 @@ def spatial_persona(spark: SparkSession, folder: str) -> DataFrame:
 def segment_streaks(spark: SparkSession, folder: str) -> DataFrame:
     """Long fast rides and long walks."""
     return behavior.segment_streaks(q.segments(spark, folder), fast_kmh=60.0, fast_s=300).select("segment_id", "mode", "streak_type")
+
+
+_COUNTED = "c AS (SELECT CAST(ts AS DATE) AS date, event_type AS name, value FROM events)"
+
+
+def _counted(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily counters from the events: their kinds are the names."""
+    return table(spark, folder, "events").select(F.to_date("ts").alias("date"), F.col("event_type").alias("name"), "value")
+
+
+@query(f"""WITH {_COUNTED}, g AS (SELECT date, unnest(['seen', 'done']) AS "group", unnest([sum(CASE WHEN name IN ('view', 'click') THEN value ELSE 0 END), sum(CASE WHEN name IN ('purchase', 'signup') THEN value ELSE 0 END)]) AS total FROM c GROUP BY date)
+  SELECT CAST(date AS VARCHAR) AS date, "group", round(total, 2) AS total FROM g""")
+def counter_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Sums of groups of counters by day, as charts draw them."""
+    sums = group_sums(_counted(spark, folder), {"seen": ("view", "click"), "done": ("purchase", "signup")})
+    return sums.select(F.col("date").cast("string").alias("date"), "group", r("total", 2))
+
+
+@query(f"WITH {_COUNTED} SELECT name, count(DISTINCT date) AS days, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date, round(sum(value), 2) AS total FROM c GROUP BY name")
+def counters_by_name(spark: SparkSession, folder: str) -> DataFrame:
+    found = counter_totals(_counted(spark, folder))
+    return found.select("name", "days", F.col("first_date").cast("string").alias("first_date"), F.col("last_date").cast("string").alias("last_date"), r("total", 2))
+
+
+_DAYS = ("day", "%Y-%m-%d"), ("month", "%Y-%m"), ("year", "%Y")
+
+
+@query(sql("seg", " UNION ALL ".join(f"SELECT '{g}' AS granularity, strftime({ts('start_time')}, '{f}') AS slice_key, count(*) AS segment_count, string_agg(DISTINCT mode, ',' ORDER BY mode) AS modes, min(start_time) AS first_time, max(end_time) AS last_time, round(sum(distance_m), 2) AS distance_m FROM seg GROUP BY 2" for g, f in _DAYS)))
+def mode_slices_of_all_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments by day, month and year."""
+    own = stored(q.segments(spark, folder), "segments")
+    parts = [temporal.mode_slices(own, g).withColumn("granularity", F.lit(g)) for g, _ in _DAYS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("granularity", "slice_key", "segment_count", j("modes"), "first_time", "last_time", r("distance_m", 2))
+
+
+_LIMITS = {"WALK": 5.0, "BIKE": 20.0, "CAR": 60.0, "TRAIN": 150.0, "PLANE": 220.0}
+
+
+@query(sql("seg", "SELECT mode, segment_id, CAST(k AS INT) AS place, round(max_speed_kmh, 4) AS max_speed_kmh FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY max_speed_kmh DESC, segment_id) AS k FROM seg WHERE max_speed_kmh >= CASE mode " + " ".join(f"WHEN '{m}' THEN {v}" for m, v in _LIMITS.items()) + " END) WHERE k <= 10"))
+def fastest_by_mode(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten fastest segments of each mode among those above the mode's own limit."""
+    return behavior.fastest_segments(q.segments(spark, folder), _LIMITS).select("mode", "segment_id", i("place"), r("max_speed_kmh", 4))
+
+
+@query(sql("runs", f"SELECT {geohash('lat', 'lon', 5)} AS geohash, count(*) AS point_count, string_agg(DISTINCT mode, ',' ORDER BY mode) AS modes FROM runs GROUP BY 1"))
+def modes_by_geohash(spark: SparkSession, folder: str) -> DataFrame:
+    """The modes by which each geohash cell was crossed."""
+    own = q.points(spark, folder).withColumn("mode", behavior.transport_mode())
+    return spatial.geohash_modes(own, 5).select("geohash", "point_count", j("modes"))
+
+
+@query(sql("clean", f"SELECT id, round(fmod(fmod(radians(heading) - 1 + pi(), 2 * pi()) + 2 * pi(), 2 * pi()) - pi(), 9) AS turn FROM clean"))
+def turns_in_radians(spark: SparkSession, folder: str) -> DataFrame:
+    """The turn from a bearing of one radian to each fix's heading."""
+    return q.points(spark, folder).select("id", r("turn", 9, geo.angular_difference_radians(F.lit(1.0), F.radians("heading"))))
+
+
+@query("SELECT event_type, round(-sum(p * ln(p)), 6) AS nats FROM (SELECT event_type, n / sum(n) OVER (PARTITION BY event_type) AS p FROM (SELECT event_type, user_id % 10 AS k, count(*) AS n FROM events GROUP BY ALL)) GROUP BY event_type")
+def entropy_in_nats(spark: SparkSession, folder: str) -> DataFrame:
+    counts = table(spark, folder, "events").groupBy("event_type", (F.col("user_id") % 10).alias("k")).agg(F.count("*").alias("n"))
+    return counts.groupBy("event_type").agg(r("nats", 6, stats.entropy("n", math.e)))
+
+
+@query(sql("stay seg", f"""SELECT origin_stay_id, dest_stay_id, segments, CASE WHEN a6 = b6 THEN 'ROUND_TRIP' WHEN e - s <= 7200 AND (hour({ts('s')}) BETWEEN 6 AND 10 OR hour({ts('s')}) BETWEEN 16 AND 20) THEN 'COMMUTE' ELSE 'ONE_WAY' END AS trip_type FROM (
+  SELECT s.stay_id AS origin_stay_id, nid AS dest_stay_id, s.geohash6 AS a6, n6 AS b6, count(*) AS segments, min(g.start_time) AS s, max(g.end_time) AS e
+  FROM (SELECT *, lead(start_time) OVER w AS until, lead(stay_id) OVER w AS nid, lead(geohash6) OVER w AS n6 FROM stay WINDOW w AS (PARTITION BY track_id ORDER BY start_time, stay_id)) s
+  JOIN seg g ON g.track_id = s.track_id AND g.start_time >= s.end_time AND g.end_time <= s.until WHERE until IS NOT NULL GROUP BY ALL)""", "user_id"))
+def trip_types(spark: SparkSession, folder: str) -> DataFrame:
+    """Trips between stays by their type."""
+    p = stored(q.user_points(spark, folder), "points")
+    return behavior.stay_trips(behavior.admin_stays(p), behavior.transport_segments(p)).select("origin_stay_id", "dest_stay_id", "segments", "trip_type")

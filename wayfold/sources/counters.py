@@ -89,3 +89,19 @@ def load_fixes(raw: DataFrame, folder: str, columns: list[str]) -> DataFrame:
     rows = numbered(kept, ["data_time"])
     tables.replace_all(raw.sparkSession, folder, rows, ["id"])
     return tables.read(raw.sparkSession, folder)
+
+
+#: Scan codes of the number pad, and the mouse's buttons and wheels.
+GROUPS = {"numpad": ("55", *map(str, range(71, 84))), "buttons": ("lbcount", "rbcount", "mbcount", "xbcount"), "wheels": ("wheel", "hwheel")}
+
+
+def group_sums(counted: DataFrame, groups: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(date, group, total) of counters: by day, the sum of each group's names; 0 on days that count others only."""
+    own = groups or GROUPS
+    sums = [F.sum(F.when(F.col("name").isin(*names), F.col("value")).otherwise(0.0)).alias(g) for g, names in own.items()]
+    return counted.groupBy("date").agg(*sums).unpivot("date", list(own), "group", "total")
+
+
+def counter_totals(counted: DataFrame) -> DataFrame:
+    """(name, days, first_date, last_date, total) of each counter."""
+    return counted.groupBy("name").agg(F.count_distinct("date").alias("days"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.sum("value").alias("total"))
