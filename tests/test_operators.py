@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wayfold.operators import behavior, foundation, presentation, spatial, statistics, temporal
 from wayfold.operators.density import cluster_figures, convex_hull, density_clusters
@@ -209,3 +210,46 @@ def test_simplified_lines_against_recursion(spark):
         own = [(k, r[3], r[4]) for k, r in enumerate(rows[20 * chunk : 20 * chunk + 20])]
         for eps in temporal.EPSILONS:
             assert found[chunk, eps] == [own[k][1:] for k in sorted(set(kept(own, eps)))]
+
+
+def test_dense_cells_side_by_side_are_searched_in_few_comparisons(spark, monkeypatch):
+    from wayfold.operators import density
+
+    rng = random.Random(3)
+
+    def blob(lat, lon, n, m):
+        return [(lat + rng.uniform(0, m), lon + rng.uniform(0, m)) for _ in range(n)]
+
+    # pairs of blobs near, at, and beyond the distance, and a bridge of one place
+    spots = blob(22.0, 113.0, 300, 0.0004) + blob(22.0, 113.00085, 300, 0.0004) + blob(22.02, 113.0, 200, 0.0004) + blob(22.02, 113.0019, 200, 0.0004) + blob(22.04, 113.0, 200, 0.0003) + [(22.04015, 113.0008)] + blob(22.04, 113.0013, 200, 0.0003) + blob(22.06, 113.0, 3, 0.0002)
+    points = frame(spark, [point(k, k, lat=a, lon=b) for k, (a, b) in enumerate(spots)])
+    eps, least = 60.0, 4
+    close = [[j for j, q in enumerate(spots) if metres(*p, *q) <= eps] for p in spots]
+    core = [len(c) >= least for c in close]
+    label = list(range(len(spots)))
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, c in enumerate(close):
+        for j in c:
+            if core[i] and core[j]:
+                a, b = sorted((top(i), top(j)))
+                label[b] = a
+    want = {i: top(i) if core[i] else min((top(j) for j in close[i] if core[j]), default=None) for i in range(len(spots))}
+    judged, real = [], density.stored
+    monkeypatch.setattr(density, "stored", lambda df, name: (judged.append(real(df, name)), judged[-1])[1] if name == "judged" else real(df, name))
+    got = {r["id"]: r["cluster"] for r in density_clusters(points, eps, least).collect()}
+    assert got == want and len({v for v in want.values() if v is not None}) >= 4
+    assert sum(df.count() for df in judged) < 40 * len(spots)
+
+
+def test_two_cells_of_many_places_just_beyond_the_distance(spark):
+    from wayfold.operators import density
+
+    side = 0.0005
+    many = spark.range(60_000).select("id", (22.0 + (F.col("id") * 7919 % 20011) / 20011 * side * 0.6).alias("lat"), (113.0 + F.when(F.col("id") % 2 == 0, 0.0).otherwise(0.00115) + (F.col("id") * 104729 % 30011) / 30011 * side * 0.6).alias("lon"), F.lit(0).alias("track_id"))
+    for eps, groups in ((80.0, 2), (95.0, 1)):
+        assert density.density_clusters(many, eps, 5).select("cluster").distinct().count() == groups

@@ -2,13 +2,14 @@
 
 Points at one place are one node with a weight. Cells have a diagonal below eps, so all points of a cell are neighbours:
 in a cell that weighs min_samples or more every point is core, and each is linked to the cell's least point instead of
-to all others. Other pairs are met by an equi-join of nearby cells, never within a full cell. Two full cells side by side
-still compare their distinct places; give a coarser grid of places first where a cell may hold very many.
+to all others. Places of other cells, fewer than min_samples in each, are held against those around them by an equi-join of
+nearby cells. Whether two full cells touch is settled by one near pair of places, searched in two trees at once
+(full_links), so no two dense cells are compared place by place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from wayfold.plans.storage import stored
 
 #: Cells to each side that can hold neighbours: eps is at most 1.5 cell diagonals.
 _REACH = 2
+#: Depth at which nodes of places that a float hardly parts are no more divided.
+_DEEPEST = 20
 #: Corners that a task holds before it hands them on.
 _CORNERS = 100_000
 #: Parts of a cluster's points when each is measured from the centre.
@@ -42,6 +45,80 @@ def spread_labels(edges: DataFrame, node: str = "a", other: str = "b") -> DataFr
         before = now
 
 
+def _quarters(inner: DataFrame, depth: int, name: str) -> DataFrame:
+    """The nodes of a depth that hold places (cv, cu), by their parents (v, u)."""
+    size = float(4**depth)
+    own = inner.select(F.col("head").alias(name), F.floor(F.col("v") * size).alias(f"{name}cv"), F.floor(F.col("u") * size).alias(f"{name}cu")).distinct()
+    return own.withColumn(f"{name}v", F.floor(F.col(f"{name}cv") / 4)).withColumn(f"{name}u", F.floor(F.col(f"{name}cu") / 4))
+
+
+def _at(inner: DataFrame, depth: int, name: str) -> DataFrame:
+    """The places of all nodes of a depth."""
+    size = float(4**depth)
+    return inner.select(F.col("head").alias(name), F.floor(F.col("v") * size).alias(f"{name}v"), F.floor(F.col("u") * size).alias(f"{name}u"), F.col("lat").alias(f"{name}lat"), F.col("lon").alias(f"{name}lon"))
+
+
+def full_links(full: DataFrame, eps_m: float, side: float, width: Callable[[Column], Column]) -> DataFrame:
+    """Pairs (a, b) of heads of full cells of which some two places lie within eps_m: places (t, y, x, id, lat, lon, head).
+
+    A pair of cells needs one near pair of places, so cells are held against each other in rounds, as two trees at once. A
+    pair of nodes is settled if its first places are near, if its boxes lie wholly near, or wholly apart; only the others
+    go on to their sixteen quarters of quarters, and only while their cells have not been found near. Distances between
+    boxes are bounds of the great-circle distance. So few places are compared, however many a cell holds.
+    """
+    metres = geo.METRES_A_DEGREE
+    inner = full.select("t", "y", "x", "head", "id", "lat", "lon", (F.col("lat") * metres / side - F.col("y")).alias("v"), (F.col("lon") / width(F.col("y")) - F.col("x")).alias("u"))
+    inner = stored(inner, "full")
+
+    def nodes(depth: int, name: str) -> DataFrame:
+        """Nodes of a depth: their cell, place in it, box, first place, and number of places."""
+        size = float(4**depth)
+        cut = inner.withColumn("_v", F.floor(F.col("v") * size)).withColumn("_u", F.floor(F.col("u") * size))
+        box = [F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"), F.min_by(F.struct("lat", "lon"), "id").alias("p"), F.count("*").alias("k")]
+        kept = cut.groupBy("head", "_v", "_u").agg(*box).select("head", "_v", "_u", F.struct("s", "n", "w", "e", "p", "k").alias("node"))
+        return kept.toDF(name, f"{name}v", f"{name}u", f"{name}n")
+
+    def half(x: Column) -> Column:
+        return F.pow(F.sin(F.radians(x) / 2), 2)
+
+    def apart(a: Column, b: Column, farthest: bool) -> Column:
+        """A bound in metres of the distance between any places of two boxes."""
+        if farthest:
+            dy, dx = F.greatest(a["n"], b["n"]) - F.least(a["s"], b["s"]), F.greatest(a["e"], b["e"]) - F.least(a["w"], b["w"])
+            narrow = F.when((F.least(a["s"], b["s"]) <= 0) & (F.greatest(a["n"], b["n"]) >= 0), 0.0).otherwise(F.least(*(F.abs(x[c]) for x in (a, b) for c in ("s", "n"))))
+        else:
+            zero = F.lit(0.0)
+            dy, dx = F.greatest(a["s"] - b["n"], b["s"] - a["n"], zero), F.greatest(a["w"] - b["e"], b["w"] - a["e"], zero)
+            narrow = F.greatest(*(F.abs(x[c]) for x in (a, b) for c in ("s", "n")))
+        h = half(dy) + F.pow(F.cos(F.radians(narrow)), 2) * half(dx)
+        return 2 * geo.EARTH_M * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+
+    cells = inner.groupBy("t", "y", "x", "head").agg(F.min("lon").alias("w"), F.max("lon").alias("e"))
+    around = cells.withColumn("ny", F.explode(F.transform(F.sequence(F.lit(-_REACH), F.lit(_REACH)), lambda j: F.col("y") + j)))
+    columns = F.sequence(F.floor(F.col("w") / width(F.col("ny"))) - _REACH - 1, F.floor(F.col("e") / width(F.col("ny"))) + _REACH + 1)
+    around = around.select("t", F.col("ny").alias("y"), F.explode(columns).alias("x"), F.col("head").alias("a"))
+    met = around.join(cells.select("t", "y", "x", F.col("head").alias("b")), ["t", "y", "x"]).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    zero = F.lit(0).cast("long")
+    open_pairs = stored(met.select("a", zero.alias("av"), zero.alias("au"), "b", zero.alias("bv"), zero.alias("bu")), "open")
+    found, depth = open_pairs.select("a", "b").limit(0), 0
+    while not open_pairs.isEmpty():
+        one, two = nodes(depth, "a"), nodes(depth, "b")
+        both = open_pairs.join(one, ["a", "av", "au"]).join(two, ["b", "bv", "bu"])
+        x, y = F.col("an"), F.col("bn")
+        first = geo.haversine(x["p"]["lat"], x["p"]["lon"], y["p"]["lat"], y["p"]["lon"]) <= eps_m
+        near = first | (apart(x, y, True) <= eps_m * (1 - 1e-9))
+        over = (apart(x, y, False) > eps_m * (1 + 1e-9)) | ((x["k"] == 1) & (y["k"] == 1))
+        judged = stored(both.select("a", "av", "au", "b", "bv", "bu", near.alias("near"), over.alias("over")), "judged")
+        found = found.union(judged.where("near").select("a", "b"))
+        left = judged.where("not near and not over").join(judged.where("near").select("a", "b").distinct(), ["a", "b"], "left_anti")
+        if depth == _DEEPEST:  # places closer than a float can part: the few that are left, one by one
+            last = left.join(_at(inner, depth, "a"), ["a", "av", "au"]).join(_at(inner, depth, "b"), ["b", "bv", "bu"])
+            return found.union(last.where(geo.haversine("alat", "alon", "blat", "blon") <= eps_m).select("a", "b")).distinct()
+        depth += 1
+        open_pairs = stored(left.join(_quarters(inner, depth, "a"), ["a", "av", "au"]).join(_quarters(inner, depth, "b"), ["b", "bv", "bu"]).select("a", F.col("acv").alias("av"), F.col("acu").alias("au"), "b", F.col("bcv").alias("bv"), F.col("bcu").alias("bu")), "open")
+    return found.distinct()
+
+
 def density_clusters(points: DataFrame, eps_m: float, min_samples: int, key: str = "id", partition: str = "track_id") -> DataFrame:
     """points with cluster (the least core point's key in its cluster; null for noise), by partition.
 
@@ -63,17 +140,18 @@ def density_clusters(points: DataFrame, eps_m: float, min_samples: int, key: str
     p = stored(p, "places")
     cells = p.groupBy("t", "y", "x").agg(F.sum("n").alias("weight"), F.min("id").alias("head"))
     p = stored(p.join(cells, ["t", "y", "x"]).withColumn("full", F.col("weight") >= min_samples).drop("weight"), "cells")
-    copies = p.withColumn("ny", F.explode(F.transform(F.sequence(F.lit(-_REACH), F.lit(_REACH)), lambda j: F.col("y") + j)))
+    # places of cells that are not full, each with all places around it; those of a full cell stand for its head
+    loose = p.where(~F.col("full")).withColumn("ny", F.explode(F.transform(F.sequence(F.lit(-_REACH), F.lit(_REACH)), lambda j: F.col("y") + j)))
     # another band's cells have another width: one column more to each side
-    copies = copies.withColumn("nx", F.explode(F.transform(F.sequence(F.lit(-_REACH - 1), F.lit(_REACH + 1)), lambda i: F.floor(F.col("lon") / width(F.col("ny"))) + i)))
-    left = copies.select("t", F.col("ny").alias("y"), F.col("nx").alias("x"), F.col("id").alias("a"), F.col("lat").alias("la"), F.col("lon").alias("lo"), F.when(F.col("full"), F.col("head")).alias("of"))
-    within = ~(F.col("full") & F.col("head").eqNullSafe(F.col("of")))
-    pairs = left.join(p, ["t", "y", "x"]).where(within & (geo.haversine("la", "lo", "lat", "lon") <= eps_m)).select("a", F.col("id").alias("b"), "n")
-    pairs = stored(pairs, "pairs")
+    loose = loose.withColumn("nx", F.explode(F.transform(F.sequence(F.lit(-_REACH - 1), F.lit(_REACH + 1)), lambda i: F.floor(F.col("lon") / width(F.col("ny"))) + i)))
+    left = loose.select("t", F.col("ny").alias("y"), F.col("nx").alias("x"), F.col("id").alias("a"), F.col("lat").alias("la"), F.col("lon").alias("lo"))
+    near = left.join(p, ["t", "y", "x"]).where(geo.haversine("la", "lo", "lat", "lon") <= eps_m)
+    pairs = stored(near.groupBy("a", F.when(F.col("full"), F.col("head")).otherwise(F.col("id")).alias("b")).agg(F.sum("n").alias("n")), "pairs")
     core = p.where("full").select("id").union(pairs.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("a")).distinct()
     core = stored(core, "core")
     links = pairs.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b").select("a", "b")
-    labels = spread_labels(links.union(p.where("full").select("id", "head")))
+    full = p.where("full")
+    labels = spread_labels(links.union(full.select("id", "head")).union(full_links(full, eps_m, side, width)))
     touched = pairs.join(labels, pairs["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("border"))
     named = p.join(labels.withColumnRenamed("node", "id"), "id", "left").join(touched.withColumnRenamed("a", "id"), "id", "left")
     found = named.select(F.col("t").alias("_t"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.coalesce("label", "border").alias("cluster"))
