@@ -140,8 +140,11 @@ def unescape(text: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, key: str, loss_role: str = "assistant") -> DataFrame:
-    """One row per conversation: key, formatted, and loss_spans (start, end in code points) of the texts to learn from."""
-    clean = turns.select(F.col(key).alias("key"), "number", "place", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    """One row per conversation: key, formatted, and loss_spans (start, end in code points) of the texts to learn from.
+
+    Rows of canonical_turns without a place (records of an unknown layout, and known ones without turns) hold no turn and
+    are left out; a conversation of such rows alone has no row here, and is found among canonical_turns by its null layout."""
+    clean = turns.where("place is not null").select(F.col(key).alias("key"), "number", "place", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     head = F.concat(F.lit("<|turn|>"), escape(F.col("role")), F.lit("<|text|>"))
     pieces = clean.withColumn("head", head).withColumn("body", escape(F.col("text")))
     pieces = pieces.withColumn("piece", F.concat("head", "body", F.lit("<|end|>")))

@@ -187,8 +187,15 @@ class MediaArchiveReader(DataSourceReader):
         fs, _ = filesystem(self.folder)
         schema = pa.schema([("archive", pa.string()), ("member", pa.string()), ("offset", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
         archive = partition.path.rpartition("/")[2]
-        with fs.open_input_file(partition.path) as source, zipfile.ZipFile(source) as directory:
-            members = [m for m in directory.infolist() if partition.begin <= m.header_offset < partition.end]
+        try:
+            with fs.open_input_file(partition.path) as source, zipfile.ZipFile(source) as directory:
+                members = [m for m in directory.infolist() if partition.begin <= m.header_offset < partition.end]
+        except (zipfile.BadZipFile, OSError) as e:
+            if not self.permissive:
+                raise
+            if partition.begin == 0:  # once for the archive
+                yield pa.RecordBatch.from_pylist([{"archive": archive, "member": None, "offset": None, "content": None, "error": str(e)}], schema=schema)
+            return
         rows: list[dict] = []
         size = 0
         for member in members:
@@ -236,22 +243,29 @@ def member_key(member: str, kind: str) -> Column:
     return F.when(F.length(name) > 0, name).cast(kind)
 
 
-def describe(media: DataFrame, content: str = "content") -> DataFrame:
-    """Decode PNG members: adds payload (padded bytes), n_bytes (before padding) and feature (text)."""
+def describe(media: DataFrame, content: str = "content", permissive: bool = False) -> DataFrame:
+    """Decode PNG members: adds payload (padded bytes), n_bytes (before padding) and feature (text).
+
+    A member that is no such PNG ends the job; if permissive, its added columns are null and the column error says why."""
     schema = StructType.fromJson(media.schema.jsonValue()).add("payload", "binary").add("n_bytes", "long").add("feature", "string")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            payload, length, feature = [], [], []
-            for body in batch.column(batch.schema.get_field_index(content)).to_pylist():
-                if body is None:
-                    samples, n = None, None
-                else:
-                    samples, n = from_png(body)
+            payload, length, feature, errors = [], [], [], batch.column("error").to_pylist() if permissive else []
+            for k, body in enumerate(batch.column(batch.schema.get_field_index(content)).to_pylist()):
+                samples, n = None, None
+                if body is not None:
+                    try:
+                        samples, n = from_png(body)
+                    except (ValueError, IndexError, KeyError, struct.error, zlib.error) as e:
+                        if not permissive:
+                            raise
+                        errors[k] = f"no such PNG: {e}"
                 payload.append(None if samples is None else samples.tobytes())
                 length.append(n)
                 feature.append(None if samples is None else ";".join(f"{k}={v:.6f}" for k, v in features(samples).items()))
-            columns = [*batch.columns, pa.array(payload, pa.binary()), pa.array(length, pa.int64()), pa.array(feature, pa.string())]
+            kept = [pa.array(errors, pa.string()) if permissive and n == "error" else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
+            columns = [*kept, pa.array(payload, pa.binary()), pa.array(length, pa.int64()), pa.array(feature, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "payload", "n_bytes", "feature"])
 
     return media.mapInArrow(decode, schema)

@@ -20,8 +20,10 @@ def _slots(keys: np.ndarray, seed: np.ndarray | int, n: int) -> np.ndarray:
 
 
 def build(keys: np.ndarray) -> np.ndarray:
-    """Seeds (int32, one a bucket) that send n distinct keys (uint64) to the slots 0..n-1, one each."""
+    """Seeds (int32, one a bucket) that send n distinct keys (uint64) to the slots 0..n-1, one each. Equal keys are refused."""
     n = len(keys)
+    if len(np.unique(keys)) < n:
+        raise ValueError("two keys of a shard share their 64-bit hash: deal the keys to other shards")
     m = max(1, -(-n // KEYS_A_BUCKET))
     bucket = (mix(keys) % np.uint64(m)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
