@@ -181,7 +181,7 @@ def test_binomial_bound():
 def test_ladder():
     h = np.zeros(101, np.int64)
     h[[0, 3, 8]] = 990, 9, 1
-    assert quality.ladder(h) == [32, 24, 16, 12, 10, 8, 3, 3, 3]
+    assert quality.ladder(h) == [32, 24, 16, 12, 10, 8, 8, 3]
 
 
 @pytest.fixture(scope="module")

@@ -40,7 +40,7 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 #: Shares: what is counted, and of what.
 RULES = {"repeats": ("n_repeat_words", "n_words"), "symbols": ("n_symbols", "word_chars"), "marks": ("n_marks", "word_chars"), "upper": ("n_upper", "word_chars"), "lines": ("n_dup_lines", "n_lines"), "echo": ("n_echo", "n_words")}
 #: Steps of the ladder: hundredths added to the largest share of the tuning half, then shares of it left above, in millionths.
-MARGINS, TAILS = (300, 200, 100, 50, 25, 0), (1000, 2000, 5000)
+MARGINS, TAILS = (300, 200, 100, 50, 25, 0), (500, 1000)
 WINDOW = 8
 
 
