@@ -63,6 +63,8 @@ def from_png(media: bytes) -> tuple[np.ndarray, int]:
         raise ValueError("no PNG signature")
     at, data, width, height, length = 8, [], 0, 0, -1
     while at < len(media):
+        if len(media) < at + 8 or len(media) < at + 12 + int.from_bytes(media[at : at + 4]):
+            raise ValueError("the PNG is cut off")
         size, kind = struct.unpack_from(">I4s", media, at)
         body = media[at + 8 : at + 8 + size]
         if zlib.crc32(kind + body) != struct.unpack_from(">I", media, at + 8 + size)[0]:
