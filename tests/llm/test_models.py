@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, langid, media, perfecthash
+from wayfold.llm import chat, langid, media, perfecthash, toxicity
 from wayfold.llm.queries import op4_toxicity
 
 FOLDER = "/root/testdata/sf0.1"
@@ -51,6 +51,50 @@ def test_held_out_toxic_documents_are_found(spark):
     assert len(toxic) >= 5 and sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.02 * len(clean)
 
 
+def test_composed_grammar_against_its_machines():
+    lexicon = toxicity._seed_lexicon()
+    grammar = toxicity.Grammar(lexicon)
+    words = ["idiot", "kill", "will", "you", "not", "said", "house", ",", "green", "trash"]
+    rng = np.random.default_rng(3)
+    for _ in range(3000):
+        clause = [words[k] for k in rng.integers(0, len(words), rng.integers(1, 9))]
+        state, heaviest = {name: m.start for name, m in toxicity.MACHINES.items()}, 0.0
+        for w in clause:
+            kind, weight = (toxicity.COMMA, 0.0) if w == "," else lexicon.get(w, (toxicity.OTHER, 0.0))
+            state = {name: m.step(state[name], kind) for name, m in toxicity.MACHINES.items()}
+            heaviest = max(heaviest, weight if kind in (toxicity.INSULT, toxicity.HARM) else 0.0)
+        assert grammar.match(" ".join(clause)) == (toxicity.pattern_of(state), heaviest)
+    kind = lambda text: toxicity.PATTERNS[grammar.match(text)[0]]
+    assert kind("you are not an idiot") == "denied"
+    assert kind("you are not nice, you idiot") == "aimed insult"
+
+
+def test_learned_words_are_folded_as_texts_are(spark):
+    rng = np.random.default_rng(4)
+    pick = lambda: " ".join(f"w{chr(97 + k)}x" for k in rng.integers(0, 26, 6))
+    rows = [(k, f"{pick()} ÉCUMARD {pick()}." if k % 2 else f"{pick()} maison {pick()}.") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    assert model.lexicon["écumard"][0] == toxicity.INSULT
+    texts = spark.createDataFrame([(1, "quel Écumard"), (2, "quel écumard"), (3, "quel jour")], "k int, text string")
+    a, b, c = (r["score"] for r in toxicity.score(texts, model).orderBy("k").collect())
+    assert a == b > c
+
+
+def test_many_languages_share_the_sample(spark, monkeypatch):
+    # five landmarks a language, as with a hundred languages and the bounds of the module
+    monkeypatch.setattr(langid, "ALL_LANDMARKS", 150)
+    monkeypatch.setattr(langid, "ALL_TRAIN_TEXTS", 900)
+    rng = np.random.default_rng(6)
+    stock = {f"l{k:02d}": ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(12)] for k in range(30)}
+    rows = [(lang, " ".join(rng.choice(words, 15))) for lang, words in stock.items() for _ in range(40)]
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(2)
+    model = langid.fit(docs, F.lit(True))
+    assert len(model.languages) == 30 and 75 <= len(model.landmarks.root) <= 300
+    values = model.values([t for _, t in rows])
+    assert np.mean([model.languages[k] == lang for k, (lang, _) in zip(values.argmax(axis=1), rows)]) > 0.9
+
+
 def plain_png(body):
     """A reader of 8-bit grey PNG of its own: width, rows."""
     at, data = 8, b""

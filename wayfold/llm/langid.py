@@ -7,9 +7,11 @@ one-versus-rest kernel ridge regression on them gives a value per language. Only
 kernel beside the size of the text's own spectrum, so they are the vocabulary, and no text is too long for it. Texts
 are scored in batches: kernels with all landmarks times the regression weights.
 
-The model is fitted on a bounded sample: LANDMARKS texts a language (of at most LANDMARK_CHARS characters where it has
-such) and TRAIN_TEXTS texts a language, chosen by a hash of the text, so that a few hundred kilobytes a language reach
-the driver however large the corpus is. Whole texts are read at prediction and in training.
+The model is fitted on a bounded sample, chosen by a hash of the text: LANDMARKS texts a language (of at most
+LANDMARK_CHARS characters where it has such) and TRAIN_TEXTS texts a language, or fewer where there are so many languages
+that all of them would have more than ALL_LANDMARKS and ALL_TRAIN_TEXTS. A training text reaches the driver as its kernels
+with the landmarks: about 40 megabytes in all, however large the corpus is and however many languages it has. Whole texts
+are read at prediction and in training.
 
 A null text, or one without a letter (str.isalpha), is `und` with score 0. Nulls: rows with a null language are not
 learned from; a null key stays. Ties: of languages with equal values the first by name. Repeated rows get equal results;
@@ -36,6 +38,8 @@ UNKNOWN = "und"
 LONGEST = 4
 #: A language's landmark texts and training texts (expected numbers of a hash sample).
 LANDMARKS, TRAIN_TEXTS = 16, 400
+#: The same over all languages: the driver holds a matrix of so many numbers.
+ALL_LANDMARKS, ALL_TRAIN_TEXTS = 512, 10_000
 LANDMARK_CHARS = 4000
 RIDGE = 1e-2
 _BLOCK = 128
@@ -115,8 +119,9 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text")
     languages = sorted(found)
     long_only = [x for x in languages if not found[x][1]]
     candidates = rows.where(short | F.col("lang").isin(long_only)) if long_only else rows.where(short)
-    near = candidates.where(_sampled({x: min(1.0, LANDMARKS / (k or n)) for x, (n, k) in found.items()}, 1)).dropDuplicates(["lang", "text"])
-    train = rows.where(_sampled({x: min(1.0, TRAIN_TEXTS / n) for x, (n, _) in found.items()}, 2)).dropDuplicates(["lang", "text"])
+    marks, texts_each = min(LANDMARKS, ALL_LANDMARKS / len(languages)), min(TRAIN_TEXTS, ALL_TRAIN_TEXTS / len(languages))
+    near = candidates.where(_sampled({x: min(1.0, marks / (k or n)) for x, (n, k) in found.items()}, 1)).dropDuplicates(["lang", "text"])
+    train = rows.where(_sampled({x: min(1.0, texts_each / n) for x, (n, _) in found.items()}, 2)).dropDuplicates(["lang", "text"])
 
     def spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,10 +137,10 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text")
     def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = landmarks.kernels(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(k), pa.list_(pa.float64()))], names=["lang", "k"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in k], pa.binary())], names=["lang", "k"])
 
-    def learned(sample: DataFrame) -> list[tuple[str, list[float]]]:
-        return sorted((r["lang"], r["k"]) for r in sample.mapInArrow(kernels, "lang string, k array<double>").collect())
+    def learned(sample: DataFrame) -> list[tuple[str, bytes]]:
+        return sorted((r["lang"], bytes(r["k"])) for r in sample.mapInArrow(kernels, "lang string, k binary").collect())
 
     sample = learned(train) or learned(candidates.orderBy(texts, "lang").limit(TRAIN_TEXTS))
     own = np.zeros((len(chosen), len(chosen)))
@@ -146,7 +151,7 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text")
     values, vectors = np.linalg.eigh(own)
     keep = values > 1e-6 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep])
-    features = np.array([k for _, k in sample]) @ root
+    features = np.frombuffer(b"".join(k for _, k in sample)).reshape(len(sample), -1) @ root
     target = np.where(np.array([x for x, _ in sample])[:, None] == np.array(languages), 1.0, -1.0)
     # each language weighs the same, whatever its number of texts
     weight = 1 / np.maximum((target > 0).sum(axis=0), 1)[(target > 0).argmax(axis=1)]

@@ -31,10 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from wayfold.llm.decontaminate import LOWER, UPPER
 from wayfold.llm.shared import small_batches
 
-OTHER, INSULT, HARM, INTENT, TARGET, NEGATION, REPORT = range(7)
+OTHER, INSULT, HARM, INTENT, TARGET, NEGATION, REPORT, COMMA = CLASSES = range(8)
 SEEDS = {
     INSULT: "idiot idiots idiotic moron morons stupid loser losers trash scum pathetic worthless disgusting clown clowns dumbass imbecile cretin bastard bastards asshole assholes bitch bitches garbage vermin "
     "idiotin dummkopf trottel arschloch abschaum widerlich versager vollidiot schwachkopf idiote imbécile crétin connard connasse ordure débile idiota imbécil estúpido estúpida escoria payaso patético asqueroso",
@@ -50,13 +49,13 @@ LEARN_DOCS = 20_000
 CONTEXTS, RELIABLE, SPREAD = 5, 0.8, 0.3
 #: Power of a learned word's reliability in its weight: a doubtful word alone decides nothing.
 SHARPNESS = 4
-#: Words after a negation that it denies.
+#: Words after a negation that it denies, up to a comma.
 REACH = 3
 PATTERNS = ("insult", "aimed insult", "threat", "aimed harm", "denied", "reported")
 #: Prior weights of the patterns and of a text without any.
 PRIOR, PRIOR_BIAS, PRIOR_STRENGTH = np.array([4.0, 5.0, 4.0, 4.0, 0.5, 0.5]), -3.0, 0.05
 _CLAUSE_END = re.compile(r"[.;:!?\n]")
-_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|,")
 
 
 @dataclass(frozen=True)
@@ -73,7 +72,7 @@ class Machine:
 def _negation() -> Machine:
     """States: none, 1..REACH words left in reach, denied, and open once an insult stands undenied."""
     moves: dict[tuple[object, int], object] = {}
-    for symbol in range(7):
+    for symbol in CLASSES:
         for left in range(1, REACH + 1):
             moves[left, symbol] = left - 1 or "none"
     for left in range(1, REACH + 1):
@@ -115,7 +114,7 @@ def compose(machines: dict[str, Machine]) -> tuple[list[list[tuple[int, float]]]
     number, waiting, moves = {start: 0}, [start], []
     for state in waiting:
         row = []
-        for symbol in range(7):
+        for symbol in CLASSES:
             to = tuple(m.step(s, symbol) for m, s in zip(machines.values(), state, strict=True))
             if to not in number:
                 number[to] = len(number)
@@ -129,7 +128,7 @@ class Grammar:
     """The composed machine over a weighted lexicon {word: (class, weight)}."""
 
     def __init__(self, lexicon: dict[str, tuple[int, float]]):
-        self.lexicon = lexicon
+        self.lexicon = {**lexicon, ",": (COMMA, 0.0)}
         self.arcs, self.pattern = compose(MACHINES)
         self.anchors = ahocorasick.Automaton()
         for word, (kind, _) in lexicon.items():
@@ -201,7 +200,7 @@ def _logistic(features: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, flo
 
 
 def _words(text: str) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(r"\p{L}+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
 
 
 def _learned_insults(sample: DataFrame) -> list[tuple[str, int, int]]:
