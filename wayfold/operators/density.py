@@ -1,19 +1,22 @@
 """Density clustering of points (DBSCAN) as joins on grid cells and rounds of label spreading.
 
 Points at one place are one node with a weight. Cells have a diagonal below eps, so all points of a cell are neighbours:
-in a cell that weighs min_samples or more every point is core, and each is linked to the cell's least point instead of
-to all others. Places of other cells, fewer than min_samples in each, are held against those around them by an equi-join of
-nearby cells. Whether two full cells touch is settled by one near pair of places, searched in two trees at once
-(full_links), so no two dense cells are compared place by place.
+in a cell that weighs min_samples or more every point is core. Core points of a cell are one node, so labels spread over
+cells. Places of other cells, fewer than min_samples in each, are held against those around them by an equi-join of tiles
+of several cells (near_places). Whether two full cells touch is settled by one near pair of places, searched in two trees at
+once (full_links), so no two dense cells are compared place by place.
+
+Tables here grow with the input and their files are small for what they hold in memory, so joins are told not to broadcast.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo
@@ -21,6 +24,8 @@ from wayfold.plans.storage import stored
 
 #: Cells to each side that can hold neighbours: eps is at most 1.5 cell diagonals.
 _REACH = 2
+#: Distances eps to a side of the tiles in which places meet.
+_TILE = 4
 #: Depth at which nodes of places that a float hardly parts are no more divided.
 _DEEPEST = 20
 #: Corners that a task holds before it hands them on.
@@ -29,20 +34,58 @@ _CORNERS = 100_000
 _PARTS = 16
 
 
+def _join(left: DataFrame, right: DataFrame, on: object, how: str = "inner") -> DataFrame:
+    return left.join(right.hint("merge"), on, how)
+
+
 def spread_labels(edges: DataFrame, node: str = "a", other: str = "b") -> DataFrame:
-    """(node, label): the least node of each connected component of undirected edges; rounds are written as tables."""
-    both = stored(edges.select(F.col(node).alias("u"), F.col(other).alias("v")).union(edges.select(other, node)).distinct(), "edges")
-    labels = both.groupBy("u").agg(F.least(F.min("u"), F.min("v")).alias("label"))
-    before = None
-    while True:
-        handed = both.join(labels.withColumnRenamed("u", "v"), "v").select("u", "label")
-        step = handed.union(labels).groupBy("u").agg(F.min("label").alias("label"))
-        jump = step.select(F.col("u").alias("label"), F.col("label").alias("_further"))
-        labels = stored(step.join(jump, "label", "left").select("u", F.least("label", F.coalesce("_further", "label")).alias("label")), "labels")
-        now = labels.agg(F.sum(F.xxhash64("u", "label").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            return labels.select(F.col("u").alias("node"), "label")
-        before = now
+    """(node, label): the least node of each connected component of undirected edges; rounds are written as tables.
+
+    In each round a node goes over to that of its neighbours and itself which a hash of the round puts first, and edges
+    between nodes that fell together vanish. So tables shrink from round to round; the nodes' ways are followed at the end.
+    """
+    u, v = F.col(node), F.col(other)
+    edges = stored(edges.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct(), "edges")
+    moves: list[DataFrame] = []
+    while not moves or not edges.isEmpty():
+
+        def first(name: str, n: int = len(moves)) -> Column:
+            return F.struct(F.xxhash64(F.col(name), F.lit(n)).alias("h"), F.col(name).alias("n"))
+
+        both = edges.select("u", "v").union(edges.select("v", "u"))
+        move = both.groupBy("u").agg(F.min(first("v")).alias("m")).select("u", F.least(first("u"), F.col("m"))["n"].alias("to"))
+        moves.append(stored(move, "moves"))
+        one, two = moves[-1].withColumnRenamed("to", "a"), moves[-1].select(F.col("u").alias("v"), F.col("to").alias("b"))
+        gone = _join(_join(edges, one, "u"), two, "v").where("a != b")
+        edges = stored(gone.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+    ends = moves.pop()
+    while moves:
+        move, after = moves.pop(), ends.select(F.col("u").alias("to"), F.col("to").alias("end"))
+        ends = stored(_join(move, after, "to", "left").select("u", F.coalesce("end", "to").alias("to")), "ends")
+    least = ends.groupBy("to").agg(F.min("u").alias("label"))
+    return stored(_join(ends, least, "to").select(F.col("u").alias("node"), "label"), "labels")
+
+
+def near_places(left: DataFrame, right: DataFrame, eps_m: float, on: str = "t") -> DataFrame:
+    """Pairs of rows of one `on` within eps_m: right columns, and left ones with a following underscore. Both have lat and lon.
+
+    Right rows lie in tiles of a few eps to a side; a left row goes to the tiles that its reach touches, mostly one or two.
+    """
+    high = _TILE * eps_m / geo.METRES_A_DEGREE
+    up = math.degrees(eps_m / geo.EARTH_M) * (1 + 1e-9)
+
+    def wide(band: Column) -> Column:
+        return F.lit(high) / F.cos(F.radians(F.least(F.abs(band), F.abs(band + 1)) * high))
+
+    lat, lon = F.col("lat"), F.col("lon")
+    narrow = F.cos(F.radians(lat)) * F.cos(F.radians(F.least(F.abs(lat) + up, F.lit(90.0))))
+    aside = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.lit(math.sin(eps_m / geo.EARTH_M / 2)) / F.sqrt(narrow)))) * (1 + 1e-9)
+    reach = left.withColumn("_y", F.explode(F.sequence(F.floor((lat - up) / high), F.floor((lat + up) / high))))
+    reach = reach.withColumn("_x", F.explode(F.sequence(F.floor((lon - aside) / wide(F.col("_y"))), F.floor((lon + aside) / wide(F.col("_y"))))))
+    reach = reach.select(on, "_y", "_x", *(F.col(c).alias(f"{c}_") for c in left.columns if c != on))
+    tiled = right.withColumn("_y", F.floor(lat / high)).withColumn("_x", F.floor(lon / wide(F.col("_y"))))
+    near = (F.abs(F.col("lat") - F.col("lat_")) <= up) & (geo.haversine("lat_", "lon_", "lat", "lon") <= eps_m)
+    return _join(reach, tiled, [on, "_y", "_x"]).where(near)
 
 
 def _quarters(inner: DataFrame, depth: int, name: str) -> DataFrame:
@@ -97,25 +140,26 @@ def full_links(full: DataFrame, eps_m: float, side: float, width: Callable[[Colu
     around = cells.withColumn("ny", F.explode(F.transform(F.sequence(F.lit(-_REACH), F.lit(_REACH)), lambda j: F.col("y") + j)))
     columns = F.sequence(F.floor(F.col("w") / width(F.col("ny"))) - _REACH - 1, F.floor(F.col("e") / width(F.col("ny"))) + _REACH + 1)
     around = around.select("t", F.col("ny").alias("y"), F.explode(columns).alias("x"), F.col("head").alias("a"))
-    met = around.join(cells.select("t", "y", "x", F.col("head").alias("b")), ["t", "y", "x"]).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = _join(around, cells.select("t", "y", "x", F.col("head").alias("b")), ["t", "y", "x"]).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     zero = F.lit(0).cast("long")
     open_pairs = stored(met.select("a", zero.alias("av"), zero.alias("au"), "b", zero.alias("bv"), zero.alias("bu")), "open")
     found, depth = open_pairs.select("a", "b").limit(0), 0
     while not open_pairs.isEmpty():
         one, two = nodes(depth, "a"), nodes(depth, "b")
-        both = open_pairs.join(one, ["a", "av", "au"]).join(two, ["b", "bv", "bu"])
+        both = _join(_join(open_pairs, one, ["a", "av", "au"]), two, ["b", "bv", "bu"])
         x, y = F.col("an"), F.col("bn")
         first = geo.haversine(x["p"]["lat"], x["p"]["lon"], y["p"]["lat"], y["p"]["lon"]) <= eps_m
         near = first | (apart(x, y, True) <= eps_m * (1 - 1e-9))
         over = (apart(x, y, False) > eps_m * (1 + 1e-9)) | ((x["k"] == 1) & (y["k"] == 1))
         judged = stored(both.select("a", "av", "au", "b", "bv", "bu", near.alias("near"), over.alias("over")), "judged")
         found = found.union(judged.where("near").select("a", "b"))
-        left = judged.where("not near and not over").join(judged.where("near").select("a", "b").distinct(), ["a", "b"], "left_anti")
+        left = _join(judged.where("not near and not over"), judged.where("near").select("a", "b").distinct(), ["a", "b"], "left_anti")
         if depth == _DEEPEST:  # places closer than a float can part: the few that are left, one by one
-            last = left.join(_at(inner, depth, "a"), ["a", "av", "au"]).join(_at(inner, depth, "b"), ["b", "bv", "bu"])
+            last = _join(_join(left, _at(inner, depth, "a"), ["a", "av", "au"]), _at(inner, depth, "b"), ["b", "bv", "bu"])
             return found.union(last.where(geo.haversine("alat", "alon", "blat", "blon") <= eps_m).select("a", "b")).distinct()
         depth += 1
-        open_pairs = stored(left.join(_quarters(inner, depth, "a"), ["a", "av", "au"]).join(_quarters(inner, depth, "b"), ["b", "bv", "bu"]).select("a", F.col("acv").alias("av"), F.col("acu").alias("au"), "b", F.col("bcv").alias("bv"), F.col("bcu").alias("bu")), "open")
+        quarters = _join(_join(left, _quarters(inner, depth, "a"), ["a", "av", "au"]), _quarters(inner, depth, "b"), ["b", "bv", "bu"])
+        open_pairs = stored(quarters.select("a", F.col("acv").alias("av"), F.col("acu").alias("au"), "b", F.col("bcv").alias("bv"), F.col("bcu").alias("bu")), "open")
     return found.distinct()
 
 
@@ -139,24 +183,26 @@ def density_clusters(points: DataFrame, eps_m: float, min_samples: int, key: str
     p = p.withColumn("y", F.floor(F.col("lat") * metres / side)).withColumn("x", F.floor(F.col("lon") / width(F.col("y"))))
     p = stored(p, "places")
     cells = p.groupBy("t", "y", "x").agg(F.sum("n").alias("weight"), F.min("id").alias("head"))
-    p = stored(p.join(cells, ["t", "y", "x"]).withColumn("full", F.col("weight") >= min_samples).drop("weight"), "cells")
-    # places of cells that are not full, each with all places around it; those of a full cell stand for its head
-    loose = p.where(~F.col("full")).withColumn("ny", F.explode(F.transform(F.sequence(F.lit(-_REACH), F.lit(_REACH)), lambda j: F.col("y") + j)))
-    # another band's cells have another width: one column more to each side
-    loose = loose.withColumn("nx", F.explode(F.transform(F.sequence(F.lit(-_REACH - 1), F.lit(_REACH + 1)), lambda i: F.floor(F.col("lon") / width(F.col("ny"))) + i)))
-    left = loose.select("t", F.col("ny").alias("y"), F.col("nx").alias("x"), F.col("id").alias("a"), F.col("lat").alias("la"), F.col("lon").alias("lo"))
-    near = left.join(p, ["t", "y", "x"]).where(geo.haversine("la", "lo", "lat", "lon") <= eps_m)
-    pairs = stored(near.groupBy("a", F.when(F.col("full"), F.col("head")).otherwise(F.col("id")).alias("b")).agg(F.sum("n").alias("n")), "pairs")
-    core = p.where("full").select("id").union(pairs.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("a")).distinct()
-    core = stored(core, "core")
-    links = pairs.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b").select("a", "b")
-    full = p.where("full")
-    labels = spread_labels(links.union(full.select("id", "head")).union(full_links(full, eps_m, side, width)))
-    touched = pairs.join(labels, pairs["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("border"))
-    named = p.join(labels.withColumnRenamed("node", "id"), "id", "left").join(touched.withColumnRenamed("a", "id"), "id", "left")
-    found = named.select(F.col("t").alias("_t"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.coalesce("label", "border").alias("cluster"))
+    p = stored(_join(p, cells, ["t", "y", "x"]).withColumn("full", F.col("weight") >= min_samples).drop("weight"), "cells")
+    full, loose = p.where("full"), p.where("not full")
+    counts = near_places(loose.select("t", "lat", "lon", "id"), p.select("t", "lat", "lon", "n"), eps_m).groupBy(F.col("id_").alias("id")).agg(F.sum("n").alias("near"))
+    weighed = _join(loose, counts, "id").withColumn("core", F.col("near") >= min_samples)
+    # fewer than min_samples rows a cell; the node of its core points is their least
+    own = F.when(F.col("core"), F.min(F.when(F.col("core"), F.col("id"))).over(Window.partitionBy("t", "y", "x")))
+    columns = ["t", "y", "x", "lat", "lon", "id", "full", "core", "head"]
+    p = stored(full.withColumn("core", F.lit(True)).select(*columns).union(weighed.withColumn("head", own).select(*columns)), "cores")
+    full, loose, core = p.where("full"), p.where("not full"), p.where("core")
+    met = near_places(loose.select("t", "lat", "lon", "id", "core", "head"), core.select("t", "lat", "lon", "head"), eps_m)
+    pairs = met.select(F.when(F.col("core_"), F.col("head_")).otherwise(F.col("id_")).alias("a"), F.col("head").alias("b"), F.col("core_").alias("core"))
+    pairs = stored(pairs.where("a != b").distinct(), "pairs")
+    alone = core.where("id = head").select(F.col("head").alias("a"), F.col("head").alias("b"))
+    labels = spread_labels(pairs.where("core").select("a", "b").union(alone).union(full_links(full, eps_m, side, width)))
+    named = _join(core, labels.withColumnRenamed("node", "head"), "head").select("t", "lat", "lon", "label")
+    borders = _join(pairs.where("not core"), labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("label"))
+    named = named.union(_join(p.where("not core"), borders, "id").select("t", "lat", "lon", "label"))
+    found = stored(named.select(F.col("t").alias("_t"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("label").alias("cluster")), "found")
     same = points[partition].eqNullSafe(found["_t"]) & (points["lat"] == found["_lat"]) & (points["lon"] == found["_lon"])
-    return points.join(found, same, "left").drop("_t", "_lat", "_lon")
+    return _join(points, found, same, "left").drop("_t", "_lat", "_lon")
 
 
 def convex_hull(places: np.ndarray) -> np.ndarray:
@@ -228,12 +274,12 @@ def cluster_figures(clustered: DataFrame, eps_m: float, key: str = "id", partiti
     )
     centres = whole.select("cluster", "center_lat", "center_lon", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))).alias("part"))
     dealt = p.select("cluster", "lat", "lon", F.pmod(F.xxhash64(key), F.lit(_PARTS)).cast("int").alias("part"))
-    reach = dealt.join(centres, ["cluster", "part"]).groupBy("cluster").agg(F.max(geo.haversine("center_lat", "center_lon", "lat", "lon")).alias("radius_m"))
+    reach = _join(dealt, centres, ["cluster", "part"]).groupBy("cluster").agg(F.max(geo.haversine("center_lat", "center_lon", "lat", "lon")).alias("radius_m"))
     hours = F.col("duration_s") / 3600 / F.col("visit_count")
     n = F.col("point_count")
     # fixed values: limits and names of the types, square kilometres of a square degree
     named = F.when((n > 1000) & (hours > 6), "HOME").when((n > 500) & (hours > 4), "WORK").when(n > 200, "FREQUENT").otherwise("OCCASIONAL")
-    found = whole.join(reach, "cluster").join(hull_areas(p), "cluster").withColumn("duration_s", n * 60)
+    found = _join(_join(whole, reach, "cluster"), hull_areas(p), "cluster").withColumn("duration_s", n * 60)
     return found.select(
         partition, "cluster", "center_lat", "center_lon", "point_count", "visit_count", "duration_s", (n / (eps_m / 1000) ** 2).alias("density_score"), named.alias("cluster_type"), "radius_m",
         (F.col("hull_deg2") * 111 * 111).alias("convex_hull_area_km2"), "_f.province", "_f.city", "_f.county", F.least(F.lit(1.0), n / 50).alias("confidence"),
