@@ -1,14 +1,17 @@
 """An index of polygons by cells that split where many edges lie, and points in polygons through it.
 
 A cell that no edge touches lies wholly inside or outside; an outside one is left out, an inside one has no edges. Another
-cell keeps the edges that touch it and whether its north-east corner is inside. A point is inside if its cell's corner
-is, changed by every edge that crosses the way from the point east to the cell's border and north to the corner. All
-rings of a polygon count alike, so holes and islands within them follow from the even-odd rule.
+cell keeps the edges that touch it. A point is inside if an odd number of edges crosses the way from it east without end.
+Edges that pass a cell in the east are not kept: all points of the cell to the south of an edge's end and to the north of
+its other end meet it, so only ends within the cell's rows at which their number changes matter. These are kept as upright
+edges that begin there, and a cell says whether the number is odd at its north. So each edge is judged by the same
+comparison as if all edges were held against the point, and a point on an edge has one answer. All rings of a polygon count
+alike, so holes and islands within them follow from the even-odd rule.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,10 @@ SIDES = (2.0, 0.25, 0.03125)
 SPLIT = 8
 #: Bytes of the cells of a level that may be sent to all executors.
 BROADCAST_BYTES = 32 << 20
+#: Degrees, above what rounding does to the place where an edge crosses a parallel.
+_SLACK = 1e-9
+#: A longitude in the east of all points, for edges that stand for others.
+_FAR = 1e6
 #: Cells times edges held at once.
 _HELD = 1 << 20
 _EDGES = "array<struct<y1:double,x1:double,y2:double,x2:double>>"
@@ -37,59 +44,51 @@ def edges_of(rings: list[list[dict]] | None) -> np.ndarray:
     return np.concatenate(out) if out else np.empty((0, 4))
 
 
-def _odd(y: np.ndarray, x: np.ndarray, edges: np.ndarray, corner: tuple[float, float] | None = None) -> np.ndarray:
-    """Whether an odd number of edges crosses the way from each point: east without end, or to a corner north-east of it."""
-    out = np.zeros(len(y), bool)
-    step = max(1, _HELD // max(1, len(edges)))
-    y1, x1, y2, x2 = (edges[:, i][None, :] for i in range(4))
-    for k in range(0, len(y), step):
-        b, a = y[k : k + step, None], x[k : k + step, None]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            meets = ((y1 > b) != (y2 > b)) & (a < (x2 - x1) * (b - y1) / (y2 - y1) + x1)
-            if corner is not None:
-                north, east = corner
-                meets &= (x2 - x1) * (b - y1) / (y2 - y1) + x1 <= east
-                level = (east - x1) * (y2 - y1) / (x2 - x1) + y1
-                meets ^= ((x1 > east) != (x2 > east)) & (b < level) & (level <= north)
-        out[k : k + step] = meets.sum(axis=1) % 2 == 1
-    return out
-
-
-def _touching(south: np.ndarray, west: np.ndarray, side: float, edges: np.ndarray) -> list[np.ndarray]:
-    """For each cell, the edges that meet its closed square (a few more may be named, none less)."""
+def _parted(south: np.ndarray, west: np.ndarray, side: float, edges: np.ndarray) -> list[tuple[bool, np.ndarray]]:
+    """For each cell, whether an odd number of edges passes it in the east at its northern border, and its own edges: those
+    that meet its closed square (a few more may be named, none less), and upright ones where that number changes."""
     found = []
     step = max(1, _HELD // max(1, len(edges)))
     y1, x1, y2, x2 = (edges[:, i][None, :] for i in range(4))
     for k in range(0, len(south), step):
         s, w = south[k : k + step, None], west[k : k + step, None]
-        near = (np.minimum(y1, y2) <= s + side) & (np.maximum(y1, y2) >= s) & (np.minimum(x1, x2) <= w + side) & (np.maximum(x1, x2) >= w)
-        sides = [(x2 - x1) * (s + i * side - y1) - (y2 - y1) * (w + j * side - x1) for i in (0, 1) for j in (0, 1)]
-        near &= ~((np.minimum.reduce(sides) > 1e-9) | (np.maximum.reduce(sides) < -1e-9))
-        found += [np.flatnonzero(row) for row in near]
+        n, e = s + side, w + side
+        low, high = np.maximum(np.minimum(y1, y2), s), np.minimum(np.maximum(y1, y2), n)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ways = [(x2 - x1) * (y - y1) / (y2 - y1) + x1 for y in (low, high)]
+        level = (low <= high) & (y1 != y2)
+        east = level & (np.minimum(*ways) > e + _SLACK)
+        near = level & ~east & (np.maximum(*ways) >= w - _SLACK)
+        for i in range(len(s)):
+            ends, times = np.unique(edges[east[i]][:, [0, 2]], return_counts=True)
+            ends = ends[times % 2 == 1]
+            within = ends[(ends > s[i]) & (ends < n[i])]
+            beyond = np.count_nonzero(ends >= n[i]) % 2 == 1
+            # an upright edge from an end to the north counts for points that are not south of the end, so each turns the number
+            upright = np.column_stack([within, np.full(len(within), _FAR), np.full(len(within), n[i]), np.full(len(within), _FAR)])
+            found.append((beyond != (len(within) % 2 == 1), np.vstack([edges[near[i]], upright])))
     return found
 
 
 def cells_of(edges: np.ndarray, most_edges: int) -> Iterator[tuple[int, int, int, bool, np.ndarray]]:
-    """(level, row, column, corner inside, edges) of the cells that a polygon meets."""
+    """(level, row, column, odd, edges) of the cells that a polygon meets; odd: whether a point that meets none of the edges is inside."""
     if not len(edges):
         return
     side = SIDES[0]
     ys, xs = edges[:, [0, 2]], edges[:, [1, 3]]
-    rows, columns = (np.arange(int(np.floor(v.min() / side)), int(np.floor(v.max() / side)) + 1) for v in (ys, xs))
+    rows, columns = (np.arange(int(np.floor((v.min() - slack) / side)), int(np.floor((v.max() + slack) / side)) + 1) for v, slack in ((ys, 0.0), (xs, _SLACK)))
     r, c = (m.ravel() for m in np.meshgrid(rows, columns, indexing="ij"))
-    inside = _odd((r + 1) * side, (c + 1) * side, edges)
-    waiting = [(0, r, c, inside, edges)]
+    waiting = [(0, r, c, edges)]
     while waiting:
-        level, r, c, inside, own = waiting.pop()
+        level, r, c, own = waiting.pop()
         side = SIDES[level]
-        for row, column, corner, near in zip(r.tolist(), c.tolist(), inside.tolist(), _touching(r * side, c * side, side, own)):
+        for row, column, (odd, near) in zip(r.tolist(), c.tolist(), _parted(r * side, c * side, side, own)):
             if len(near) > most_edges and level + 1 < len(SIDES):
                 i, j = (m.ravel() for m in np.meshgrid(np.arange(SPLIT), np.arange(SPLIT), indexing="ij"))
-                i, j, small = row * SPLIT + i, column * SPLIT + j, SIDES[level + 1]
-                changed = _odd((i + 1) * small, (j + 1) * small, own[near], ((row + 1) * side, (column + 1) * side))
-                waiting.append((level + 1, i, j, changed ^ corner, own[near]))
-            elif len(near) or corner:
-                yield level, row, column, corner, own[near]
+                whole = np.array([[(row + 1) * side, _FAR, row * side, _FAR]] if odd else np.empty((0, 4)))
+                waiting.append((level + 1, row * SPLIT + i, column * SPLIT + j, np.vstack([near, whole])))
+            elif len(near) or odd:
+                yield level, row, column, odd, near
 
 
 def area_cells(areas: DataFrame, names: list[str], most_edges: int = 32) -> DataFrame:
@@ -116,20 +115,10 @@ def area_cells(areas: DataFrame, names: list[str], most_edges: int = 32) -> Data
     return given.mapInArrow(cut, f"level int, row long, column long, area {kind}, inside boolean, edges {_EDGES}")
 
 
-def _holds(side: float) -> Callable[[Column], Column]:
-    """Whether a cell's area holds the row's point, which lies in the cell's square."""
-    return lambda cell: _inside(F.col("lat"), F.col("lon"), cell, side)
-
-
-def _inside(lat: Column, lon: Column, cell: Column, side: float) -> Column:
-    north, east = (F.floor(lat / side) + 1) * F.lit(side), (F.floor(lon / side) + 1) * F.lit(side)
-
+def _inside(lat: Column, lon: Column, cell: Column) -> Column:
     def crosses(e: Column) -> Column:
         at = F.try_divide((e["x2"] - e["x1"]) * (lat - e["y1"]), e["y2"] - e["y1"]) + e["x1"]
-        over = ((e["y1"] > lat) != (e["y2"] > lat)) & (lon < at) & (at <= east)
-        level = F.try_divide((east - e["x1"]) * (e["y2"] - e["y1"]), e["x2"] - e["x1"]) + e["y1"]
-        up = ((e["x1"] > east) != (e["x2"] > east)) & (lat < level) & (level <= north)
-        return F.coalesce(over, F.lit(False)) != F.coalesce(up, F.lit(False))
+        return F.coalesce(((e["y1"] > lat) != (e["y2"] > lat)) & (lon < at), F.lit(False))
 
     return cell["inside"] != (F.size(F.filter(cell["edges"], crosses)) % 2 == 1)
 
@@ -147,7 +136,7 @@ def with_area(points: DataFrame, areas: DataFrame, names: list[str], wanted: Col
         near = F.broadcast(near) if size <= BROADCAST_BYTES else near
         own = (F.when(wanted, F.floor(F.col("lat") / side)) == F.col(f"_row{level}")) & (F.floor(F.col("lon") / side) == F.col(f"_column{level}"))
         out = out.join(near, own, "left").drop(f"_row{level}", f"_column{level}")
-        hits = F.filter(f"_near{level}", _holds(side))
+        hits = F.filter(f"_near{level}", lambda cell: _inside(F.col("lat"), F.col("lon"), cell))
         found.append(F.array_min(F.transform(hits, lambda c: c["area"])))
     if not found:
         return points.withColumn("_area", F.lit(None).cast(areas.select(F.struct(*names)).schema[0].dataType))
