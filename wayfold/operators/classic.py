@@ -176,6 +176,14 @@ def point_styles(moded: DataFrame, outlier: Column | None = None, synthetic: Col
     })
 
 
+def _nearest(name: str, parts: int) -> Column:
+    """The whole number of parts of one that is nearest, halves away from zero, by the double that a multiplication gives.
+    (round goes by the shortest decimal of a double, which may be a half where the product is not, or the other way round.)"""
+    v = F.abs(F.col(name) * parts)
+    down = F.floor(v)
+    return F.signum(name).cast("long") * (down + F.when(v - down >= 0.5, 1).otherwise(0))
+
+
 def labelled_stays(stays: DataFrame, as_of: int, min_confidence: float = 0.5) -> DataFrame:
     """Stays above min_confidence with frequency (stays at one place to four digits), purpose, label and importance (0 to 100).
 
@@ -183,7 +191,7 @@ def labelled_stays(stays: DataFrame, as_of: int, min_confidence: float = 0.5) ->
     """
     sure = stays.where(F.col("confidence") > min_confidence)
     area = F.coalesce(*(F.when(F.length(p) > 0, F.col(p)) for p in ("county", "city", "province")))
-    sure = sure.withColumns({"_area": area, "_y": F.round("center_lat", 4), "_x": F.round("center_lon", 4)})
+    sure = sure.withColumns({"_area": area, "_y": _nearest("center_lat", 10_000), "_x": _nearest("center_lon", 10_000)})
     counts = sure.groupBy("_area", "_y", "_x").agg(F.count("*").alias("frequency"))
     same = F.col("s._area").eqNullSafe(F.col("c._area")) & F.col("s._y").eqNullSafe(F.col("c._y")) & F.col("s._x").eqNullSafe(F.col("c._x"))
     df = sure.alias("s").join(counts.alias("c"), same).select("s.*", "c.frequency")
