@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.plans.windows import running
+
 EARTH_M = 6_371_000.0
 #: Fixed value: the geohash alphabet.
 GEOHASH_ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 METRES_A_DEGREE = 111_320.0
+#: Parts of a group's points when each is measured from the centre.
+_PARTS = 16
 #: A geohash cell's width in metres by precision 1 to 12.
 GEOHASH_CELL_M = (5_000_000.0, 1_250_000.0, 156_000.0, 39_100.0, 4_890.0, 1_220.0, 153.0, 38.2, 4.77, 1.19, 0.149, 0.037)
 
@@ -227,14 +231,20 @@ def radius_of_gyration(points: DataFrame, group: list[str], weight=1.0, lat: str
     """group, radius_m: the root of the (weighted) mean squared distance from the group's centroid."""
     w = col(weight)
     middle = points.groupBy(*group).agg(centroid(lat, lon, weight).alias("_c"))
+    # each middle once for each part, so that the points of a large group are many tasks' work
+    middle = middle.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
+    dealt = points.withColumn("_part", F.pmod(F.xxhash64(*points.columns), F.lit(_PARTS)).cast("int"))
     d = F.pow(haversine(lat, lon, "_c.lat", "_c.lon"), 2)
-    return points.join(middle, group).groupBy(*group).agg(F.sqrt(F.coalesce(F.try_divide(F.sum(d * w), F.sum(w)), F.avg(d))).alias("radius_m"))
+    return dealt.join(middle, [*group, "_part"]).groupBy(*group).agg(F.sqrt(F.coalesce(F.try_divide(F.sum(d * w), F.sum(w)), F.avg(d))).alias("radius_m"))
+
 
+def paths(points: DataFrame, group: list[str], order: list[str], lat: str = "lat", lon: str = "lon", chunk_s: int | None = None) -> DataFrame:
+    """group, path_m (along the points in order), line_m (first to last) and tortuosity (their ratio, 1 without a line).
 
-def paths(points: DataFrame, group: list[str], order: list[str], lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """group, path_m (along the points in order), line_m (first to last) and tortuosity (their ratio, 1 without a line)."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    hop = haversine(F.lag(lat).over(w), F.lag(lon).over(w), lat, lon)
+    chunk_s: cut long groups into stretches of so many of the first of `order`, see windows.running."""
+    before = F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+    points = running(points, chunk_s, group, [F.col(c) for c in order], order[0], befores={"_before": before})
+    hop = haversine("_before.lat", "_before.lon", lat, lon)
     place, at = F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon")), F.struct(*order)
     out = points.withColumn("_hop", hop).groupBy(*group).agg(F.coalesce(F.sum("_hop"), F.lit(0.0)).alias("path_m"), F.min_by(place, at).alias("_a"), F.max_by(place, at).alias("_b"))
     out = out.withColumn("line_m", haversine("_a.lat", "_a.lon", "_b.lat", "_b.lon")).drop("_a", "_b")

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, stats
+from wayfold.operators import foundation
 from wayfold.plans import queries as q
 from wayfold.plans.oracles import entropy, geohash, hav, sql
 from wayfold.plans.queries import query, r
+from wayfold.plans.storage import stored
 from wayfold.sources.trace import table, trace_points
 
 _NEAR = "least(greatest(lat, -90), 90)"
@@ -121,7 +123,10 @@ def circular_functions(spark: SparkSession, folder: str) -> DataFrame:
   JOIN (SELECT track_id, min(lat) AS south, {hav("min(lat)", "min(lon)", "min(lat)", "max(lon)")} * {hav("min(lat)", "min(lon)", "max(lat)", "min(lon)")} AS box FROM clean GROUP BY track_id) USING (track_id)""",
   more={"c": "SELECT track_id, avg(lat) AS cy, avg(lon) AS cx, sum(lat * accuracy) / sum(accuracy) AS wy, sum(lon * accuracy) / sum(accuracy) AS wx FROM clean GROUP BY track_id"}))
 def track_shapes(spark: SparkSession, folder: str) -> DataFrame:
-    p, by = q.points(spark, folder), ["track_id"]
-    out = geo.paths(p, by, ["data_time", "id"]).join(geo.radius_of_gyration(p, by).withColumnRenamed("radius_m", "g"), by).join(geo.radius_of_gyration(p, by, "accuracy").withColumnRenamed("radius_m", "w"), by)
+    """In stretches of six hours, since there are few tracks."""
+    hours, by = 21_600, ["track_id"]
+    fixes = trace_points(spark, folder).select("id", "track_id", "data_time", "lat", "lon", "speed", "accuracy")
+    p = stored(foundation.clean(fixes, hours).drop("speed"), "points")
+    out = geo.paths(p, by, ["data_time", "id"], chunk_s=hours).join(geo.radius_of_gyration(p, by).withColumnRenamed("radius_m", "g"), by).join(geo.radius_of_gyration(p, by, "accuracy").withColumnRenamed("radius_m", "w"), by)
     box = p.groupBy(*by).agg(geo.centroid("lat", "lon", "accuracy").alias("c"), geo.bounding_box("lat", "lon").alias("b"), geo.hull_area("lat", "lon").alias("hull"))
     return out.join(box, by).select("track_id", r("path_m", 2), r("tortuosity", 5), r("gyration", 3, F.col("g")), r("weighted", 3, F.col("w")), r("wlat", 7, F.col("c.lat")), r("south", 6, F.col("b.min_lat")), F.round("hull", -4).alias("hull"))
