@@ -58,8 +58,9 @@ def transport_segments(points: DataFrame, min_s: int = 10, chunk_s: int | None =
 def _stay(df: DataFrame, group: list[str], kind: Column, min_s: int) -> DataFrame:
     """One row per group of points: the stay's time, middle, radius and places of its first fix."""
     order = F.struct("data_time", "id")
-    means = df.groupBy(*group).agg(F.avg("lat").alias("center_lat"), F.avg("lon").alias("center_lon"))
-    spread = df.join(means, group).groupBy(*group).agg(
+    if "center_lat" not in df.columns:
+        df = df.join(df.groupBy(*group).agg(F.avg("lat").alias("center_lat"), F.avg("lon").alias("center_lon")), group)
+    spread = df.groupBy(*group).agg(
         F.min("data_time").alias("start_time"), F.max("data_time").alias("end_time"), F.count("*").alias("point_count"), F.first("center_lat").alias("center_lat"), F.first("center_lon").alias("center_lon"),
         F.max(geo.haversine("lat", "lon", "center_lat", "center_lon")).alias("radius_m"), F.min_by(F.struct("id", *PLACES), order).alias("_f"),
     )
@@ -81,10 +82,13 @@ def density_stays(points: DataFrame, eps_m: float = 200.0, min_samples: int = 3,
     """Stays from density clusters of each track, cut at every time gap above max_gap."""
     from wayfold.operators.density import density_clusters
 
-    placed = density_clusters(points, eps_m, min_samples).where("cluster is not null")
+    placed = density_clusters(points.select("id", "track_id", "data_time", "lat", "lon", *PLACES), eps_m, min_samples).where("cluster is not null")
     order = Window.partitionBy("track_id", "cluster").orderBy(*ORDER)
     cut = placed.withColumn("_new", F.when(F.col("data_time") - F.lag("data_time").over(order) <= max_gap, 0).otherwise(1))
     cut = cut.withColumn("part", F.sum("_new").over(order)).drop("_new")
+    # the middles by a window in the same partitioning: all that comes before is done once, and no fix is dealt again
+    whole = Window.partitionBy("track_id", "cluster", "part")
+    cut = cut.withColumns({"center_lat": F.avg("lat").over(whole), "center_lon": F.avg("lon").over(whole)})
     return _stay(cut, ["track_id", "cluster", "part"], F.lit("SPATIAL"), min_s)
 
 
