@@ -28,7 +28,10 @@ def rendering_metadata(points: DataFrame, segments: DataFrame, zoom: int = 15) -
     # the share of cells with fewer points
     ranks = with_ranks(p.groupBy("grid").agg(F.count("*").alias("n")), "n", []).select("grid", (F.col("_below") / F.col("_total")).alias("overlap_rank"))
     by_cell = p.where("speed > 0").groupBy("track_id", "run", "grid").agg(F.count("*").alias("c"), F.sum("speed").alias("s"))
-    runs = by_cell.groupBy("track_id", "run").agg((F.sum("s") / F.sum("c")).alias("v"), F.min_by("grid", F.struct(-F.col("c"), F.col("grid"))).alias("grid"))
+    # doubles added in another order give other last digits, which decide where a mean equals a limit: the least cell comes first
+    upto = Window.partitionBy("track_id", "run").orderBy("s", "grid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = by_cell.withColumn("_upto", F.sum("s").over(upto))
+    runs = summed.groupBy("track_id", "run").agg((F.max_by("_upto", F.struct("s", "grid")) / F.sum("c")).alias("v"), F.min_by("grid", F.struct(-F.col("c"), F.col("grid"))).alias("grid"))
     begin = [F.col("segment_id").alias("id"), F.col("start_time").alias("data_time"), F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon"), "mode"]
     own = segments.select("segment_id", "track_id", "run", *begin).join(runs, ["track_id", "run"]).join(ranks, "grid", "left").crossJoin(F.broadcast(limits))
     bucket = F.lit(0)
